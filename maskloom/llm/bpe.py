@@ -1,0 +1,273 @@
+"""Operator 10: byte-pair encoding by a tokenization automaton.
+
+The merges are compiled, one gadget after the other, into a deterministic automaton over tokens
+whose paths are exactly the right encodings. The automaton before any merge has one state with an
+arc for each byte. The gadget of the merge u v -> w, applied to it,
+
+* takes the arc v out of the state that u leads to (u v may not follow each other any more),
+* gives the arc w to every state that has the arc u,
+* makes the state that w leads to a copy of the one that v led to.
+
+The state after a token depends on that token only, so that the table has one row for each token.
+A row keeps the moments at which its own arcs were taken out; older ones it has from the row it was
+copied from. A word is encoded by one walk: from each position, arcs whose labels spell the next
+symbols are followed; exactly one path reaches each position. Decoding emits the labels of the arcs.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Entries of each of the two generations of a worker's word cache.
+CACHE_WORDS = 150_000
+_NEVER = 1 << 60
+#: Separators that str.split() knows and the tokenizer's \s doesn't.
+_OWN_SPACES = "\x1c\x1d\x1e\x1f"
+#: Letters, numbers and lower case that Unicode 15.1, which Python has, doesn't have yet.
+LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself where it is visible, else the next from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in visible else next(rest)) for b in range(256)]
+
+
+def _class(major: str, later: str) -> str:
+    """The characters of a general category, as the inside of a character class."""
+    member = [unicodedata.category(chr(c))[0] == major for c in range(0x110000)] + [False]
+    for part in later.split():
+        a, _, b = part.partition("-")
+        for c in range(int(a, 16), int(b or a, 16) + 1):
+            member[c] = True
+    edges = [c for c in range(0x110001) if member[c] != (c > 0 and member[c - 1])]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+class MergeAutomaton:
+    """The compiled merges of a tokenizer file's model. Immutable once built."""
+
+    def __init__(self, model: dict):
+        self.vocab: dict[str, int] = model["vocab"]
+        self.suffix: str = model["end_of_word_suffix"] or ""
+        n = max(self.vocab.values()) + 1
+        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
+        self.taken: dict[int, int] = {}  # state << 20 | arc -> the gadget that took it out
+        self.known: dict[int, bool] = {}
+        for k, merge in enumerate(model["merges"]):
+            self._gadget(k, *(merge.split(" ") if isinstance(merge, str) else merge))
+        self.trie: dict = {}
+        for label, token in self.vocab.items():
+            self._add(label, token)
+
+    def _gadget(self, k: int, u: str, v: str) -> None:
+        a, b, w = self.vocab[u], self.vocab[v], self.vocab[u + v]
+        if self.born[w] >= 0 or max(self.born[a], self.born[b]) >= k:
+            raise ValueError(f"merge {k} makes a token twice or before its parts")
+        self.taken[a << 20 | b] = k
+        self.left[w], self.right[w], self.born[w] = a, b, k
+
+    def _add(self, label: str, token: int) -> None:
+        node = self.trie
+        whole = label.endswith(self.suffix) and len(label) > len(self.suffix) and self.suffix
+        symbols = [*label[: -len(self.suffix)]] if whole else [*label]
+        if whole:
+            symbols[-1] += self.suffix
+        for s in symbols:
+            node = node.setdefault(s, {})
+        node[""] = token
+
+    def _gone(self, state: int, arc: int) -> int:
+        """The gadget that took arc out of the state, _NEVER if none did."""
+        own = _NEVER
+        limit = _NEVER
+        while state >= 0:
+            k = self.taken.get(state << 20 | arc, _NEVER)
+            if k < limit:
+                own = k
+            limit = self.born[state] if self.born[state] >= 0 else limit
+            state = self.right[state]
+        return own
+
+    def has_arc(self, state: int, token: int) -> bool:
+        """Whether the final automaton has an arc for token in the state that the token `state` leads to (-1: the start)."""
+        if state < 0:
+            return True
+        at = state << 20 | token
+        if (known := self.known.get(at)) is None:
+            known = self._gone(state, token) == _NEVER
+            x = token
+            while known and self.left[x] >= 0:
+                known = self._gone(state, self.left[x]) > self.born[x]
+                x = self.left[x]
+            if len(self.known) > 2_000_000:
+                self.known.clear()
+            self.known[at] = known
+        return known
+
+    def encode(self, symbols: list[str]) -> list[int]:
+        """The tokens of one pre-split word; the last symbol carries the suffix."""
+        n = len(symbols)
+        last, back = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        has_arc = self.has_arc
+        for i in range(n):
+            state, node, j = last[i], self.trie, i
+            if state == -2:
+                continue
+            while j < n and (node := node.get(symbols[j])) is not None:
+                j += 1
+                token = node.get("")
+                if token is not None and last[j] == -2 and has_arc(state, token):
+                    last[j], back[j] = token, i
+        out = []
+        while n > 0:
+            out.append(last[n])
+            n = back[n]
+        return out[::-1]
+
+
+class WordEncoder:
+    """Texts to tokens: special tokens, normal form, pre-split, automaton; keeps frequent words."""
+
+    def __init__(self, spec: dict):
+        self.automaton = MergeAutomaton(spec["model"])
+        self.labels = {v: k for k, v in spec["model"]["vocab"].items()}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.labels |= {v: k for k, v in special.items()}
+        self.special = special
+        self.mark = "<|"
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
+        for name, inside in (("\\s", _SPACE), ("\\p{L}", _class("L", LATER_LETTERS)), ("\\p{N}", _class("N", LATER_NUMBERS))):
+            pattern = pattern.replace(name, inside)
+        self.pieces = re.compile(pattern)
+        self.spaces = re.compile(f"[{_SPACE}]+")
+        self.symbols = byte_symbols()
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.piece_new: dict[str, list[int]] = {}
+        self.piece_old: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.piece_new.get(piece)
+        if ids is None:
+            ids = self.piece_old.get(piece)
+            if ids is None:
+                symbols = [self.symbols[b] for b in piece.encode()]
+                symbols[-1] += self.automaton.suffix
+                ids = self.automaton.encode(symbols)
+            if len(piece) <= 64:
+                if len(self.piece_new) >= CACHE_WORDS:
+                    self.piece_old, self.piece_new = self.piece_new, {}
+                self.piece_new[piece] = ids
+        return ids
+
+    def _plain(self, chunk: str) -> list[int]:
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").translate(LATER_LOWER)
+        out: list[int] = []
+        for piece in self.pieces.findall(chunk.lower()):
+            out += self._piece(piece)
+        return out
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """The tokens of a run without white space."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            if self.mark in chunk:
+                flat: list[int] = []
+                for part in self.special_split.split(chunk):
+                    if part:
+                        flat += [self.special[part]] if part in self.special else self._plain(part)
+                ids = tuple(flat)
+            else:
+                ids = tuple(self._plain(chunk))
+        if len(chunk) <= 64:
+            if len(self.new) >= CACHE_WORDS:
+                self.old, self.new = self.new, {}
+            self.new[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None, into: list[int]) -> None:
+        """Append the tokens of text to a list."""
+        if not text:
+            return
+        chunks = text.split() if not any(c in text for c in _OWN_SPACES) else [x for x in self.spaces.split(text) if x]
+        for chunk in chunks:
+            into += self.new.get(chunk) or self._chunk(chunk)
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.labels.__getitem__, ids))
+
+
+@cache
+def _encoder(spec_json: str) -> WordEncoder:
+    return WordEncoder(json.loads(spec_json))
+
+
+class Tokenizer:
+    """Column functions for the tokenizer file at path, which only the driver reads; the executors get it
+    as a broadcast (a vocabulary file has a fixed size) and compile it once in each Python worker."""
+
+    def __init__(self, spark, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = spark.sparkContext.broadcast(f.read())
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+        def encode(text: pa.Array) -> pa.Array:
+            encoder = _encoder(spec.value)
+            flat: list[int] = []
+            ends = [0]
+            for x in text.to_pylist():
+                encoder.encode(x, flat)
+                ends.append(len(flat))
+            return pa.ListArray.from_arrays(np.array(ends, np.int32), np.array(flat, np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
+
+        @F.arrow_udf(T.StringType())
+        def decode(ids: pa.Array) -> pa.Array:
+            encoder = _encoder(spec.value)
+            flat, ends = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            labels = list(map(encoder.labels.__getitem__, flat))
+            return pa.array([" ".join(labels[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+        self._encode, self._decode = encode, decode
+
+    def encode(self, text: Column) -> Column:
+        """array<int>; null and empty texts have no tokens."""
+        return self._encode(text)
+
+    def decode(self, ids: Column) -> Column:
+        """The labels of the tokens, joined by a space as the file names no decoder; a null array gives an empty text."""
+        return self._decode(ids)
+
+
+def tokenize(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with token_ids and decoded, a row for each row; columns of these names are replaced."""
+    tok = Tokenizer(docs.sparkSession, path)
+    return docs.withColumn("token_ids", tok.encode(F.col(text))).withColumn("decoded", tok.decode(F.col("token_ids")))
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    rows = tokenize(docs.select("doc_id", "text"), path).select("doc_id", "token_ids", "decoded")
+    return rows.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
