@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, mixing, pii
+from maskloom.llm import bpe, gif, mixing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mix_sources": op4_mix_sources,
+        "op6_gif_columns": op6_gif_columns,
         "op7_pii_anchors": op7_pii_anchors,
         "op10_bpe_automaton": op10_bpe_automaton,
     }
