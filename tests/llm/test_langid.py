@@ -33,7 +33,6 @@ def test_fit_and_reject():
     rows = [(("en", "de", "fr")[k % 3], ("the rain and the wind %d", "der regen und der wind %d", "la pluie et le vent %d")[k % 3] % k) for k in range(300)]
     model = langid.fit(rows)
     assert model.predict(["the wind", "der wind", "le vent", None, "", "123 %%"])[0] == ["en", "de", "fr", "und", "und", "und"]
-    assert model.predict(["the wind"] * 2)[1].ptp() == 0 if hasattr(np.ndarray, "ptp") else True
     one_by_one = [model.logits([t])[0] for _, t in rows[:20]]
     assert np.allclose(one_by_one, model.logits([t for _, t in rows[:20]]))
     assert langid.fit([]).predict(["x"]) == (["und"], [0.0])
