@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, gif, langid, mixing, pii, warc
+from maskloom.llm import bpe, embeddings, gif, langid, mixing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": op3_language_id,
         "op4_mix_sources": op4_mix_sources,
+        "op5_embedding_tiles": op5_embedding_tiles,
         "op6_gif_columns": op6_gif_columns,
         "op7_pii_anchors": op7_pii_anchors,
         "op9_warc_derivatives": op9_warc_derivatives,
