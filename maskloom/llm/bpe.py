@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of each of the two generations of a worker's word cache.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
+#: Words of up to STEPS bytes are encoded together, LANES at a time; the chunks of TEXTS texts are looked up together.
+STEPS, LANES, TEXTS = 64, 20_000, 1000
 _NEVER = 1 << 60
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
 _OWN_SPACES = "\x1c\x1d\x1e\x1f"
@@ -58,88 +61,210 @@ def _class(major: str, later: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+class _Table:
+    """Integer keys to integer values in arrays, open addressing; absent keys give -1."""
+
+    def __init__(self, entries: dict[int, int]):
+        self.shift = np.uint64(64 - (8 * len(entries) + 8).bit_length())
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.full(len(self.keys), -1, np.int32)
+        self.mask = len(self.keys) - 1
+        for at, key, value in zip(self._slots(np.fromiter(entries, np.int64)).tolist(), entries, entries.values(), strict=True):
+            while self.keys[at] >= 0:
+                at = at + 1 & self.mask
+            self.keys[at], self.values[at] = key, value
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class MergeAutomaton:
-    """The compiled merges of a tokenizer file's model. Immutable once built."""
+    """The compiled merges of a tokenizer file's model. Immutable once built.
+
+    Symbols are a byte inside of a word (0 to 255) or at its end (256 to 511).
+    """
 
     def __init__(self, model: dict):
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
-        n = max(self.vocab.values()) + 1
-        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
+        vocab: dict[str, int] = model["vocab"]
+        suffix: str = model["end_of_word_suffix"] or ""
+        self.final = 256 if suffix else 0
+        n = max(vocab.values()) + 2
+        self.start = n - 1  # stands for the state before any token
+        left, right, born = ([-1] * n for _ in range(3))
+        self.left, self.right, self.born, self.length = left, right, born, [1] * n
         self.taken: dict[int, int] = {}  # state << 20 | arc -> the gadget that took it out
-        self.known: dict[int, bool] = {}
+        symbols = byte_symbols()
+        spelled = {vocab[c]: (b,) for b, c in enumerate(symbols) if c in vocab}
+        spelled |= {vocab[c + suffix]: (256 + b,) for b, c in enumerate(symbols) if suffix and c + suffix in vocab}
         for k, merge in enumerate(model["merges"]):
-            self._gadget(k, *(merge.split(" ") if isinstance(merge, str) else merge))
-        self.trie: dict = {}
-        for label, token in self.vocab.items():
-            self._add(label, token)
-
-    def _gadget(self, k: int, u: str, v: str) -> None:
-        a, b, w = self.vocab[u], self.vocab[v], self.vocab[u + v]
-        if self.born[w] >= 0 or max(self.born[a], self.born[b]) >= k:
-            raise ValueError(f"merge {k} makes a token twice or before its parts")
-        self.taken[a << 20 | b] = k
-        self.left[w], self.right[w], self.born[w] = a, b, k
-
-    def _add(self, label: str, token: int) -> None:
-        node = self.trie
-        whole = label.endswith(self.suffix) and len(label) > len(self.suffix) and self.suffix
-        symbols = [*label[: -len(self.suffix)]] if whole else [*label]
-        if whole:
-            symbols[-1] += self.suffix
-        for s in symbols:
-            node = node.setdefault(s, {})
-        node[""] = token
-
-    def _gone(self, state: int, arc: int) -> int:
-        """The gadget that took arc out of the state, _NEVER if none did."""
-        own = _NEVER
-        limit = _NEVER
-        while state >= 0:
-            k = self.taken.get(state << 20 | arc, _NEVER)
-            if k < limit:
-                own = k
-            limit = self.born[state] if self.born[state] >= 0 else limit
-            state = self.right[state]
-        return own
+            u, v = merge.split(" ") if isinstance(merge, str) else merge
+            a, b, w = vocab[u], vocab[v], vocab[u + v]
+            if born[w] >= 0 or max(born[a], born[b]) >= k:
+                raise ValueError(f"merge {k} makes a token twice or before its parts")
+            self.taken[a << 20 | b] = k
+            left[w], right[w], born[w] = a, b, k
+            spelled[w] = spelled[a] + spelled[b]
+            self.length[w] = len(spelled[w])
+        self._spell(spelled, n)
+        self._left, self._right, self._born, self._length = (np.array(x, np.int64) for x in (left, right, born, self.length))
+        self._taken = _Table(self.taken)
+
+    def _spell(self, spelled: dict[int, tuple[int, ...]], n: int) -> None:
+        """The labels' tree with failure links: child, fail, and the longest label that ends at a node;
+        shorter: of a label the longest other one that ends with it."""
+        child: dict[int, int] = {}
+        token, depth_first = [-1], [[]]
+        for word in spelled.values():
+            node = 0
+            for s in word:
+                following = child.get(node << 9 | s)
+                if following is None:
+                    following = child[node << 9 | s] = len(token)
+                    token.append(-1)
+                    depth_first.append([])
+                    depth_first[node].append((s, following))
+                node = following
+        for t, word in spelled.items():
+            node = 0
+            for s in word:
+                node = child[node << 9 | s]
+            token[node] = t
+        fail, longest, shorter = [0] * len(token), token[:], [-1] * n
+        level = [x for _, x in depth_first[0]]
+        while level:
+            following = []
+            for node in level:
+                if token[node] >= 0:
+                    shorter[token[node]] = longest[fail[node]]
+                else:
+                    longest[node] = longest[fail[node]]
+                for s, x in depth_first[node]:
+                    f = fail[node]
+                    while f and f << 9 | s not in child:
+                        f = fail[f]
+                    fail[x] = child.get(f << 9 | s, 0)
+                    following.append(x)
+            level = following
+        self.child, self.fail, self.longest, self.shorter = child, fail, longest, shorter
+        self._child = _Table(child)
+        self._fail, self._longest, self._shorter = (np.array(x, np.int64) for x in (fail, longest, shorter))
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether the final automaton has an arc for token in the state that the token `state` leads to (-1: the start)."""
-        if state < 0:
-            return True
-        at = state << 20 | token
-        if (known := self.known.get(at)) is None:
-            known = self._gone(state, token) == _NEVER
-            x = token
-            while known and self.left[x] >= 0:
-                known = self._gone(state, self.left[x]) > self.born[x]
-                x = self.left[x]
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            self.known[at] = known
-        return known
+        """Whether the final automaton has an arc for token in the state after the token `state`.
 
-    def encode(self, symbols: list[str]) -> list[int]:
-        """The tokens of one pre-split word; the last symbol carries the suffix."""
-        n = len(symbols)
-        last, back = [-2] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        has_arc = self.has_arc
-        for i in range(n):
-            state, node, j = last[i], self.trie, i
-            if state == -2:
-                continue
-            while j < n and (node := node.get(symbols[j])) is not None:
-                j += 1
-                token = node.get("")
-                if token is not None and last[j] == -2 and has_arc(state, token):
-                    last[j], back[j] = token, i
+        Goes back through the gadgets, latest first: the state to the one that it was copied from, the arc
+        to the one that it was added beside; no gadget of the time may have taken the arc out.
+        """
+        taken, born = self.taken, self.born
+        limit = _NEVER
+        while True:
+            k = taken.get(state << 20 | token)
+            if k is not None and k < limit:
+                return False
+            copied, added = born[state], born[token]
+            if copied > added:
+                limit, state = copied, self.right[state]
+            elif added >= 0:
+                limit, token = added + 1, self.left[token]
+            else:
+                return True
+
+    def _have_arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """has_arc of many pairs at once."""
+        out = np.ones(len(state), bool)
+        limit, left = np.full(len(state), _NEVER), np.arange(len(state))
+        while len(left):
+            k = self._taken.find(state << 20 | token)
+            bad = (k >= 0) & (k < limit)
+            out[left[bad]] = False
+            copied, added = self._born[state], self._born[token]
+            back = copied > added
+            on = ~bad & (back | (added >= 0))
+            limit = np.where(back, copied, added + 1)[on]
+            state, token, left = np.where(back, self._right[state], state)[on], np.where(back, token, self._left[token])[on], left[on]
+        return out
+
+    def encode(self, word: bytes) -> list[int]:
+        """The tokens of one pre-split word, not empty."""
+        n = len(word)
+        last = [self.start] + [-1] * n
+        node, length = 0, self.length
+        for end, s in enumerate(word, 1):
+            s += self.final if end == n else 0
+            while (following := self.child.get(node << 9 | s)) is None and node:
+                node = self.fail[node]
+            node = following
+            token = self.longest[node]
+            while not self.has_arc(last[end - length[token]], token):
+                token = self.shorter[token]
+            last[end] = token
         out = []
         while n > 0:
             out.append(last[n])
-            n = back[n]
+            n -= length[last[n]]
         return out[::-1]
 
+    def encode_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """encode() of many words: all of them take the step for their next symbol together."""
+        out: list = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(sizes > STEPS).tolist():
+            out[k] = tuple(self.encode(words[k]))
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] <= STEPS]
+        for k in range(0, len(order), LANES):
+            part = order[k : k + LANES]
+            for i, tokens in zip(part.tolist(), self._lanes([words[i] for i in part.tolist()], sizes[part]), strict=True):
+                out[i] = tokens
+        return out
+
+    def _lanes(self, words: list[bytes], sizes: np.ndarray) -> list[tuple[int, ...]]:
+        """Words of falling length: those that have a j-th symbol come first."""
+        steps = int(sizes[0])
+        symbols = np.zeros((len(words), steps), np.int64)
+        symbols[np.arange(steps) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        symbols[np.arange(len(words)), sizes - 1] += self.final
+        symbols = np.ascontiguousarray(symbols.T)
+        last = np.full((steps + 1, len(words)), self.start, np.int64)
+        nodes = np.zeros(len(words), np.int64)
+        for j in range(steps):
+            n = int(np.searchsorted(-sizes, -j, side="left"))
+            node, s = nodes[:n], symbols[j, :n]
+            following = self._child.find(node << 9 | s)
+            left = np.flatnonzero(following < 0)
+            while len(left):
+                node[left] = self._fail[node[left]]
+                following[left] = self._child.find(node[left] << 9 | s[left])
+                left = left[following[left] < 0]
+            node[:] = following
+            left, token = np.arange(n), self._longest[node]
+            while len(left):
+                good = self._have_arcs(last[j + 1 - self._length[token], left], token)
+                last[j + 1, left[good]] = token[good]
+                left, token = left[~good], self._shorter[token[~good]]
+        at, lanes, tokens = sizes.copy(), np.arange(len(words)), []
+        while at[0] or at.any():
+            found = np.where(at > 0, last[at, lanes], -1)
+            tokens.append(found)
+            at -= np.where(at > 0, self._length[found], 0)
+        rows = np.stack(tokens[::-1], axis=1)
+        flat, counts = rows[rows >= 0].tolist(), (rows >= 0).sum(axis=1)
+        ends = np.cumsum(counts).tolist()
+        return [tuple(flat[e - c : e]) for e, c in zip(ends, counts.tolist(), strict=True)]
+
 
 class WordEncoder:
     """Texts to tokens: special tokens, normal form, pre-split, automaton; keeps frequent words."""
@@ -147,69 +272,79 @@ class WordEncoder:
     def __init__(self, spec: dict):
         self.automaton = MergeAutomaton(spec["model"])
         self.labels = {v: k for k, v in spec["model"]["vocab"].items()}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {v: k for k, v in special.items()}
-        self.special = special
-        self.mark = "<|"
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.labels |= {v: k for k, v in self.special.items()}
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         for name, inside in (("\\s", _SPACE), ("\\p{L}", _class("L", LATER_LETTERS)), ("\\p{N}", _class("N", LATER_NUMBERS))):
             pattern = pattern.replace(name, inside)
-        self.pieces = re.compile(pattern)
+        self.pieces = re.compile(pattern + "| ")
         self.spaces = re.compile(f"[{_SPACE}]+")
-        self.symbols = byte_symbols()
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.piece_new: dict[str, list[int]] = {}
-        self.piece_old: dict[str, list[int]] = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.piece_new.get(piece)
-        if ids is None:
-            ids = self.piece_old.get(piece)
+    def encode_all(self, texts: list[str | None]) -> tuple[array, list[int]]:
+        """The tokens of all texts in turn, and where those of each text end."""
+        flat, ends = array("i"), []
+        for k in range(0, len(texts), TEXTS):
+            split = [self._chunks(t) for t in texts[k : k + TEXTS]]
+            tokens = self._tokens({c for chunks in split for c in chunks})
+            for chunks in split:
+                for c in chunks:
+                    flat.extend(tokens[c])
+                ends.append(len(flat))
+        return flat, ends
+
+    def _chunks(self, text: str | None) -> list[str]:
+        """The runs without white space."""
+        if not text:
+            return []
+        return text.split() if not any(c in text for c in _OWN_SPACES) else [x for x in self.spaces.split(text) if x]
+
+    def _tokens(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
+        known = {}
+        missing = []
+        for c in chunks:
+            ids = self.new.get(c) or self.old.get(c)
             if ids is None:
-                symbols = [self.symbols[b] for b in piece.encode()]
-                symbols[-1] += self.automaton.suffix
-                ids = self.automaton.encode(symbols)
-            if len(piece) <= 64:
-                if len(self.piece_new) >= CACHE_WORDS:
-                    self.piece_old, self.piece_new = self.piece_new, {}
-                self.piece_new[piece] = ids
-        return ids
-
-    def _plain(self, chunk: str) -> list[int]:
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").translate(LATER_LOWER)
-        out: list[int] = []
-        for piece in self.pieces.findall(chunk.lower()):
-            out += self._piece(piece)
-        return out
+                missing.append(c)
+            else:
+                known[c] = ids
+        if missing:
+            marked = [c for c in missing if "<|" in c]
+            plain = [c for c in missing if "<|" not in c]
+            parts = {c: [p for p in self.special_split.split(c) if p] for c in marked}
+            plain += [p for ps in parts.values() for p in ps if p not in self.special]
+            found = dict(zip(plain, self._plain(plain), strict=True))
+            for c in marked:
+                found[c] = tuple(i for p in parts[c] for i in ((self.special[p],) if p in self.special else found[p]))
+            known |= found
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new |= {c: ids for c, ids in known.items() if len(c) <= 64}
+        return known
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """The tokens of a run without white space."""
-        ids = self.old.get(chunk)
-        if ids is None:
-            if self.mark in chunk:
-                flat: list[int] = []
-                for part in self.special_split.split(chunk):
-                    if part:
-                        flat += [self.special[part]] if part in self.special else self._plain(part)
-                ids = tuple(flat)
+    def _plain(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """The tokens of chunks without special tokens. Neither normal form nor pieces reach across a space."""
+        if not chunks:
+            return []
+        text = " ".join(chunks)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LATER_LOWER)
+        pieces = self.pieces.findall(text.lower())
+        different = list(dict.fromkeys(pieces))
+        tokens = dict(zip(different, self.automaton.encode_all([p.encode() for p in different]), strict=True))
+        tokens[" "] = None
+        out, ids = [], ()
+        for p in pieces:
+            more = tokens[p]
+            if more is None:
+                out.append(ids)
+                ids = ()
             else:
-                ids = tuple(self._plain(chunk))
-        if len(chunk) <= 64:
-            if len(self.new) >= CACHE_WORDS:
-                self.old, self.new = self.new, {}
-            self.new[chunk] = ids
-        return ids
-
-    def encode(self, text: str | None, into: list[int]) -> None:
-        """Append the tokens of text to a list."""
-        if not text:
-            return
-        chunks = text.split() if not any(c in text for c in _OWN_SPACES) else [x for x in self.spaces.split(text) if x]
-        for chunk in chunks:
-            into += self.new.get(chunk) or self._chunk(chunk)
+                ids += more
+        out.append(ids)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
@@ -231,19 +366,15 @@ class Tokenizer:
         @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
         def encode(text: pa.Array) -> pa.Array:
             encoder = _encoder(spec.value)
-            flat: list[int] = []
-            ends = [0]
-            for x in text.to_pylist():
-                encoder.encode(x, flat)
-                ends.append(len(flat))
-            return pa.ListArray.from_arrays(np.array(ends, np.int32), np.array(flat, np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
+            flat, ends = encoder.encode_all(text.to_pylist())
+            ends.insert(0, 0)
+            return pa.ListArray.from_arrays(np.array(ends, np.int32), np.frombuffer(flat, np.int32) if flat else np.array([], np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
 
         @F.arrow_udf(T.StringType())
         def decode(ids: pa.Array) -> pa.Array:
             encoder = _encoder(spec.value)
-            flat, ends = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
-            labels = list(map(encoder.labels.__getitem__, flat))
-            return pa.array([" ".join(labels[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            return pa.array([encoder.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
         self._encode, self._decode = encode, decode
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, embeddings, gif, langid, mixing, pii, warc
+from maskloom.llm import bpe, embeddings, gif, langid, mixing, ngrams, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_language_id": op3_language_id,
         "op4_mix_sources": op4_mix_sources,
         "op5_embedding_tiles": op5_embedding_tiles,
@@ -61,4 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op2_ngram_jaccard": ngrams.ORACLE_SQL,
+        "op4_mix_sources": mixing.ORACLE_SQL,
+    }
