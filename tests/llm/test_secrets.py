@@ -1,0 +1,64 @@
+"""Base spans against plain regular expressions, scores against a plain computation."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from maskloom.llm import secrets
+
+PLAIN = {
+    "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def base(text):
+    out = []
+    for n, (kind, r) in enumerate(PLAIN.items()):
+        for m in r.finditer(text or ""):
+            if {"assign": lambda: len(m[2]) >= 6, "access": lambda: len(m[0]) >= 20, "hex": lambda: len(m[0]) >= 24}[kind]():
+                out.append((m.start(), n, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans_and_edges(spark):
+    rnd = random.Random(9)
+    parts = ["token", "API_KEY", "apikey", "Secret", "passwd", "password", '"', "'", " ", ":", "=", "abc", "abcdef", "x.y-z/12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "😀", "\n", "token = 'a1B2c3D4'", "ſ", "K"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(1500)]
+    texts += [None, "", "x", "token=" * 20_000, "a" * 200_000, "secret=token:abcdefgh", "z" * 100_000 + " password: hunter2hunter2"]
+    docs = spark.createDataFrame([(k, t, "y") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in secrets.digest(docs.union(docs.filter("doc_id = 3"))).collect()}
+    for k, t in enumerate(texts):
+        want = base(t)
+        r = got[k]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in want).encode()).hexdigest(), t
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[3] == kind for x in want) for kind in secrets.BASE_KINDS]
+        for x in want:
+            assert f"{x[3]}:{x[0]}:{x[2]}" in r.spans.split(",")
+    assert secrets.digest(docs.limit(0)).count() == 0
+    assert secrets.find_secrets(docs).columns == [*docs.columns, "secret_spans"]
+
+
+def test_models(spark):
+    rows = [(r.random, r.token) for r in secrets.labelled_samples(spark, 300).collect()]
+    where = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    pairs = lambda t: [(where.get(a, secrets.CLASSES - 1), where.get(b, secrets.CLASSES - 1)) for a, b in zip(t, t[1:], strict=False)]
+    counts = {k: Counter(p for kind, t in rows if kind == k for p in pairs(t)) for k in (True, False)}
+    totals = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            totals[k][a] += n
+    ratio = lambda a, b: math.log((counts[True][a, b] + 1) / (totals[True][a] + secrets.CLASSES)) - math.log((counts[False][a, b] + 1) / (totals[False][a] + secrets.CLASSES))
+    got = secrets.train(secrets.labelled_samples(spark, 300))
+    assert all(abs(got[a * secrets.CLASSES + b] - ratio(a, b)) < 1e-5 for a in range(secrets.CLASSES) for b in range(secrets.CLASSES))
+    tokens = ["xK9vQ2mZ7rT4wB1nL8pD", "customer_account_index_12", "f3a9c07be4d15f60a8b2c9", "getUserNameFromCache2", "releaseVersion20240115Build", "a😀b"]
+    score = {r.t: r.s for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.mean_ratio(secrets.F.col("t"), got).alias("s")).collect()}
+    for t in tokens:
+        assert abs(score[t] - sum(ratio(*p) for p in pairs(t)) / (len(t) - 1)) < 1e-4
+    random_ones, ordinary = tokens[:1] + tokens[2:3], [tokens[1], tokens[3], tokens[4]]
+    assert min(score[t] for t in random_ones) > secrets.LEAST_RATIO > max(score[t] for t in ordinary)
+    scored = spark.createDataFrame(rows, "random boolean, t string").select("random", (secrets.mean_ratio(secrets.F.col("t"), got) > secrets.LEAST_RATIO).alias("s")).collect()
+    assert sum(r.random == r.s for r in scored) / len(scored) > 0.97
