@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, embeddings, gif, langid, mixing, ngrams, pii, secrets, warc
+from maskloom.llm import bpe, embeddings, gif, langid, lines, mixing, ngrams, pii, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_tiles": op5_embedding_tiles,
         "op6_gif_columns": op6_gif_columns,
         "op7_pii_anchors": op7_pii_anchors,
+        "op8_line_dedup": op8_line_dedup,
         "op9_warc_derivatives": op9_warc_derivatives,
         "op10_bpe_automaton": op10_bpe_automaton,
     }
