@@ -16,10 +16,10 @@ symbols are followed; exactly one path reaches each position. Decoding emits the
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
-from array import array
 from functools import cache
 
 import numpy as np
@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: the file's pre-split pattern for which a shorter one does the same on lower-case ASCII.
+CONTRACTIONS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of each of the two generations of a worker's word cache.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 150_000
 #: Words of up to STEPS bytes are encoded together, LANES at a time; the chunks of TEXTS texts are looked up together.
-STEPS, LANES, TEXTS = 64, 20_000, 1000
+STEPS, LANES, TEXTS = 64, 20_000, 1500
 _NEVER = 1 << 60
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
 _OWN_SPACES = "\x1c\x1d\x1e\x1f"
@@ -40,6 +42,7 @@ LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D
 LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_MAYBE_LATER = re.compile("[\u1c89\ua7cb-\ua7dc\U00010d50-\U0010ffff]")
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -217,12 +220,12 @@ class MergeAutomaton:
             n -= length[last[n]]
         return out[::-1]
 
-    def encode_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """encode() of many words: all of them take the step for their next symbol together."""
+    def encode_all(self, words: list[bytes]) -> list[bytes]:
+        """encode() of many words, each as 32-bit integers: all take the step for their next symbol together."""
         out: list = [None] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for k in np.flatnonzero(sizes > STEPS).tolist():
-            out[k] = tuple(self.encode(words[k]))
+            out[k] = np.array(self.encode(words[k]), np.int32).tobytes()
         order = np.argsort(-sizes, kind="stable")
         order = order[sizes[order] <= STEPS]
         for k in range(0, len(order), LANES):
@@ -231,7 +234,7 @@ class MergeAutomaton:
                 out[i] = tokens
         return out
 
-    def _lanes(self, words: list[bytes], sizes: np.ndarray) -> list[tuple[int, ...]]:
+    def _lanes(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         """Words of falling length: those that have a j-th symbol come first."""
         steps = int(sizes[0])
         symbols = np.zeros((len(words), steps), np.int64)
@@ -261,9 +264,9 @@ class MergeAutomaton:
             tokens.append(found)
             at -= np.where(at > 0, self._length[found], 0)
         rows = np.stack(tokens[::-1], axis=1)
-        flat, counts = rows[rows >= 0].tolist(), (rows >= 0).sum(axis=1)
+        flat, counts = rows[rows >= 0].astype(np.int32).tobytes(), 4 * (rows >= 0).sum(axis=1)
         ends = np.cumsum(counts).tolist()
-        return [tuple(flat[e - c : e]) for e, c in zip(ends, counts.tolist(), strict=True)]
+        return [flat[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
 
 
 class WordEncoder:
@@ -276,24 +279,26 @@ class WordEncoder:
         self.labels |= {v: k for k, v in self.special.items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
+        pattern_name = pattern
         for name, inside in (("\\s", _SPACE), ("\\p{L}", _class("L", LATER_LETTERS)), ("\\p{N}", _class("N", LATER_NUMBERS))):
             pattern = pattern.replace(name, inside)
         self.pieces = re.compile(pattern + "| ")
+        self.ascii_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \\t-\\ra-z0-9]+| ") if pattern_name == CONTRACTIONS_PATTERN else self.pieces
         self.spaces = re.compile(f"[{_SPACE}]+")
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode_all(self, texts: list[str | None]) -> tuple[array, list[int]]:
-        """The tokens of all texts in turn, and where those of each text end."""
-        flat, ends = array("i"), []
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The tokens of each text as 32-bit integers."""
+        out = []
         for k in range(0, len(texts), TEXTS):
             split = [self._chunks(t) for t in texts[k : k + TEXTS]]
-            tokens = self._tokens({c for chunks in split for c in chunks})
-            for chunks in split:
-                for c in chunks:
-                    flat.extend(tokens[c])
-                ends.append(len(flat))
-        return flat, ends
+            if len(self.words) > CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            self._learn({c for chunks in split for c in chunks if c not in self.words})
+            tokens = self.words.__getitem__
+            out += [b"".join(map(tokens, chunks)) for chunks in split]
+        return out
 
     def _chunks(self, text: str | None) -> list[str]:
         """The runs without white space."""
@@ -301,49 +306,50 @@ class WordEncoder:
             return []
         return text.split() if not any(c in text for c in _OWN_SPACES) else [x for x in self.spaces.split(text) if x]
 
-    def _tokens(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        known = {}
-        missing = []
+    def _learn(self, chunks: set[str]) -> None:
+        """Put the tokens of chunks into self.words."""
+        older, words, marked, plain = self.older, self.words, [], []
         for c in chunks:
-            ids = self.new.get(c) or self.old.get(c)
-            if ids is None:
-                missing.append(c)
+            ids = older.get(c)
+            if ids is not None:
+                words[c] = ids
+            elif "<|" in c:
+                marked.append((c, [p for p in self.special_split.split(c) if p]))
             else:
-                known[c] = ids
-        if missing:
-            marked = [c for c in missing if "<|" in c]
-            plain = [c for c in missing if "<|" not in c]
-            parts = {c: [p for p in self.special_split.split(c) if p] for c in marked}
-            plain += [p for ps in parts.values() for p in ps if p not in self.special]
-            found = dict(zip(plain, self._plain(plain), strict=True))
-            for c in marked:
-                found[c] = tuple(i for p in parts[c] for i in ((self.special[p],) if p in self.special else found[p]))
-            known |= found
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        self.new |= {c: ids for c, ids in known.items() if len(c) <= 64}
-        return known
-
-    def _plain(self, chunks: list[str]) -> list[tuple[int, ...]]:
+                plain.append(c)
+        plain += [p for _, parts in marked for p in parts if p not in self.special]
+        words.update(zip(plain, self._plain(plain), strict=True))
+        for c, parts in marked:
+            words[c] = b"".join(np.int32(self.special[p]).tobytes() if p in self.special else words[p] for p in parts)
+
+    def _plain(self, chunks: list[str]) -> list[bytes]:
         """The tokens of chunks without special tokens. Neither normal form nor pieces reach across a space."""
         if not chunks:
             return []
-        text = " ".join(chunks)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LATER_LOWER)
-        pieces = self.pieces.findall(text.lower())
+        order = sorted(range(len(chunks)), key=lambda k: not chunks[k].isascii())  # those of ASCII first
+        n = sum(map(str.isascii, chunks))
+        plain = " ".join([chunks[k] for k in order[:n]])
+        other = unicodedata.normalize("NFC", " ".join([chunks[k] for k in order[n:]])).replace("Σ", "σ")
+        if _MAYBE_LATER.search(other):
+            other = other.translate(LATER_LOWER)
+        pieces = self.ascii_pieces.findall(plain.lower())
+        if n and n < len(chunks):
+            pieces.append(" ")
+        pieces += self.pieces.findall(other.lower())
         different = list(dict.fromkeys(pieces))
         tokens = dict(zip(different, self.automaton.encode_all([p.encode() for p in different]), strict=True))
-        tokens[" "] = None
-        out, ids = [], ()
-        for p in pieces:
-            more = tokens[p]
-            if more is None:
-                out.append(ids)
-                ids = ()
+        tokens[" "] = b" "  # no token array has one byte
+        found, ids = [], b""
+        for more in map(tokens.__getitem__, pieces):
+            if len(more) == 1:
+                found.append(ids)
+                ids = b""
             else:
-                ids += more
-        out.append(ids)
+                ids = ids + more if ids else more
+        found.append(ids)
+        out = [b""] * len(chunks)
+        for k, ids in zip(order, found, strict=True):
+            out[k] = ids
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -352,7 +358,12 @@ class WordEncoder:
 
 @cache
 def _encoder(spec_json: str) -> WordEncoder:
-    return WordEncoder(json.loads(spec_json))
+    gc.disable()  # nothing that is built here is garbage
+    try:
+        return WordEncoder(json.loads(spec_json))
+    finally:
+        gc.freeze()
+        gc.enable()
 
 
 class Tokenizer:
@@ -366,9 +377,10 @@ class Tokenizer:
         @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
         def encode(text: pa.Array) -> pa.Array:
             encoder = _encoder(spec.value)
-            flat, ends = encoder.encode_all(text.to_pylist())
-            ends.insert(0, 0)
-            return pa.ListArray.from_arrays(np.array(ends, np.int32), np.frombuffer(flat, np.int32) if flat else np.array([], np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
+            rows = encoder.encode_all(text.to_pylist())
+            ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
+            flat = b"".join(rows)
+            return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(flat, np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
 
         @F.arrow_udf(T.StringType())
         def decode(ids: pa.Array) -> pa.Array:
