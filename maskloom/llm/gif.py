@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 #: A stored frame of samples is SIDE x SIDE pixels.
 SIDE = 24
 FRAME = SIDE * SIDE
+#: Frames that are coded together.
+LANES = 2000
 #: Fixed values of the format.
 CLEAR_AT_FULL = 4096
 INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -65,28 +67,69 @@ def lzw_codes(pixels: bytes, bits: int) -> list[int]:
     return out
 
 
-def pack_codes(streams: list[list[int]], bits: int) -> list[bytes]:
-    """Each stream as bytes; all streams are packed in one go."""
-    codes = np.fromiter((c for s in streams for c in s), np.int64, sum(map(len, streams)))
-    ends = np.cumsum([len(s) for s in streams])
+def lzw_codes_of_all(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """lzw_codes() of many images of equal size, a row each, too small to fill the table: (all codes in turn,
+    number of codes of each). Each step takes the next pixel of all images; an image's pairs lie in a hash
+    region of its own."""
+    n, size = pixels.shape
+    region = 1 << (4 * size).bit_length()
+    keys, values = np.zeros(n * region, np.int32), np.zeros(n * region, np.int16)
+    lane = np.arange(n) * region
+    clear = 1 << bits
+    out = np.zeros((n, size + 2), np.int16)
+    out[:, 0] = clear
+    count, following = np.ones(n, np.int64), np.full(n, clear + 2, np.int16)
+    columns = np.ascontiguousarray(pixels.T).astype(np.int32)
+    last = columns[0].copy()
+    for c in columns[1:]:
+        pair = (last << 8 | c) + 1
+        slot = (pair.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(8)).astype(np.int64) & region - 1
+        there = keys[lane + slot]
+        left = np.flatnonzero((there != pair) & (there != 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & region - 1
+            there[left] = again = keys[lane[left] + slot[left]]
+            left = left[(again != pair[left]) & (again != 0)]
+        at = lane + slot
+        last_before, last = last, np.where(there != 0, values[at], c)
+        new = np.flatnonzero(there == 0)
+        out[new, count[new]] = last_before[new]
+        count[new] += 1
+        keys[at[new]] = pair[new]
+        values[at[new]] = following[new]
+        following[new] += 1
+    rows = np.arange(n)
+    out[rows, count] = last
+    out[rows, np.minimum(count + 1, size + 1)] = clear + 1
+    if (count == size + 1).any():  # no pair occurred twice: a row is full before its end code
+        out = np.concatenate([out, np.full((n, 1), clear + 1, np.int16)], axis=1)
+        out[rows, count], out[rows, count + 1] = last, clear + 1
+    total = count + 2
+    return out[np.arange(out.shape[1]) < total[:, None]].astype(np.int64), total
+
+
+def pack_codes(codes: np.ndarray, lengths: np.ndarray, bits: int) -> list[bytes]:
+    """Code streams, which lie in turn in codes, as bytes each."""
+    ends = np.cumsum(lengths)
     clear = 1 << bits
     at = np.arange(len(codes))
     since = at - np.maximum.accumulate(np.where(codes == clear, at, 0))  # codes since the last clear code
-    entries = clear + 2 + np.maximum(since - 2, 0)  # of the reader's table when it reads this code
-    wide = np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, bits + 1, 12)
-    wide[codes == clear] = np.concatenate([[bits + 1], wide[:-1]])[codes == clear]
-    again = np.flatnonzero((codes == clear) & (at > 0))  # a clear code is as wide as the code that would stand there
-    table = np.minimum(clear + 2 + np.maximum(since[again - 1] - 1, 0), CLEAR_AT_FULL)
-    wide[again] = np.clip(np.floor(np.log2(table)).astype(np.int64) + 1, bits + 1, 12)
-    first = np.concatenate([[0], ends[:-1]])
+
+    def width(entries: np.ndarray) -> np.ndarray:
+        """Bits of a code that is read when the reader's table has so many entries."""
+        return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, bits + 1, 12)
+
+    wide = width(clear + 2 + np.maximum(since - 2, 0))
+    again = np.flatnonzero((codes == clear) & (at > 0))  # a clear code is as wide as any code in its place
+    wide[again] = width(np.minimum(clear + 2 + np.maximum(since[again - 1] - 1, 0), CLEAR_AT_FULL))
+    first = ends - lengths
     wide[first] = bits + 1
     total = np.cumsum(wide)
     before = total - wide
     starts = before[first]
-    own = np.repeat(starts, np.diff(np.concatenate([[0], ends])))
     sizes = (total[ends - 1] - starts + 7) // 8
-    bases = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = before - own + 8 * np.repeat(bases, np.diff(np.concatenate([[0], ends])))
+    bases = np.cumsum(sizes) - sizes
+    place = before + np.repeat(8 * bases - starts, lengths)
     value = codes << (place & 7)
     out = np.zeros(int(sizes.sum()) + 3, np.int64)
     for k in range(3):
@@ -134,22 +177,88 @@ def lzw_pixels(data: bytes, bits: int, n: int) -> bytes:
     return pixels[:n]
 
 
+def lzw_pixels_of_all(images: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """lzw_pixels() of many (data, bits, n). Images of 8 bits and equal n whose table can't fill are expanded
+    together: the width of each code then follows from its place alone."""
+    out: list = [None] * len(images)
+    together: dict[int, list[int]] = {}
+    for k, (data, bits, n) in enumerate(images):
+        if bits == 8 and 0 < n <= 2048 and len(data) <= 2 * n + 16:
+            together.setdefault(n, []).append(k)
+        else:
+            out[k] = lzw_pixels(data, bits, n)
+    for n, ks in together.items():
+        step = max(1, (1 << 20) // n)
+        for i in range(0, len(ks), step):
+            part = ks[i : i + step]
+            for k, pixels in zip(part, _expanded([images[k][0] for k in part], n), strict=True):
+                out[k] = pixels if pixels is not None else lzw_pixels(*images[k])
+    return out
+
+
+def _expanded(data: list[bytes], n: int) -> list[bytes | None]:
+    """Pixels of code streams of 8 bits, None where a stream is not one clear code, codes and an end code."""
+    most = n + 2
+    k = np.arange(most)
+    wide = np.where(k < 2, 9, np.floor(np.log2(258 + np.maximum(k - 2, 0))).astype(np.int64) + 1)
+    offset = np.cumsum(wide) - wide
+    row = int(offset[-1] + 12) // 8 + 4
+    flat = np.frombuffer(b"".join(d[:row].ljust(row, b"\0") for d in data), np.uint8).reshape(len(data), row).astype(np.int32)
+    window = flat[:, :-2] | flat[:, 1:-1] << 8 | flat[:, 2:] << 16
+    codes = window[:, offset >> 3] >> (offset & 7) & (1 << wide) - 1
+    lanes = np.arange(len(data))
+    stop = (codes == 257).argmax(axis=1)
+    lengths = np.zeros((len(data), most), np.int64)
+    good = (codes[:, 0] == 256) & (stop > 1) & (8 * np.fromiter(map(len, data), np.int64) >= offset[stop] + wide[stop])
+    source = codes - 257  # of a longer code: the place of the code that begins the same string
+    columns, places = np.ascontiguousarray(codes.T), np.ascontiguousarray(source.T)
+    steps = np.zeros((most, len(data)), np.int64)
+    for j in range(1, int(stop.max()) if len(stop) else 0):
+        c = columns[j]
+        longer = c > 257
+        good &= ~((j < stop) & ((c == 256) | (longer & (places[j] >= j))))
+        steps[j] = np.where(longer, steps[np.clip(places[j], 0, most - 1), lanes] + 1, 1)
+    lengths = np.where((k >= 1) & (k < stop[:, None]), steps.T, 0)
+    good &= lengths.sum(axis=1) >= n
+    lengths[~good] = 0
+    ends = np.cumsum(lengths, axis=1)
+    begin = ends - lengths
+    total = ends[:, -1]
+    base = np.cumsum(total) - total  # where a stream's pixels start
+    count = lengths.ravel()
+    where = np.repeat(begin.ravel() + np.repeat(base, most), count)  # start of the string that a pixel is in
+    place = np.arange(len(where))
+    code = np.repeat(codes.ravel(), count)
+    first = np.repeat(base, total) + begin.ravel()[np.repeat(lanes, total) * most + np.clip(np.repeat(source.ravel(), count), 0, most - 1)] if len(where) else place
+    pointer = np.where(code < 256, place, first + place - where)
+    while True:
+        further = pointer[pointer]
+        if (further == pointer).all():
+            break
+        pointer = further
+    pixels = code[pointer].astype(np.uint8).tobytes()
+    return [pixels[b : b + n] if g else None for b, g in zip(base.tolist(), good.tolist(), strict=True)]
+
+
 def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(p),)) + p for p in (data[k : k + 255] for k in range(0, len(data), 255))) + b"\0"
 
 
-def write_gif(width: int, height: int, palette: bytes, frames: list[dict]) -> bytes:
+def write_gif(width: int, height: int, palette: bytes, frames: list[dict], packed: list[bytes] | None = None) -> bytes:
     """A GIF of frames {pixels: indices, and any of x, y, width, height, delay_cs, disposal, transparent,
-    interlaced, palette}; the global palette has 2 to 256 entries, a power of two."""
+    interlaced, palette}; the global palette has 2 to 256 entries, a power of two. packed: the frames' code
+    streams, where they are known already."""
     bits = max(2, (len(palette) // 3 - 1).bit_length())
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF0 | (len(palette) // 3 - 1).bit_length() - 1, 0, 0), palette]
-    ordered = []
-    for f in frames:
-        w, h, rows = f.get("width", width), f.get("height", height), f["pixels"]
-        if f.get("interlaced"):
-            rows = b"".join(rows[y * w : y * w + w] for a, step in INTERLACE for y in range(a, h, step))
-        ordered.append(lzw_codes(rows, bits))
-    for f, data in zip(frames, pack_codes(ordered, bits) if frames else [], strict=True):
+    if packed is None:
+        packed = []
+        for f in frames:
+            w, h, rows = f.get("width", width), f.get("height", height), f["pixels"]
+            if f.get("interlaced"):
+                rows = b"".join(rows[y * w : y * w + w] for a, step in INTERLACE for y in range(a, h, step))
+            codes = np.array(lzw_codes(rows, bits), np.int64)
+            packed += pack_codes(codes, np.array([len(codes)]), bits)
+    for f, data in zip(frames, packed, strict=True):
         clear = f.get("transparent")
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, f.get("disposal", 1) << 2 | (clear is not None), f.get("delay_cs", 10), clear or 0, 0))
         own = f.get("palette", b"")
@@ -167,9 +276,9 @@ def _joined(media: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def read_gif(media: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(delay in ms, canvas of height x width x RGBA) of each frame in turn. A frame's canvas is the picture
-    shown for its time; ValueError or IndexError for what is no GIF."""
+def _parsed(media: bytes) -> tuple[int, int, list[tuple]]:
+    """(width, height, images): of each image (delay in ms, transparent index, disposal, x, y, w, h, interlaced,
+    palette, code bits, code stream). ValueError, IndexError or struct.error for what is no GIF."""
     if media[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags = struct.unpack_from("<HHB", media, 6)
@@ -185,8 +294,8 @@ def read_gif(media: bytes) -> Iterator[tuple[int, np.ndarray]]:
         return table, at + 3 * n
 
     everywhere, at = colours(flags, at)
-    canvas = np.zeros((height, width, 4), np.uint8)
     delay, clear, disposal = 0, None, 0
+    images = []
     while (kind := media[at]) != 0x3B:
         if kind == 0x21:
             if media[at + 1] == 0xF9:
@@ -203,8 +312,17 @@ def read_gif(media: bytes) -> Iterator[tuple[int, np.ndarray]]:
             raise ValueError("no palette")
         bits = media[at]
         data, at = _joined(media, at + 1)
-        pixels = np.frombuffer(lzw_pixels(data, bits, w * h), np.uint8).reshape(h, w)
-        if flags & 0x40:
+        images.append((delay, clear, disposal, x, y, w, h, bool(flags & 0x40), table, bits, data))
+        delay, clear, disposal = 0, None, 0
+    return width, height, images
+
+
+def _shown(width: int, height: int, images: list[tuple], streams: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(delay in ms, canvas of height x width x RGBA) of each frame in turn."""
+    canvas = np.zeros((height, width, 4), np.uint8)
+    for (delay, clear, disposal, x, y, w, h, interlaced, table, _, _), stream in zip(images, streams, strict=True):
+        pixels = np.frombuffer(stream, np.uint8).reshape(h, w)
+        if interlaced:
             order = [r for a, step in INTERLACE for r in range(a, h, step)]
             turned = np.empty_like(pixels)
             turned[order] = pixels
@@ -223,7 +341,13 @@ def read_gif(media: bytes) -> Iterator[tuple[int, np.ndarray]]:
             area[:] = 0
         elif before is not None:
             canvas = before
-        delay, clear, disposal = 0, None, 0
+
+
+def read_gif(media: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(delay in ms, canvas of height x width x RGBA) of each frame in turn. A frame's canvas is the picture
+    shown for its time; ValueError, IndexError or struct.error for what is no GIF."""
+    width, height, images = _parsed(media)
+    return _shown(width, height, images, lzw_pixels_of_all([(x[10], x[9], x[5] * x[6]) for x in images]))
 
 
 def colour_bins(rgb: np.ndarray) -> list[int]:
@@ -232,27 +356,57 @@ def colour_bins(rgb: np.ndarray) -> list[int]:
     return np.bincount(bins.ravel(), minlength=64).tolist()
 
 
-def _frames(media: bytes | None, grey: bool) -> list[dict] | None:
-    if media is None:
-        return None
-    out = []
+def _frames(media: list[bytes | None], grey: bool) -> list[list[dict] | None]:
+    """The frames of several files; their code streams are expanded together."""
+    parsed: list = []
+    for x in media:
+        try:
+            parsed.append(None if x is None else _parsed(x))
+        except (ValueError, IndexError, struct.error):
+            parsed.append(None)
+    wanted = [(k, (x[10], x[9], x[5] * x[6])) for k, p in enumerate(parsed) if p for x in p[2]]
     try:
-        for k, (delay, canvas) in enumerate(read_gif(media)):
+        streams = lzw_pixels_of_all([x for _, x in wanted])
+    except (ValueError, IndexError):
+        if len(media) == 1:
+            return [None]
+        return [y for x in media for y in _frames([x], grey)]
+    own: list[list[bytes]] = [[] for _ in media]
+    for (k, _), stream in zip(wanted, streams, strict=True):
+        own[k].append(stream)
+    out: list = []
+    for p, pixels in zip(parsed, own, strict=True):
+        if p is None:
+            out.append(None)
+            continue
+        out.append([])
+        for n, (delay, canvas) in enumerate(_shown(*p, pixels)):
             rgb = canvas[..., :3]
-            out.append({"frame_no": k, "delay_ms": delay, "width": canvas.shape[1], "height": canvas.shape[0], "pixels": canvas[..., 0].tobytes() if grey else rgb.tobytes(), "histogram": colour_bins(rgb)})
-    except (ValueError, IndexError, struct.error):
-        return None
+            out[-1].append({"frame_no": n, "delay_ms": delay, "width": canvas.shape[1], "height": canvas.shape[0], "pixels": canvas[..., 0].tobytes() if grey else rgb.tobytes(), "histogram": colour_bins(rgb)})
     return out
 
 
+def _in_parts(rows: list, size: int = 4 << 20) -> Iterator[list]:
+    """rows, some MB at a time."""
+    part, n = [], 0
+    for x in rows:
+        part.append(x)
+        n += len(x or b"")
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 @F.arrow_udf(FRAMES_TYPE)
 def _decode_rgb(media: pa.Array) -> pa.Array:
-    return pa.array([_frames(x, False) for x in media.to_pylist()], _FRAMES)
+    return pa.array([y for part in _in_parts(media.to_pylist()) for y in _frames(part, False)], _FRAMES)
 
 
 @F.arrow_udf(FRAMES_TYPE)
 def _decode_grey(media: pa.Array) -> pa.Array:
-    return pa.array([_frames(x, True) for x in media.to_pylist()], _FRAMES)
+    return pa.array([y for part in _in_parts(media.to_pylist()) for y in _frames(part, True)], _FRAMES)
 
 
 def decode_gif(media: Column, grey: bool = False) -> Column:
@@ -270,19 +424,28 @@ def frames_of(table: DataFrame, media: str = "media", grey: bool = False) -> Dat
 _GREY = bytes(v for k in range(256) for v in (k, k, k))
 
 
-def store_samples(payload: bytes) -> bytes:
-    """8-bit samples, a whole number of frames, as a grey GIF of SIDE x SIDE pixels, a tenth of a second each."""
-    return write_gif(SIDE, SIDE, _GREY, [{"pixels": payload[k : k + FRAME]} for k in range(0, len(payload), FRAME)])
+def store_samples(payloads: list[bytes]) -> list[bytes]:
+    """8-bit samples, a whole number of frames each, as grey GIFs of SIDE x SIDE pixels, a tenth of a second a frame."""
+    if not payloads:
+        return []
+    pixels = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
+    packed: list[bytes] = []
+    for k in range(0, len(pixels), LANES):
+        packed += pack_codes(*lzw_codes_of_all(pixels[k : k + LANES], 8), 8)
+    out, at = [], 0
+    for p in payloads:
+        n = len(p) // FRAME
+        out.append(write_gif(SIDE, SIDE, _GREY, [{}] * n, packed[at : at + n]))
+        at += n
+    return out
 
 
 @F.arrow_udf(T.BinaryType())
 def encode_samples(text: pa.Array) -> pa.Array:
     """The UTF-8 of each text (null: empty), padded with 255 to a positive number of whole frames, as a GIF."""
-    out = []
-    for raw in text.cast(pa.large_binary()).to_pylist():
-        raw = raw or b""
-        out.append(store_samples(raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)))
-    return pa.array(out, pa.binary())
+    rows = (x or b"" for x in text.cast(pa.large_binary()).to_pylist())
+    padded = [raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME) for raw in rows]
+    return pa.array([y for part in _in_parts(padded) for y in store_samples(part)], pa.binary())
 
 
 _DIGEST = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())])

@@ -26,8 +26,26 @@ def test_lzw_round_trip():
     rnd = random.Random(1)
     for n, letters in ((1, 256), (2, 1), (576, 4), (576, 256), (5000, 1), (30_000, 3), (30_000, 256), (70_000, 20)):
         data = bytes(rnd.randrange(letters) for _ in range(n))
-        (packed,) = gif.pack_codes([gif.lzw_codes(data, 8)], 8)
-        assert gif.lzw_pixels(packed, 8, n) == data, (n, letters)
+        codes = np.array(gif.lzw_codes(data, 8))
+        (packed,) = gif.pack_codes(codes, np.array([len(codes)]), 8)
+        assert gif.lzw_pixels(packed, 8, n) == gif.lzw_pixels_of_all([(packed, 8, n)])[0] == data, (n, letters)
+
+
+def test_many_images_at_once():
+    rnd = random.Random(2)
+    rows = [bytes(rnd.randrange(letters) for _ in range(576)) for letters in (1, 2, 3, 20, 256) for _ in range(8)] + [bytes(k % 256 for k in range(576)), b"ab" * 288, bytes((k * k) % 251 for k in range(576))]
+    codes, lengths = gif.lzw_codes_of_all(np.array([list(r) for r in rows], np.uint8), 8)
+    assert codes.tolist() == [c for r in rows for c in gif.lzw_codes(r, 8)]
+    packed = gif.pack_codes(codes, lengths, 8)
+    assert gif.lzw_pixels_of_all([(d, 8, 576) for d in packed]) == rows == [gif.lzw_pixels(d, 8, 576) for d in packed]
+    two = gif.pack_codes(np.array([256, *rows[0][:300], 256, *rows[0][300:], 257]), np.array([579]), 8)  # cleared on the way
+    assert gif.lzw_pixels_of_all([(two[0], 8, 576)]) == [rows[0]]
+    for bad in (b"", packed[0][:3], b"\x00" * 40):
+        try:
+            gif.lzw_pixels_of_all([(bad, 8, 576)])
+            raise AssertionError
+        except (ValueError, IndexError):
+            pass
 
 
 def test_disposal_transparency_interlace():
@@ -56,7 +74,7 @@ def test_query(spark):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
         r = got[k]
-        media = gif.store_samples(payload)
+        (media,) = gif.store_samples([payload])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[2][1:] == got[7][1:]
@@ -64,7 +82,7 @@ def test_query(spark):
 
 
 def test_frames_table(spark):
-    table = spark.createDataFrame([(1, bytearray(gif.store_samples(bytes(1152)))), (2, None), (3, bytearray(b"GIF89a"))], "id long, media binary")
+    table = spark.createDataFrame([(1, bytearray(gif.store_samples([bytes(1152)])[0])), (2, None), (3, bytearray(b"GIF89a")), (4, bytearray(gif.store_samples([bytes(576)])[0][:-40]))], "id long, media binary")
     rows = gif.frames_of(table).select("id", "frame.*").collect()
     assert [(r.id, r.frame_no, r.delay_ms, len(r.pixels), r.histogram[0]) for r in rows] == [(1, 0, 100, 1728, 576), (1, 1, 100, 1728, 576)]
     assert np.frombuffer(rows[0].pixels, np.uint8).sum() == 0
