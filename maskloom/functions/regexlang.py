@@ -13,7 +13,7 @@ SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 HANGUL_CJK = r"\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f\u4e00-\u9fff\u3400-\u4dbf"
 LINE_ENDS = r"\n\r\u2028\u2029"
 #: Fixed value: repetition of a repeated group, which can take exponential time.
-NESTED_REPETITION = r"\([^()]*[+*][^()]*\)\s*[+*{]"
+NESTED_REPETITION = r"\([^)]*[\*\+][^)]*\)[\*\+]|\([^)]*\{[0-9]+,?[0-9]*\}[^)]*\)[\*\+]|\([^)]*[\*\+][^)]*\)\{[0-9]+,?[0-9]*\}|[\*\+]{2,}"
 _WORD = "[A-Za-z0-9_]"
 _EDGE = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _NO_EDGE = rf"(?:(?<!{_WORD})(?!{_WORD})|(?<={_WORD})(?={_WORD}))"

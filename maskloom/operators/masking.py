@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.regexlang import SPACE, term_pattern, translated
-from maskloom.functions.text import LOOK_ALIKE, TOKEN, sanitized, unescape_look_alikes, zipped
+from maskloom.functions.text import LOOK_ALIKE, TOKEN, once, sanitized, unescape_look_alikes, zipped
 from maskloom.sources.dictionary import TERM_CHARS, Dictionary
 
 TOKEN_FORMAT = "<{type}_{n}>"
@@ -75,7 +75,7 @@ def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spa
         return df.withColumn(out, F.array().cast(f"array<{SPAN}>"))
     body = F.coalesce(F.col(text), F.lit(""))
     own = lambda what, n: f"__{what}_{n}"
-    df = df.withColumns({own("hits", n): F.regexp_extract_all(body, F.lit(r), F.lit(0)) for n, r, _ in rules})
+    df = df.withColumns({own("hits", n): once(F.regexp_extract_all(body, F.lit(r), F.lit(0))) for n, r, _ in rules})
     df = df.withColumns({own("pieces", n): F.when(F.size(own("hits", n)) > 0, F.split(body, r, -1)) for n, r, _ in rules})
     terms = _text_map(known)
     spans = []
@@ -91,6 +91,12 @@ def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spa
     return df.drop(*(own(what, n) for what in ("hits", "pieces", "spans") for n, _, _ in rules), own("spans", 0))
 
 
+def spans_relation(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
+    """A row (keys, start, end, entity, surface, ...) for each span. The outer form with a filter behind it: the
+    inner form would be given a filter over the spans, which would find them twice."""
+    return df.select(*keys, F.inline_outer(spans)).filter("surface IS NOT NULL")
+
+
 def rendered(entity: Column, number: Column, token_format: str = TOKEN_FORMAT) -> Column:
     before, _, rest = token_format.partition("{type}")
     middle, _, after = rest.partition("{n}")
@@ -163,7 +169,7 @@ def mask(df: DataFrame, text: str, dictionary: Dictionary, token_format: str = T
     """
     body = sanitized(F.col(text))
     df = df.withColumn("__clean", body)
-    df = df.withColumns({"__look": F.regexp_extract_all("__clean", F.lit(LOOK_ALIKE), F.lit(0)), "__between": F.split("__clean", LOOK_ALIKE, -1)})
+    df = df.withColumns({"__look": once(F.regexp_extract_all("__clean", F.lit(LOOK_ALIKE), F.lit(0))), "__between": F.split("__clean", LOOK_ALIKE, -1)})
     df = df.withColumn("__clean", zipped(F.col("__look"), F.col("__between"), lambda h: F.when(h.startswith("<<"), h).otherwise(F.concat(F.lit("<"), h, F.lit(">")))))
     df = find_spans(df, "__clean", dictionary, "__found").withColumn("__fold", assign_tokens(F.col("__clean"), F.col("__found"), token_format, escape))
     masked = F.concat(F.col("__fold.out"), F.substring(F.col("__clean"), F.col("__fold.at") + 1, F.length("__clean")))
@@ -175,7 +181,7 @@ def restore(df: DataFrame, masked: str, entries: str) -> DataFrame:
     """df with restored_text and restored: known tokens as their terms in one pass, unknown ones as they are, then
     double brackets as single ones; restored counts the known tokens."""
     df = df.withColumn("__by_token", F.map_from_entries(F.transform(entries, lambda e: F.struct(e["token"].alias("key"), e["term"].alias("value")))))
-    df = df.withColumns({"__hits": F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)), "__between": F.split(masked, TOKEN, -1)})
+    df = df.withColumns({"__hits": once(F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0))), "__between": F.split(masked, TOKEN, -1)})
     text = zipped(F.col("__hits"), F.col("__between"), lambda h: F.coalesce(F.element_at(F.col("__by_token"), h), h))
     n = F.size(F.filter("__hits", lambda h: F.map_contains_key(F.col("__by_token"), h)))
     return df.withColumns({"restored_text": unescape_look_alikes(text), "restored": F.greatest(n, F.lit(0)).cast("long")}).drop("__by_token", "__hits", "__between")
@@ -183,7 +189,7 @@ def restore(df: DataFrame, masked: str, entries: str) -> DataFrame:
 
 def mapping_relation(masked: DataFrame, *keys: str) -> DataFrame:
     """A row (keys, token, entity, term) for each entry."""
-    return masked.select(*keys, F.inline("entries"))
+    return masked.select(*keys, F.inline_outer("entries")).filter("token IS NOT NULL")
 
 
 def mapping_json(entries: Column, max_group: Column, token_format: str = TOKEN_FORMAT) -> Column:
