@@ -28,9 +28,9 @@ from maskloom.llm.shared import saved
 
 #: Words of a shingle.
 WORDS = 5
-#: Counters of a sketch, members of a tile of an open group, partners that one task verifies, signatures of a block of the shuffle.
-SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 256, 512, 256, 500_000
-#: Candidate ids up to this number are broadcast to the texts (8 MB), more are joined by a shuffle.
+#: Least and most counters of a sketch, members of a tile of an open group, partners that one task verifies, signatures of a block of the shuffle.
+SKETCH, MOST_SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 128, 8192, 512, 256, 500_000
+#: Candidate ids and pairs up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
@@ -145,11 +145,33 @@ def signatures(shingles: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts of shingles by hash, 255 at most; two sketches are never further apart than their sets."""
-    counts = np.bincount((_mix(shingles * _PLACE[4]) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    """Counts of shingles by hash, 255 at most, about one counter for three shingles. Two sketches, the longer one
+    folded to the length of the other, are never further apart than their sets."""
+    n = SKETCH
+    while 3 * n < len(shingles) and n < MOST_SKETCH:
+        n *= 2
+    counts = np.bincount((_mix(shingles * _PLACE[4]) & _U(n - 1)).astype(np.int64), minlength=n)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Distances of pairs of sketches."""
+    sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+    out = np.zeros(len(a), np.int64)
+
+    def folded(rows: list[bytes], n: int) -> np.ndarray:
+        if all(len(r) == n for r in rows):
+            return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n).astype(np.int16)
+        return np.stack([np.frombuffer(r, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int16) for r in rows])
+
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        for k in range(0, len(at), 4096):
+            part = at[k : k + 4096].tolist()
+            out[part] = np.abs(folded([a[i] for i in part], n) - folded([b[i] for i in part], n)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def set_id(shingles: np.ndarray) -> int:
     """A number of the set as a whole: equal sets are one class."""
     both = shingles.sum(keepdims=True) * _PLACE[0] + np.bitwise_xor.reduce(_mix(shingles + _U(1)), keepdims=True) * _PLACE[1]
@@ -198,7 +220,7 @@ def _pack(buckets: int):
             rows["doc_id"].append(number[here].tobytes())
             rows["known"].append(known[here].tobytes())
             rows["size"].append(sizes[here].tobytes())
-            rows["sketch"].append(b"".join(sketches[i] for i in here.tolist()))
+            rows["sketch"].append(np.array([len(sketches[i]) for i in here.tolist()], np.int32).tobytes() + b"".join(sketches[i] for i in here.tolist()))
         types = {"bucket": pa.int32()}
         return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()})
 
@@ -241,14 +263,18 @@ def _meet(table: pa.Table) -> pa.Table:
     rest = ~first
     bucket = table["bucket"][0].as_py()
     ids, known, size, own = read("doc_id", np.int64), read("known", np.uint8).astype(bool), read("size", np.int64), read("cls", np.int64)
-    sketches = b"".join(table["sketch"].to_pylist())
+    sketches: list[bytes] = []
+    for block, count in zip(table["sketch"].to_pylist(), table["size"].to_pylist(), strict=True):
+        lengths = np.frombuffer(block, np.int32, len(count) // 8)
+        ends = (4 * len(lengths) + np.cumsum(lengths)).tolist()
+        sketches += [block[e - x : e] for e, x in zip(ends, lengths.tolist(), strict=True)]
     n, m = len(ids), int(rest.sum())
     return pa.table(
         {
             "doc_id": pa.concat_arrays([pa.array(ids, pa.int64(), mask=~known), pa.nulls(m, pa.int64())]),
             "cls": pa.concat_arrays([pa.array(own), pa.nulls(m, pa.int64())]),
             "size": pa.concat_arrays([pa.array(size), pa.nulls(m, pa.int64())]),
-            "sketch": pa.array([sketches[SKETCH * k : SKETCH * (k + 1)] for k in range(n)] + [None] * m, pa.binary()),
+            "sketch": pa.array(sketches + [None] * m, pa.binary()),
             "signature": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(value[rest].astype(np.int64) | bucket << 32)]),
             "leader": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(leader[rest])]),
             "member": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(member[rest])]),
@@ -257,38 +283,61 @@ def _meet(table: pa.Table) -> pa.Table:
     )
 
 
-def _distance_fits(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
-    """Of pairs, given as arrays of sizes and of sketches: whether size and sketch allow a link."""
-    apart = np.abs(sketch_a.astype(np.int16) - sketch_b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (100 * least >= 75 * most) & (7 * apart <= size_a + size_b)
+def _fits_of(size_a: np.ndarray, sketch_a: list[bytes], size_b: np.ndarray, sketch_b: list[bytes]) -> np.ndarray:
+    """Of pairs: whether sizes and sketches allow a link."""
+    return (100 * np.minimum(size_a, size_b) >= 75 * np.maximum(size_a, size_b)) & (7 * _apart(sketch_a, sketch_b) <= size_a + size_b)
 
 
 def _fits(batches):
     """Pairs with sizes and sketches to the pairs that can be links."""
     for t in batches:
         if t.num_rows:
-            sa, sb = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            good = _distance_fits(t.column("size_a").to_numpy(), sa, t.column("size_b").to_numpy(), sb)
+            good = _fits_of(t.column("size_a").to_numpy(), t.column("sketch_a").to_pylist(), t.column("size_b").to_numpy(), t.column("sketch_b").to_pylist())
             yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b")}).filter(pa.array(good))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """One or two tiles of an open group: pairs of different components that size and sketch allow."""
-    low, high = table["low"][0].as_py(), table["high"][0].as_py()
-    tile = table["tile"].to_numpy()
-    cls, comp, size = (table[c].to_numpy() for c in ("cls", "component", "size"))
-    sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-    left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-    out = [np.zeros((0, 2), np.int64)]
-    for i in left.tolist():
-        j = right[(cls[right] > cls[i]) | (low != high)]
-        j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i]))]
-        if len(j):
-            j = j[_distance_fits(size[i], sketches[i][None, :], size[j], sketches[j])]
-            out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
-    pairs = np.concatenate(out)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _across(batches):
+    """Sorted tiles of open groups, a pair of tiles after the other: pairs of different components that sizes and
+    sketches allow."""
+    carried: list[pa.RecordBatch] = []
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        signature, low, high, tile, cls, comp, size = (t[c].to_numpy() for c in ("signature", "low", "high", "tile", "cls", "component", "size"))
+        sketches = t["sketch"].to_pylist()
+        edge = np.flatnonzero((np.diff(signature) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        found = [(np.zeros(0, np.int64),) * 2]
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cls)], strict=True):
+            if low[a] == high[a]:
+                i, j = np.triu_indices(b - a, 1)
+            else:
+                left, right = np.flatnonzero(tile[a:b] == low[a]), np.flatnonzero(tile[a:b] == high[a])
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            i, j = i + a, j + a
+            near = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= 75 * np.maximum(size[i], size[j]))
+            found.append((i[near], j[near]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+        # the same two sets meet in many groups
+        _, once = np.unique(np.stack([cls[i], cls[j]], axis=1), axis=0, return_index=True) if len(i) else (None, i)
+        i, j = i[once], j[once]
+        good = np.zeros(len(i), bool)
+        for k in range(0, len(i), 20_000):
+            p, q = i[k : k + 20_000], j[k : k + 20_000]
+            good[k : k + 20_000] = _fits_of(size[p], [sketches[x] for x in p.tolist()], size[q], [sketches[x] for x in q.tolist()])
+        return pa.RecordBatch.from_pydict({"a": pa.array(cls[i[good]]), "b": pa.array(cls[j[good]])})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*carried, batch])
+        key = [table[c].to_numpy() for c in ("signature", "low", "high")]
+        last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last pair of tiles may go on
+        carried = table.slice(cut).to_batches()
+        if cut:
+            yield pairs(table.slice(0, cut))
+    if carried:
+        yield pairs(pa.Table.from_batches(carried))
 
 
 def _sets(batches):
@@ -319,12 +368,15 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     possible = saved(pairs.distinct().join(one("a"), "a").join(one("b"), "b").mapInArrow(_fits, "a long, b long"), "pairs")
     ends = possible.select(F.col("a").alias("cls")).union(possible.select(F.col("b").alias("cls"))).distinct()
     wanted = saved(ends.join(classes, "cls").select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and possible.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = saved(texts.mapInArrow(_sets, "cls long, shingles binary").join(ends, "cls", "left_semi"), "sets")
+    sets = saved(texts.mapInArrow(_sets, "cls long, shingles binary"), "sets")
     salts = possible.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
-    right = possible.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("theirs")), "b").select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", "theirs")
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("mine")).join(salts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "mine")
+    dealt = saved(possible.join(salts, "a").select("a", "b", "salts", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "pairs")
+    heads = dealt.select("a", "salts").distinct()
+    near = lambda x: F.broadcast(x) if few else x
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("theirs")).join(near(dealt.select("a", "b", "salt")), "b").select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", "theirs")
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("mine")).join(near(heads), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "mine")
     return left.groupBy("a", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(_verify, "a long, b long")
 
 
@@ -378,7 +430,8 @@ def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     met = members.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "signature", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
     )
-    return met.groupBy("signature", "low", "high").applyInArrow(_across, "a long, b long").distinct()
+    keys = ["signature", "low", "high"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long").distinct()
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

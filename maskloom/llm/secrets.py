@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.functions.text import once
+
 #: The base kinds with their patterns, in the order of the reports.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -129,7 +131,7 @@ def find_secrets(docs: DataFrame, text: str = "text", ratios: list[float] | None
     }
     own = lambda what, k: f"__secret_{what}_{k}"
     # columns of their own, so that each pattern runs once over a text
-    rows = docs.withColumns({own("hits", k): F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r), F.lit(0)) for k, r in kinds.items()})
+    rows = docs.withColumns({own("hits", k): once(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r), F.lit(0))) for k, r in kinds.items()})
     rows = rows.withColumns({own("pieces", k): F.when(F.size(own("hits", k)) > 0, F.split(F.col(text), r, -1)) for k, r in kinds.items()})
     rows = rows.withColumns({own("spans", k): _spans(F.col(own("hits", k)), F.col(own("pieces", k)), k, n, keep.get(k)) for n, k in enumerate(kinds)})
     rows = rows.withColumn(own("spans", "base"), F.concat(*(own("spans", k) for k in BASE_KINDS)))

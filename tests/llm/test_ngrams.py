@@ -61,8 +61,7 @@ def test_shingle_sets_and_signatures():
         if linked(set(a.tolist()), set(b.tolist())):
             pairs += 1
             misses += not set(ngrams.signatures(a).tolist()) & set(ngrams.signatures(b).tolist())
-            sa, sb = (np.frombuffer(ngrams.sketch(x), np.uint8) for x in (a, b))
-            assert ngrams._distance_fits(np.array([len(a)]), sa[None], np.array([len(b)]), sb[None])[0]
+            assert ngrams._fits_of(np.array([len(a)]), [ngrams.sketch(a)], np.array([len(b)]), [ngrams.sketch(b)])[0]
     assert pairs > 100 and not misses
 
 
