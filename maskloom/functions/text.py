@@ -14,12 +14,6 @@ SERVER_PATH = r"""/(?:opt|home|root|etc|var|usr|tmp)/[^\s"'`]+"""
 SECRET_NAME = r"(?i)TOKEN|KEY|SECRET|PASSWORD|CREDENTIAL"
 
 
-def once(value: Column) -> Column:
-    """The value itself, but no filter is moved below it: a filter over what is made of it would have it computed
-    again, inside of lambda functions again for each element."""
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def sanitized(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 

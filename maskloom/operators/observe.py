@@ -56,7 +56,7 @@ def rate_limited(events: DataFrame, key: str, ts: str, window_ms: int = WINDOW_M
 
     A key's events that lie further apart than the window can't reach each other, so the fold runs over each
     burst (events less than a window after the one before), not over a key's whole history."""
-    ms = F.unix_millis(F.col(ts))
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
     order = W.partitionBy(key).orderBy(ts, "event_id")
     rows = events.withColumn("__ms", ms).withColumn("__new", F.coalesce((F.col("__ms") - F.lag("__ms").over(order) >= window_ms).cast("int"), F.lit(1)))
     rows = rows.withColumn("__burst", F.sum("__new").over(order))

@@ -190,8 +190,9 @@ def q_commented_terms(spark, sf_dir):
 
 
 @_query(
-    """WITH s AS (SELECT r_regionkey, n_nationkey, n_name, dense_rank() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS g FROM nation JOIN region ON n_regionkey = r_regionkey)
-  SELECT r_name AS category, n_nationkey AS ord, CAST(g AS INT) AS group_no, n_name AS alias, g || 'A' AS token_suffix FROM s JOIN region USING (r_regionkey)"""
+    """WITH e AS (SELECT r_name, n_nationkey, n_name, min(n_nationkey) OVER (PARTITION BY r_name, n_name) AS first_key FROM nation JOIN region ON n_regionkey = r_regionkey),
+  s AS (SELECT *, dense_rank() OVER (PARTITION BY r_name ORDER BY first_key) AS g FROM e)
+  SELECT r_name AS category, n_nationkey AS ord, CAST(g AS INT) AS group_no, n_name AS alias, g || 'A' AS token_suffix FROM s"""
 )
 def q_alias_groups(spark, sf_dir):
     n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
@@ -268,7 +269,7 @@ def q_header_filter(spark, sf_dir):
     return rows.select("auth", F.array_join(F.transform(F.array_sort(F.map_entries(sent)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("sent"))
 
 
-@_query(_values([(1, "a", 200, 1), (2, "b", 200, 2), (3, "c", 500, 3), (4, "c", 402, 2), (5, "b", 502, 3)], "request_id", "provider", "status", "tried"))
+@_query(_values([(1, "a", 200, 1), (2, "b", 200, 2), (3, "c", 500, 3), (4, "c", 402, 2), (5, "b", 502, 2)], "request_id", "provider", "status", "tried"))
 def q_fallback_choice(spark, sf_dir):
     requests = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "b"), (5, "c")], "request_id long, provider string")
     providers = spark.createDataFrame([("a", True, None), ("b", False, 0), ("c", False, 1), ("d", False, None)], "name string, active boolean, fallback_pos int")

@@ -154,7 +154,7 @@ def alias_groups(entries: DataFrame) -> DataFrame:
     share the group of its first one; groups are numbered by first appearance."""
     from maskloom.functions.text import letters
 
-    rows = entries.withColumn("aliases", F.filter(F.transform(F.split("entry", ","), F.trim), lambda x: x != "")).withColumn("canonical", F.get("aliases", 0))
+    rows = entries.withColumn("aliases", F.filter(F.transform(F.split("entry", ","), lambda x: F.trim(x)), lambda x: x != "")).withColumn("canonical", F.get("aliases", 0))
     rows = rows.withColumn("at", F.min("ord").over(W.partitionBy("category", "canonical")))
     rows = rows.withColumn("group_no", F.dense_rank().over(W.partitionBy("category").orderBy("at")))
     rows = rows.select("category", "ord", "group_no", F.posexplode("aliases").alias("alias_no", "alias"))
@@ -163,7 +163,7 @@ def alias_groups(entries: DataFrame) -> DataFrame:
 
 def lint(entries: DataFrame) -> DataFrame:
     """entries(category, ord, entry, allow_short) with problem: the first rule that an entry breaks, or ok."""
-    aliases = F.filter(F.transform(F.split("entry", ","), F.trim), lambda x: x != "")
+    aliases = F.filter(F.transform(F.split("entry", ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = entries.withColumn("aliases", aliases)
     owners = rows.select("category", F.explode("aliases").alias("alias")).groupBy("alias").agg(F.count_distinct("category").alias("n")).filter("n > 1")
     crossed = rows.select("ord", F.explode("aliases").alias("alias")).join(owners, "alias").select(F.col("ord").alias("crossed")).distinct()
