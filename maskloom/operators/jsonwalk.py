@@ -105,9 +105,18 @@ def json_strings(body: pa.Array, dialect: pa.Array) -> pa.Array:
     return pa.array([strings_of(b, d) for b, d in zip(body.to_pylist(), dialect.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.StringType())
-def json_with_strings(body: pa.Array, dialect: pa.Array, strings: pa.Array) -> pa.Array:
-    return pa.array([with_strings(*x) for x in zip(body.to_pylist(), dialect.to_pylist(), strings.to_pylist(), strict=True)], pa.string())
+def put_back(df: DataFrame, strings: str, out: str) -> DataFrame:
+    """df with the string column out: body with its strings replaced by those of the array column strings."""
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            columns = {n: b.column(n) for n in b.schema.names if n != out}
+            rows = zip(*(b.column(n).to_pylist() for n in ("body", "dialect", strings)), strict=True)
+            columns[out] = pa.array([with_strings(*r) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return df.mapInArrow(run, schema)
 
 
 def mask_requests(requests: DataFrame, dictionary: Dictionary) -> DataFrame:
@@ -119,10 +128,10 @@ def mask_requests(requests: DataFrame, dictionary: Dictionary) -> DataFrame:
     rows = rows.withColumn("__joined", F.array_join(F.transform("__strings", lambda s: F.replace(s, F.lit(SEPARATOR), F.lit(""))), SEPARATOR))
     rows = masking.mask(rows, "__joined", dictionary)
     parts = F.when(F.size("__strings") > 0, F.split("masked", SEPARATOR, -1)).otherwise(F.when(F.col("__strings").isNotNull(), F.array().cast("array<string>")))
-    rows = rows.withColumn("masked_body", json_with_strings("body", "dialect", parts))
+    rows = put_back(rows.withColumn("__parts", parts), "__parts", "masked_body")
     scope = F.concat_ws("\n", *(F.get_json_object("masked_body", f"$.{k}") for k in guard.GUARDED_KEYS))
     rows = rows.withColumns({"error": F.col("__strings").isNull(), "leak": guard.leak(scope, dictionary)})
-    return rows.withColumn("masked_body", F.when(~F.col("leak"), F.col("masked_body"))).drop("__strings", "__joined", "masked", "bypassed")
+    return rows.withColumn("masked_body", F.when(~F.col("leak"), F.col("masked_body"))).drop("__strings", "__joined", "__parts", "masked", "bypassed")
 
 
 def restore_responses(responses: DataFrame) -> DataFrame:
@@ -131,6 +140,7 @@ def restore_responses(responses: DataFrame) -> DataFrame:
     rows = responses.withColumn("__strings", json_strings("body", "dialect"))
     rows = rows.withColumn("__joined", F.coalesce(F.array_join("__strings", SEPARATOR), F.col("body")))
     rows = masking.restore(rows, "__joined", "entries")
-    built = json_with_strings("body", "dialect", F.split("restored_text", SEPARATOR, -1))
-    text = F.when(F.col("restored") == 0, F.col("body")).when(F.col("__strings").isNull(), F.col("restored_text")).otherwise(built)
-    return rows.withColumn("restored_body", text).drop("__strings", "__joined", "restored_text", "restored")
+    rows = rows.withColumn("__parts", F.when((F.col("restored") > 0) & F.col("__strings").isNotNull(), F.split("restored_text", SEPARATOR, -1)))
+    rows = put_back(rows, "__parts", "restored_body")
+    text = F.when(F.col("restored") == 0, F.col("body")).when(F.col("__strings").isNull(), F.col("restored_text")).otherwise(F.col("restored_body"))
+    return rows.withColumn("restored_body", text).drop("__strings", "__joined", "__parts", "restored_text", "restored")
