@@ -98,6 +98,9 @@ class EventRestorer:
     def _walk(self, node, path: str, held: dict[str, str]):
         if isinstance(node, str):
             out, hold = split_at_cut(self.holds.pop(path, "") + node, self.mapping)
+            if len(hold) <= len(node):  # what earlier events brought is out
+                for e in self.queue:
+                    e.get("held", {}).pop(path, None)
             if hold:
                 self.holds[path] = hold
                 held[path] = hold[-len(node) :] if len(hold) > len(node) else hold
