@@ -29,9 +29,11 @@ from maskloom.llm.shared import saved
 #: Words of a shingle.
 WORDS = 5
 #: Least and most counters of a sketch, members of a tile of an open group, partners that one task verifies, signatures of a block of the shuffle.
-SKETCH, MOST_SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 128, 8192, 512, 256, 500_000
+SKETCH, MOST_SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 128, 8192, 256, 256, 250_000
 #: Candidate ids and pairs up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Characters and documents of a packed block.
+BLOCK_CHARS, BLOCK_DOCUMENTS = 3_000_000, 2500
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 
@@ -233,7 +235,7 @@ def _pack(buckets: int):
                 ids.append(k)
                 texts.append(t)
                 size += len(t or "")
-                if size > 12_000_000 or len(ids) >= 8000:
+                if size > BLOCK_CHARS or len(ids) >= BLOCK_DOCUMENTS:
                     yield block(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
