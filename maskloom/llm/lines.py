@@ -5,10 +5,11 @@ STRIDE-th character inside of long words. Its signature are the smallest hashes
 minima of one random order); two neighbours in the signature are a band, so lines of similarity
 THRESHOLD share a band with high probability. In a band, lines are sorted by signature, and each is a
 candidate with the line before it and with the band's first line; where a band's lines are then still
-in several components, all its pairs across components are candidates too (a band of more than CROWD
-lines, whose two minima are common ones, is first divided by the minimum that follows, and again).
-Candidates are verified by exact Jaccard similarity of their whole sets, links are joined by
-distributed union-find, and of each component the first line, by document and place, stays.
+in several components, all its pairs across components are candidates too, whatever the band's size:
+they are compared in tiles. Two filters without error come before sets are fetched: the sizes, and
+the distance of parity sketches, which is never larger than the sets' difference. Candidates are
+verified by exact Jaccard similarity of their whole sets, links are joined by distributed union-find,
+and of each component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SHINGLE, STRIDE = 12, 8
 BANDS = 8
 #: Links have a Jaccard similarity of so many hundredths at least.
 THRESHOLD = 75
-#: A band of more lines takes one more minimum, for pairs across components.
-CROWD = 100
+#: Lines of a side of a tile, in which a band's pairs across components are compared.
+TILE = 1000
 #: Candidate lines up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -49,35 +50,65 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _bands(low: Column) -> Column:
-    """The bands of a signature: array<struct<band, third, fourth>>; a set of one shingle has one band."""
+    """The bands of a signature: array<struct<band, third>>; a set of one shingle has one band."""
     at = lambda k: F.coalesce(F.get(low, k), F.lit(0))
     return F.transform(
         F.sequence(F.lit(0), F.greatest(F.least(F.size(low) - 1, F.lit(BANDS)), F.lit(1)) - 1),
-        lambda k: F.struct(F.xxhash64(at(k), at(k + 1)).alias("band"), at(k + 2).alias("third"), at(k + 3).alias("fourth")),
+        lambda k: F.struct(F.xxhash64(at(k), at(k + 1)).alias("band"), at(k + 2).alias("third")),
     )
 
 
+def _sketch() -> Column:
+    """Of the column hashes 256 bits, in four numbers: the parity of the hashes that fall on each. Two sketches
+    never differ in more bits than their sets in elements."""
+    word = "aggregate(filter(hashes, h -> (h & 3) = {}), 0L, (s, h) -> s ^ shiftleft(1L, cast(shiftright(h, 2) & 63 AS int)))"
+    return F.struct(*(F.expr(word.format(k)).alias(f"w{k}") for k in range(4)))
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+
+
+def _fits(threshold: int) -> Column:
+    """Whether sizes and sketches of a pair allow a link."""
+    sizes = 100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+    return sizes & ((100 + threshold) * _apart("sketch_a", "sketch_b") <= (100 - threshold) * (F.col("size_a") + F.col("size_b")))
+
+
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row_key, pos, line_id, kept: each line of docs(doc_id, text) that is not blank. row_key tells rows
     with equal doc_id apart. Rows that are equal in both are one document, whose lines count once."""
     lines = _lines(docs.select("doc_id", "text"))
     hashed = lines.select("doc_id", "row_key", "pos", "line_id", shingle_hashes(F.col("norm")).alias("hashes"))
     place = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"), F.col("pos").alias("pos"))
-    found = saved(hashed.select("doc_id", "row_key", "pos", "line_id", F.size("hashes").alias("size"), F.slice("hashes", 1, BANDS + 3).alias("low")), "lines")
+    found = saved(hashed.select("doc_id", "row_key", "pos", "line_id", F.size("hashes").alias("size"), F.slice("hashes", 1, BANDS + 2).alias("low")), "lines")
     classes = saved(found.groupBy("line_id").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("low").alias("low")), "line-classes")
     banded = classes.select("line_id", "size", F.element_at("low", 1).alias("lowest"), F.inline(_bands(F.col("low"))))
     order = W.partitionBy("band").orderBy("lowest", "third", "size", "line_id")
     line = F.struct("line_id", "size")
     shared = banded.select("*", F.count("*").over(W.partitionBy("band")).alias("n"), F.lag(line).over(order).alias("last"), F.first(line).over(order).alias("lead")).filter("n > 1")
-    shared = saved(shared.select("band", "third", "fourth", "n", "line_id", "size", "last", "lead"), "line-bands")
-    fits = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-    met = shared.filter("last IS NOT NULL").select("line_id", "size", F.explode(F.array_distinct(F.array("last", "lead"))).alias("other")).filter(fits("size", "other.size"))
-    pairs = saved(met.select(F.least("line_id", "other.line_id").alias("a"), F.greatest("line_id", "other.line_id").alias("b")).distinct(), "line-pairs")
-    links = saved(_links(lines, pairs, threshold), "line-links")
+    shared = saved(shared.select("band", "n", "line_id", "size", "last", "lead"), "line-bands")
+    sets = _sets(lines, shared.select("line_id").distinct())
+    sizes = 100 * F.least("size", "other.size") >= threshold * F.greatest("size", "other.size")
+    met = shared.filter("last IS NOT NULL").select("line_id", "size", F.explode(F.array_distinct(F.array("last", "lead"))).alias("other")).filter(sizes)
+    pairs = met.select(F.least("line_id", "other.line_id").alias("a"), F.greatest("line_id", "other.line_id").alias("b")).distinct()
+    one = lambda s: sets.select(F.col("line_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    pairs = saved(pairs.join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold)).select("a", "b"), "line-pairs")
+    links = saved(_links(sets, pairs, threshold), "line-links")
     labels = components(links)
-    across = saved(_across(shared, labels).filter(fits("size_a", "size_b")).select("a", "b").distinct(), "line-pairs")
+    across = saved(_across(shared.filter("n > 2").select("band", "line_id"), sets, labels, threshold), "line-pairs")
     if across.limit(1).count():
-        labels = components(links.union(saved(_links(lines, across, threshold), "line-links")))
+        # the nearest line of each first: most of the others are then in one component
+        ends = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+        nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.union(saved(_links(sets, saved(nearest, "line-pairs"), threshold), "line-links"))
+        labels = components(links)
+        end = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))
+        rest = across.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+        rest = saved(rest.filter("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b"), "line-pairs")
+        if rest.limit(1).count():
+            labels = components(links.union(saved(_links(sets, rest, threshold), "line-links")))
     grouped = labels.join(classes.select(F.col("line_id").alias("node"), "first"), "node")
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
     known = grouped.select("node", "component").join(firsts, "component").select(F.col("node").alias("line_id"), F.col("first").alias("component_first"))
@@ -87,29 +118,38 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.join(kept_at, "line_id", "left").select("doc_id", "row_key", "pos", "line_id", F.coalesce(place == F.col("keeper"), F.lit(True)).alias("kept"))
 
 
-def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, size_a, b, size_b) of lines in one band, but in two components."""
-    rows = shared.filter("n > 2").select("band", "third", "fourth", "line_id", "size")
-    rows = rows.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    out = None
-    for finer in ("third", "fourth", None):
-        counts = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "n")
-        rows = saved(rows.join(counts, "band"), "line-crowds")
-        here = rows.filter(F.col("n") <= CROWD) if finer else rows
-        one = lambda s: here.select("band", F.col("line_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("component").alias(f"component_{s}"))  # noqa: B023, E731
-        pairs = one("a").join(one("b"), "band").filter("a < b AND component_a <> component_b").select("a", "size_a", "b", "size_b")
-        out = pairs if out is None else out.union(pairs)
-        if finer:
-            rows = rows.filter(F.col("n") > CROWD).drop("n").withColumn("band", F.xxhash64("band", finer))
-    return out
-
-
-def _links(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made again from the lines' texts, are similar enough."""
-    ends = saved(pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).distinct(), "line-ends")
-    few = ends.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = lines.select("line_id", "norm").join(F.broadcast(ends) if few else ends, "line_id", "left_semi")
-    sets = saved(texts.groupBy("line_id").agg(F.first("norm").alias("norm")).select("line_id", shingle_hashes(F.col("norm")).alias("hashes")), "line-sets")
+def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b, apart) of lines in one band, but in two components, that the filters allow. The lines outside of
+    a band's largest component are compared with all its lines, in tiles of about TILE by TILE lines."""
+    rows = shared.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    open_bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("n > most")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    open_bands = open_bands.select("band", "main", tiles(F.col("n")).alias("wide"), tiles(F.col("n") - F.col("most")).alias("high"))
+    rows = saved(rows.join(open_bands, "band").join(sets.select("line_id", "size", "sketch"), "line_id"), "line-crowds")
+
+    def side(s: str, mine: str, other: str) -> DataFrame:
+        tile, partner = F.pmod(F.xxhash64("line_id"), F.col(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        at = [tile.alias("row"), partner.alias("column")] if s == "a" else [tile.alias("column"), partner.alias("row")]
+        return rows.select("band", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), ("size", f"size_{s}"), ("sketch", f"sketch_{s}"), ("component", f"component_{s}"), ("main", f"main_{s}"))))
+
+    left = side("a", "high", "wide").filter("component_a <> main_a")
+    # of two lines outside of the largest component each meets the other once
+    met = left.join(side("b", "wide", "high"), ["band", "row", "column"]).filter("component_a <> component_b AND (component_b = main_b OR a < b)").filter(_fits(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart("sketch_a", "sketch_b").alias("apart")).distinct()
+
+
+def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """line_id, hashes, size, sketch of the wanted lines: their sets, made again from the texts."""
+    wanted = saved(wanted, "line-ends")
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = lines.select("line_id", "norm").join(F.broadcast(wanted) if few else wanted, "line_id", "left_semi")
+    sets = texts.groupBy("line_id").agg(F.first("norm").alias("norm")).select("line_id", shingle_hashes(F.col("norm")).alias("hashes"))
+    return saved(sets.select("line_id", "hashes", F.size("hashes").alias("size"), _sketch().alias("sketch")), "line-sets")
+
+
+def _links(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
     side = lambda c: sets.select(F.col("line_id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.select("a", "b", F.size("hashes_a").alias("na"), F.size("hashes_b").alias("nb"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))

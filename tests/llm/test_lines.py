@@ -81,3 +81,21 @@ def test_recall_of_the_bands(spark):
     n = table.count()
     met = table.filter(lines.F.arrays_overlap(*(lines._bands(lines.F.slice(c, 1, lines.BANDS + 3))["band"] for c in "ab"))).count()
     assert n > 300 and met / n > 0.97, (met, n)
+
+
+def test_a_crowded_band_misses_no_pair(spark):
+    """Links that share a band of hundreds of lines, whose next minima differ."""
+    rnd = random.Random(5)
+    words = lambda c, n: [f"{c}{rnd.randrange(10**6)}" for _ in range(n)]
+    common, rows = words("w", 80), []
+    for k in range(300):  # two lines of one pair are similar, those of two pairs are not
+        own = words("v", 8)
+        rows += [(2 * k + odd, " ".join(common + own + words("u", 12))) for odd in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = docs.withColumn("hashes", lines.shingle_hashes(lines.F.col("text"))).withColumn("bands", lines._bands(lines.F.slice("hashes", 1, lines.BANDS + 3))["band"])
+    assert sets.select(lines.F.explode("bands").alias("band")).groupBy("band").count().filter("count > 300").count()
+    side = lambda odd: sets.filter(f"doc_id % 2 = {odd}").select(lines.F.expr("doc_id div 2").alias("k"), lines.F.col("hashes").alias(f"h{odd}"), lines.F.col("bands").alias(f"b{odd}"))
+    links = side(0).join(side(1), "k").filter("arrays_overlap(b0, b1) AND 100 * size(array_intersect(h0, h1)) >= 75 * size(array_union(h0, h1))")
+    want = {2 * r.k + 1 for r in links.select("k").collect()}
+    got = {r.doc_id for r in lines.duplicate_lines(docs).filter("NOT kept").collect()}
+    assert len(want) > 200 and want <= got, (len(want), len(want - got))
