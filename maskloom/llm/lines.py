@@ -1,7 +1,7 @@
 """Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line's set are character shingles: SHINGLE characters from the start of each word on, and from every
-STRIDE-th character inside of long words. Its signature are the smallest hashes of the set (the
+A line's set are character shingles: SHINGLE characters from each character on that is not white space.
+Its signature are the smallest hashes of the set (the
 minima of one random order); two neighbours in the signature are a band, so lines of similarity
 THRESHOLD share a band with high probability. In a band, lines are sorted by signature, and each is a
 candidate with the line before it and with the band's first line; where a band's lines are then still
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from maskloom.llm.components import components
 from maskloom.llm.shared import saved
 
-SHINGLE, STRIDE = 12, 8
+#: Characters of a shingle, and from one shingle's start to the next one's inside of a word.
+SHINGLE, STRIDE = 12, 1
 #: Bands of two neighbouring minima.
 BANDS = 8
 #: Links have a Jaccard similarity of so many hundredths at least.

@@ -99,3 +99,16 @@ def test_a_crowded_band_misses_no_pair(spark):
     want = {2 * r.k + 1 for r in links.select("k").collect()}
     got = {r.doc_id for r in lines.duplicate_lines(docs).filter("NOT kept").collect()}
     assert len(want) > 200 and want <= got, (len(want), len(want - got))
+
+
+def test_an_edit_in_a_run_without_white_space(spark):
+    """One inserted or deleted character near the start moves no other shingle: similarities are those of full sets."""
+    rnd = random.Random(8)
+    runs = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(120)), "https://example.org/" + "".join(rnd.choice("abcdefghij0123456789+/") for _ in range(180))]
+    rows = [(10 * k + j, text) for k, run in enumerate(runs) for j, text in enumerate((run, run[:2] + "z" + run[2:], run[:3] + run[4:]))]
+    full = lambda t: {t[k : k + lines.SHINGLE] for k in range(len(t))}
+    for k, text in rows:
+        assert 100 * len(full(text) & full(rows[k // 10 * 3][1])) >= 75 * len(full(text) | full(rows[k // 10 * 3][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in lines.duplicate_lines(docs).filter("kept").collect()} == {0, 10}
+    assert [r.n for r in docs.orderBy("doc_id").select(lines.F.size(lines.shingle_hashes(lines.F.col("text"))).alias("n")).collect()] == [len(full(t)) for _, t in rows]
