@@ -7,7 +7,9 @@ differ in k shingles at most one at least is equal. So a set signs its first k +
 empty (the enumeration of subsets with one part each); a set that has too few such parts signs all
 parts. Sufficiently similar sets thus share a signature, without exception.
 
-Signatures are dealt by their hash in packed blocks. A group of sets with one signature is told as a
+Documents are first told by the class of their set. Of a class with COPIES documents or more only one
+text is signed; the others are joined to its component by the class. Signatures are dealt by their
+hash in packed blocks. A group of sets with one signature is told as a
 star: its smallest set with each other one. Links of the stars are verified and joined to components;
 groups whose sets still lie in several components are then compared in tiles, only across
 components. Two filters without error come before a pair's sets are fetched: the sizes, and the
@@ -32,6 +34,8 @@ WORDS = 5
 SKETCH, MOST_SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 128, 8192, 256, 256, 250_000
 #: Candidate ids and pairs up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Copies from which only one document of a class is signed: there are not more such classes than documents divided by it.
+COPIES = 100
 #: Characters and documents of a packed block.
 BLOCK_CHARS, BLOCK_DOCUMENTS = 3_000_000, 2500
 #: Bytes of text that are hashed at a time.
@@ -189,14 +193,26 @@ _FOUND = "doc_id long, cls long, size long, sketch binary, signature long, leade
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("signature", pa.int64()), ("leader", pa.int64()), ("member", pa.int64())])
 
 
-def _pack(buckets: int):
-    """Documents to blocks: for each bucket the signatures that fall into it, and the documents of the bucket."""
+def _classes(batches):
+    """Documents to their classes."""
+    for t in batches:
+        sets = shingle_sets(t.column(1).to_pylist())
+        cls = pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64())
+        yield pa.RecordBatch.from_pydict({"doc_id": t.column(0), "cls": cls, "size": pa.array([len(s) for s in sets], pa.int64()), "text_key": t.column(2)})
+
+
+def _pack(buckets: int, left_out: np.ndarray):
+    """Documents to blocks: for each bucket the signatures that fall into it, and the documents of the bucket.
+    Empty sets and the classes left_out are not signed."""
 
     def block(ids: list, texts: list) -> pa.RecordBatch:
         sets = shingle_sets(texts)
+        own = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
+        signing = np.flatnonzero(np.array([len(s) > 0 for s in sets], bool) & ~np.isin(own, left_out)).tolist()
+        sets, ids = [sets[k] for k in signing], [ids[k] for k in signing]
         signed = [signatures(s) for s in sets]
         sizes = np.array([len(s) for s in sets], np.int64)
-        cls = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
+        cls = own[signing]
         flat = np.concatenate([*signed, np.zeros(0, _U)])
         signer = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in signed])
         home = (flat >> _U(32)) % _U(buckets)
@@ -397,11 +413,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(12, volume // 10 // BUCKET_SIGNATURES), 60_000))
-    packed = docs.mapInArrow(_pack(buckets), _PACKED)
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    info = saved(keyed.select("doc_id", "text", "text_key").mapInArrow(_classes, "doc_id long, cls long, size long, text_key long"), "documents")
+    copied = info.filter("size > 0").groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")).filter(F.col("n") >= COPIES)
+    copied = saved(copied.select("cls", "doc_id", "text_key"), "copied")
+    left_out = np.array([r.cls for r in copied.select("cls").collect()], np.int64)
+    packed = docs.mapInArrow(_pack(buckets, left_out), _PACKED)
+    if len(left_out):
+        texts = keyed.select("text", "text_key").join(F.broadcast(copied.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+        one = saved(texts.join(copied, "text_key").select("doc_id", "text"), "copied")
+        packed = packed.union(one.mapInArrow(_pack(buckets, left_out[:0]), _PACKED))
     found = saved(packed.groupBy("bucket").applyInArrow(_meet, _FOUND), "signatures")
-    info = found.filter("signature IS NULL").select("doc_id", "cls", "size", "sketch")
+    signed = found.filter("signature IS NULL").select("doc_id", "cls", "size", "sketch")
     stars = found.filter("signature IS NOT NULL").select("signature", "leader", "member")
-    classes = saved(info.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    classes = saved(signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
     links = saved(_links(docs, classes, stars.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "links")
     labels = _labels(classes, links)
     open_pairs = saved(_open_pairs(stars, classes, labels), "pairs")
