@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskloom.functions.regexlang import term_pattern
 from maskloom.sources.dictionary import Dictionary
@@ -38,32 +41,35 @@ def bypassed(events: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame
     return rows.withColumn("bypassed", F.coalesce(inside, F.lit(False))).drop("__hour", "hour", "__windows")
 
 
-def admitted(times: Column, window_ms: int = WINDOW_MS, most: int = PER_WINDOW) -> Column:
-    """For sorted times in ms: whether each is admitted. One is, unless `most` admitted ones are less than
-    window_ms old; rejected ones don't count."""
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<boolean>").alias("out"))
+def _admitting(window_ms: int, most: int):
+    """Sorted batches (key, event_id, ms) to (key, event_id, admitted). Of the key at hand only the times of the
+    last `most` admitted events are kept."""
 
-    def step(s, t):
-        young = F.filter(s["kept"], lambda k: t - k < window_ms)
-        ok = F.size(young) < most
-        return F.struct(F.when(ok, F.concat(young, F.array(t))).otherwise(young).alias("kept"), F.concat(s["out"], F.array(ok)).alias("out"))
+    def admit(batches):
+        last, kept = (), deque(maxlen=max(most, 0))
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if last != (key,):
+                    last, kept = (key,), deque(maxlen=max(most, 0))
+                ok = most > 0 and (t is None or len(kept) < most or t - kept[0] >= window_ms)
+                out.append(ok)
+                if ok and t is not None:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=[batch.schema.names[0], "event_id", "admitted"])
 
-    return F.aggregate(times, start, step, lambda s: s["out"])
+    return admit
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, window_ms: int = WINDOW_MS, most: int = PER_WINDOW) -> DataFrame:
-    """events with admitted, by the sliding window of each key.
-
-    A key's events that lie further apart than the window can't reach each other, so the fold runs over each
-    burst (events less than a window after the one before), not over a key's whole history."""
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    order = W.partitionBy(key).orderBy(ts, "event_id")
-    rows = events.withColumn("__ms", ms).withColumn("__new", F.coalesce((F.col("__ms") - F.lag("__ms").over(order) >= window_ms).cast("int"), F.lit(1)))
-    rows = rows.withColumn("__burst", F.sum("__new").over(order))
-    bursts = rows.groupBy(key, "__burst").agg(F.array_sort(F.collect_list(F.struct("__ms", "event_id"))).alias("e"))
-    times = F.transform("e", lambda x: x["__ms"])
-    flags = bursts.select(key, F.explode(F.arrays_zip(F.transform("e", lambda x: x["event_id"]).alias("event_id"), admitted(times, window_ms, most).alias("admitted"))).alias("x"))
-    return flags.select(key, "x.event_id", "x.admitted")
+    """key, event_id and admitted of events, by the sliding window of each key: an event is admitted unless `most`
+    admitted ones are less than window_ms old; rejected ones don't count, nor does one without a time.
+
+    A key's events pass one after the other, in a sorted partition; they are never gathered."""
+    rows = events.select(key, "event_id", F.unix_millis(F.col(ts).cast("timestamp")).alias("__ms"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "__ms", "event_id")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:2]] + [T.StructField("admitted", T.BooleanType())])
+    return rows.mapInArrow(_admitting(window_ms, most), schema)
 
 
 def log_guard(message: Column, dictionary: Dictionary) -> Column:
