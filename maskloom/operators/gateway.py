@@ -106,13 +106,13 @@ def retryable(status: Column, headers: Column, body: Column) -> Column:
 
 
 def fallback_chain(requests: DataFrame, providers: DataFrame) -> DataFrame:
-    """(request_id, pos, provider): the provider asked for, or the active one, then the fallbacks without it.
+    """(request_id, pos, provider): the provider asked for, or the active one (of several the first by name), then the fallbacks without it.
 
     requests(request_id, provider), providers(name, active boolean, fallback_pos int)."""
-    active = providers.filter("active").select(F.col("name").alias("active_name"))
-    first = requests.crossJoin(F.broadcast(active.limit(1))).select("request_id", F.coalesce("provider", "active_name").alias("primary"))
+    active = providers.agg(F.min(F.when(F.col("active"), F.col("name"))).alias("active_name"))
+    first = requests.crossJoin(F.broadcast(active)).select("request_id", F.coalesce("provider", "active_name").alias("primary"))
     others = providers.filter("fallback_pos IS NOT NULL").agg(F.transform(F.array_sort(F.collect_list(F.struct("fallback_pos", "name"))), lambda x: x["name"]).alias("fallback"))
-    chained = first.crossJoin(F.broadcast(others)).select("request_id", F.concat(F.array("primary"), F.array_except(F.coalesce("fallback", F.array().cast("array<string>")), F.array("primary"))).alias("chain"))
+    chained = first.crossJoin(F.broadcast(others)).select("request_id", F.concat(F.array_compact(F.array("primary")), F.array_except(F.coalesce("fallback", F.array().cast("array<string>")), F.array("primary"))).alias("chain"))
     return chained.select("request_id", F.posexplode("chain").alias("pos", "provider"))
 
 

@@ -1,0 +1,14 @@
+"""Fallback chains without an active provider, and with several."""
+
+from maskloom.operators import gateway
+
+
+def test_fallback_chain_of_any_active_providers(spark):
+    requests = spark.createDataFrame([(1, None), (2, "a")], "request_id long, provider string")
+
+    def chains(*active):
+        providers = spark.createDataFrame([(n, n in active, 0 if n == "b" else None) for n in ("d", "c", "b", "a")], "name string, active boolean, fallback_pos int")
+        return sorted(tuple(r) for r in gateway.fallback_chain(requests, providers).collect())
+
+    assert chains() == [(1, 0, "b"), (2, 0, "a"), (2, 1, "b")]
+    assert chains("d", "c") == [(1, 0, "c"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b")]
