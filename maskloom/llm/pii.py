@@ -35,7 +35,9 @@ _ADDRESS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HOST_AND_PATH = re.compile(r"[A-Za-z0-9\[][^\s<>\"'`{}|\\^]*")
-_ACCOUNT = re.compile(r"(?:[ .]*(?:number|no|nr|id|code))?[ .:#=]*([A-Za-z]{0,4}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.ASCII)
+_ACCOUNT = re.compile(r"(?:[ .]*(?:number|no|nr|id|code|(?i:number|no|nr|id|code)(?![A-Za-z0-9])))?[ .:#=]*([A-Za-z]{0,4}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.ASCII)
+#: For the cues in any case; positions stay.
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @cache
@@ -49,7 +51,7 @@ def _automaton():
     for mark in ("", " ", "-"):
         words |= {f"{a}{mark}{b}": ("card", 1 + len(mark)) for a, b in product(digits, digits)}
     for cue in ACCOUNT_CUES:
-        words |= {form: ("account", len(cue) - 1) for form in (cue, cue.title(), cue.upper(), cue.capitalize())}
+        words[cue] = ("account", len(cue) - 1)
     found = ahocorasick.Automaton()
     for word, value in words.items():
         found.add_word(word, value)
@@ -138,7 +140,7 @@ def find_spans(text: str | None) -> list[dict]:
         return []
     found: dict[str, list] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)
-    for end, (kind, back) in _automaton().iter(text):
+    for end, (kind, back) in _automaton().iter(text.translate(_ASCII_LOWER)):
         at = end - back
         if at < past[kind]:
             continue

@@ -53,3 +53,10 @@ def test_query_edges(spark):
     assert pii.digest(docs.limit(0)).count() == 0
     out = pii.find_pii(docs).select(pii.redacted(pii.F.col("text"), pii.F.col("pii_spans")).alias("t")).collect()
     assert "😀 <EMAIL> <IP>" in {r.t for r in out}
+
+
+def test_account_cues_in_any_case():
+    for text in ("Account Number: 12345678", "Account No: 12345678", "Customer ID: 12345678", "User ID 12345678", "aCCount number 12345678", "account NUMBER 12345678"):
+        assert [text[x["start"] : x["end"]] for x in pii.find_spans(text) if x["kind"] == "account"] == ["12345678"], text
+    text = "IBAN NO9386011117947"  # a country, not the word
+    assert [text[x["start"] : x["end"]] for x in pii.find_spans(text) if x["kind"] == "account"] == ["NO9386011117947"]
