@@ -7,12 +7,13 @@ differ in k shingles at most one at least is equal. So a set signs its first k +
 empty (the enumeration of subsets with one part each); a set that has too few such parts signs all
 parts. Sufficiently similar sets thus share a signature, without exception.
 
-Documents are first told by the class of their set. Of a class with COPIES documents or more only one
-text is signed; the others are joined to its component by the class. Signatures are dealt by their
+Documents are first told by the class of their set. Of the copies in one block of documents only one
+is signed; all are joined to their component by the class. Signatures are dealt by their
 hash in packed blocks. A group of sets with one signature is told as a
-star: its smallest set with each other one. Links of the stars are verified and joined to components;
-groups whose sets still lie in several components are then compared in tiles, only across
-components. Two filters without error come before a pair's sets are fetched: the sizes, and the
+star: its smallest set, the leader, with each other one. Links of the stars are verified and joined to
+components. Where a leader's groups still lie in several components, their members are then compared
+in tiles, only across components, and once for each leader rather than once for each signature that
+they share. Two filters without error come before a pair's sets are fetched: the sizes, and the
 distance of small count sketches, which is never larger than the sets' difference.
 """
 
@@ -30,12 +31,12 @@ from maskloom.llm.shared import saved
 
 #: Words of a shingle.
 WORDS = 5
-#: Least and most counters of a sketch, members of a tile of an open group, partners that one task verifies, signatures of a block of the shuffle.
-SKETCH, MOST_SKETCH, TILE, PARTNERS, BUCKET_SIGNATURES = 128, 8192, 256, 256, 250_000
+#: Least and most counters of a sketch, members of a tile of a leader's open groups, rows of a tile that are compared at a time.
+SKETCH, MOST_SKETCH, TILE, STRIPE = 128, 8192, 1024, 32
+#: Partners that one task verifies, signatures of a bucket of the shuffle.
+PARTNERS, BUCKET_SIGNATURES = 256, 250_000
 #: Candidate ids and pairs up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Copies from which only one document of a class is signed: there are not more such classes than documents divided by it.
-COPIES = 100
 #: Characters and documents of a packed block.
 BLOCK_CHARS, BLOCK_DOCUMENTS = 3_000_000, 2500
 #: Bytes of text that are hashed at a time.
@@ -160,21 +161,22 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _folded(rows: list[bytes], n: int) -> np.ndarray:
+    """Sketches as rows of n counters."""
+    if all(len(r) == n for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n).astype(np.int16)
+    return np.stack([np.frombuffer(r, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int16) for r in rows])
+
+
 def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Distances of pairs of sketches."""
     sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
     out = np.zeros(len(a), np.int64)
-
-    def folded(rows: list[bytes], n: int) -> np.ndarray:
-        if all(len(r) == n for r in rows):
-            return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n).astype(np.int16)
-        return np.stack([np.frombuffer(r, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int16) for r in rows])
-
     for n in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == n)
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096].tolist()
-            out[part] = np.abs(folded([a[i] for i in part], n) - folded([b[i] for i in part], n)).sum(axis=1, dtype=np.int64)
+            out[part] = np.abs(_folded([a[i] for i in part], n) - _folded([b[i] for i in part], n)).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -188,82 +190,64 @@ def similar(a: int, b: int, shared: int) -> bool:
     return 100 * shared >= 75 * (a + b - shared)
 
 
-_PACKED = "bucket int, signatures binary, signer binary, cls binary, doc_id binary, known binary, size binary, sketch binary"
-_FOUND = "doc_id long, cls long, size long, sketch binary, signature long, leader long, member long"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("signature", pa.int64()), ("leader", pa.int64()), ("member", pa.int64())])
+_PACKED = "bucket int, signatures binary, signer binary"
+_STARS = "leader long, member long"
+_CLASSES = "doc_id long, cls long, size long, sketch binary"
 
 
 def _classes(batches):
-    """Documents to their classes."""
+    """Documents to their classes. Of the copies in a batch the first has the sketch."""
     for t in batches:
         sets = shingle_sets(t.column(1).to_pylist())
-        cls = pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64())
-        yield pa.RecordBatch.from_pydict({"doc_id": t.column(0), "cls": cls, "size": pa.array([len(s) for s in sets], pa.int64()), "text_key": t.column(2)})
-
-
-def _pack(buckets: int, left_out: np.ndarray):
-    """Documents to blocks: for each bucket the signatures that fall into it, and the documents of the bucket.
-    Empty sets and the classes left_out are not signed."""
-
-    def block(ids: list, texts: list) -> pa.RecordBatch:
-        sets = shingle_sets(texts)
-        own = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
-        signing = np.flatnonzero(np.array([len(s) > 0 for s in sets], bool) & ~np.isin(own, left_out)).tolist()
-        sets, ids = [sets[k] for k in signing], [ids[k] for k in signing]
-        signed = [signatures(s) for s in sets]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        cls = own[signing]
+        cls = [set_id(s) if len(s) else 0 for s in sets]
+        seen: set[int] = {0}
+        sketches = [None if c in seen or seen.add(c) else sketch(s) for c, s in zip(cls, sets, strict=True)]
+        yield pa.RecordBatch.from_pydict({"doc_id": t.column(0), "cls": pa.array(cls, pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+
+
+def _pack(buckets: int):
+    """Texts to blocks: for each bucket the signatures that fall into it, and who signed. A block signs each of
+    its sets once; empty sets are not signed."""
+
+    def block(texts: list) -> pa.RecordBatch:
+        sets = {set_id(s): s for s in shingle_sets(texts) if len(s)}
+        cls = np.array(list(sets), np.int64)
+        signed = [signatures(s) for s in sets.values()]
         flat = np.concatenate([*signed, np.zeros(0, _U)])
         signer = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in signed])
         home = (flat >> _U(32)) % _U(buckets)
-        order = np.argsort(home.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(buckets + 1, dtype=_U))
-        low = (flat & _U(0xFFFFFFFF)).astype(np.uint32)[order]
-        signer = signer[order]
-        own = (_mix(cls.view(_U)) % _U(buckets)).astype(np.int64)
-        known = np.array([k is not None for k in ids], np.uint8)
-        number = np.array([k or 0 for k in ids], np.int64)
-        sketches = [sketch(s) for s in sets]
-        rows: dict[str, list] = {name.split()[0]: [] for name in _PACKED.split(", ")}
-        for b in range(buckets):
-            here = np.flatnonzero(own == b)
-            part = slice(cuts[b], cuts[b + 1])
-            if len(here) == 0 and part.start == part.stop:
+        order = np.argsort(home.astype(np.uint16) if buckets < 65536 else home, kind="stable")
+        home, low, signer = home[order], (flat & _U(0xFFFFFFFF)).astype(np.uint32)[order], signer[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]]).tolist()
+        rows: dict[str, list] = {"bucket": [], "signatures": [], "signer": []}
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
                 continue
-            signers, index = np.unique(signer[part], return_inverse=True)
-            rows["bucket"].append(b)
-            rows["signatures"].append(low[part].tobytes())
+            signers, index = np.unique(signer[a:b], return_inverse=True)
+            rows["bucket"].append(int(home[a]))
+            rows["signatures"].append(low[a:b].tobytes())
             rows["signer"].append(index.astype(np.uint16).tobytes() + cls[signers].tobytes())
-            rows["cls"].append(cls[here].tobytes())
-            rows["doc_id"].append(number[here].tobytes())
-            rows["known"].append(known[here].tobytes())
-            rows["size"].append(sizes[here].tobytes())
-            rows["sketch"].append(np.array([len(sketches[i]) for i in here.tolist()], np.int32).tobytes() + b"".join(sketches[i] for i in here.tolist()))
-        types = {"bucket": pa.int32()}
-        return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()})
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
     def pack(batches):
-        ids: list = []
         texts: list = []
         size = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(k)
+            for t in batch.column(0).to_pylist():
                 texts.append(t)
                 size += len(t or "")
-                if size > BLOCK_CHARS or len(ids) >= BLOCK_DOCUMENTS:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts)
+                if size > BLOCK_CHARS or len(texts) >= BLOCK_DOCUMENTS:
+                    yield block(texts)
+                    texts, size = [], 0
+        if texts:
+            yield block(texts)
 
     return pack
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """A bucket's documents, and the stars of its groups."""
+    """(leader, member) of the stars of a bucket's groups, each pair once."""
     table = table.combine_chunks()
-    read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     low, cls = [], []
     for s, w in zip(table["signatures"].to_pylist(), table["signer"].to_pylist(), strict=True):
         values = np.frombuffer(s, np.uint32)
@@ -277,28 +261,9 @@ def _meet(table: pa.Table) -> pa.Table:
     value, member = value[fresh], member[fresh]
     first = np.ones(len(value), bool)
     first[1:] = value[1:] != value[:-1]
-    leader = member[np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))] if len(value) else member
-    rest = ~first
-    bucket = table["bucket"][0].as_py()
-    ids, known, size, own = read("doc_id", np.int64), read("known", np.uint8).astype(bool), read("size", np.int64), read("cls", np.int64)
-    sketches: list[bytes] = []
-    for block, count in zip(table["sketch"].to_pylist(), table["size"].to_pylist(), strict=True):
-        lengths = np.frombuffer(block, np.int32, len(count) // 8)
-        ends = (4 * len(lengths) + np.cumsum(lengths)).tolist()
-        sketches += [block[e - x : e] for e, x in zip(ends, lengths.tolist(), strict=True)]
-    n, m = len(ids), int(rest.sum())
-    return pa.table(
-        {
-            "doc_id": pa.concat_arrays([pa.array(ids, pa.int64(), mask=~known), pa.nulls(m, pa.int64())]),
-            "cls": pa.concat_arrays([pa.array(own), pa.nulls(m, pa.int64())]),
-            "size": pa.concat_arrays([pa.array(size), pa.nulls(m, pa.int64())]),
-            "sketch": pa.array(sketches + [None] * m, pa.binary()),
-            "signature": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(value[rest].astype(np.int64) | bucket << 32)]),
-            "leader": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(leader[rest])]),
-            "member": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(member[rest])]),
-        },
-        schema=_FOUND_ARROW,
-    )
+    leader = member[np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))]
+    pairs = np.unique(np.stack([leader[~first], member[~first]], axis=1), axis=0)
+    return pa.table({"leader": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1])})
 
 
 def _fits_of(size_a: np.ndarray, sketch_a: list[bytes], size_b: np.ndarray, sketch_b: list[bytes]) -> np.ndarray:
@@ -314,41 +279,58 @@ def _fits(batches):
             yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b")}).filter(pa.array(good))
 
 
+def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of left by right (the same array: each pair once) the pairs of different components that sizes and sketches allow."""
+    same = left is right
+    left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
+    small = _folded([sketches[k] for k in right.tolist()], SKETCH)
+    mine = small if same else _folded([sketches[k] for k in left.tolist()], SKETCH)
+    sizes, found = size[right], [(np.zeros(0, np.int64),) * 2]
+    for k in range(0, len(left), STRIPE):
+        part = left[k : k + STRIPE]
+        a = np.searchsorted(100 * sizes, 75 * size[part[0]])
+        b = np.searchsorted(75 * sizes, 100 * size[part[-1]], side="right")
+        for c in range(k if same else a, b, 1024):
+            other = right[c : min(c + 1024, b)]
+            apart = np.abs(mine[k : k + STRIPE, None] - small[None, c : c + len(other)]).sum(axis=2, dtype=np.int32)
+            good = (comp[part][:, None] != comp[other]) & (7 * apart <= size[part][:, None] + size[other])
+            if same:
+                good &= np.arange(k, k + len(part))[:, None] < np.arange(c, c + len(other))
+            i, j = np.nonzero(good)
+            found.append((part[i], other[j]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    good = np.zeros(len(i), bool)
+    for k in range(0, len(i), 20_000):
+        p, q = i[k : k + 20_000], j[k : k + 20_000]
+        good[k : k + 20_000] = _fits_of(size[p], [sketches[x] for x in p.tolist()], size[q], [sketches[x] for x in q.tolist()])
+    return i[good], j[good]
+
+
 def _across(batches):
-    """Sorted tiles of open groups, a pair of tiles after the other: pairs of different components that sizes and
+    """Sorted tiles of leaders, a pair of tiles after the other: pairs of different components that sizes and
     sketches allow."""
     carried: list[pa.RecordBatch] = []
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        signature, low, high, tile, cls, comp, size = (t[c].to_numpy() for c in ("signature", "low", "high", "tile", "cls", "component", "size"))
+        leader, low, high, tile, cls, comp, size = (t[c].to_numpy() for c in ("leader", "low", "high", "tile", "cls", "component", "size"))
         sketches = t["sketch"].to_pylist()
-        edge = np.flatnonzero((np.diff(signature) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        edge = np.flatnonzero((np.diff(leader) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
         found = [(np.zeros(0, np.int64),) * 2]
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cls)], strict=True):
-            if low[a] == high[a]:
-                i, j = np.triu_indices(b - a, 1)
-            else:
-                left, right = np.flatnonzero(tile[a:b] == low[a]), np.flatnonzero(tile[a:b] == high[a])
-                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-            i, j = i + a, j + a
-            near = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= 75 * np.maximum(size[i], size[j]))
-            found.append((i[near], j[near]))
+            left = np.flatnonzero(tile[a:b] == low[a]) + a
+            right = left if low[a] == high[a] else np.flatnonzero(tile[a:b] == high[a]) + a
+            if len(left) and len(right):
+                found.append(_near(size, comp, sketches, left, right))
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
-        # the same two sets meet in many groups
-        _, once = np.unique(np.stack([cls[i], cls[j]], axis=1), axis=0, return_index=True) if len(i) else (None, i)
-        i, j = i[once], j[once]
-        good = np.zeros(len(i), bool)
-        for k in range(0, len(i), 20_000):
-            p, q = i[k : k + 20_000], j[k : k + 20_000]
-            good[k : k + 20_000] = _fits_of(size[p], [sketches[x] for x in p.tolist()], size[q], [sketches[x] for x in q.tolist()])
-        return pa.RecordBatch.from_pydict({"a": pa.array(cls[i[good]]), "b": pa.array(cls[j[good]])})
+        one, other = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+        _, once = np.unique(np.stack([one, other], axis=1), axis=0, return_index=True) if len(i) else (None, i)
+        return pa.RecordBatch.from_pydict({"a": pa.array(one[once]), "b": pa.array(other[once])})
 
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([*carried, batch])
-        key = [table[c].to_numpy() for c in ("signature", "low", "high")]
+        key = [table[c].to_numpy() for c in ("leader", "low", "high")]
         last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
         cut = int(last[-1]) + 1 if len(last) else 0  # the last pair of tiles may go on
         carried = table.slice(cut).to_batches()
@@ -412,21 +394,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(12, volume // 10 // BUCKET_SIGNATURES), 60_000))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    info = saved(keyed.select("doc_id", "text", "text_key").mapInArrow(_classes, "doc_id long, cls long, size long, text_key long"), "documents")
-    copied = info.filter("size > 0").groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")).filter(F.col("n") >= COPIES)
-    copied = saved(copied.select("cls", "doc_id", "text_key"), "copied")
-    left_out = np.array([r.cls for r in copied.select("cls").collect()], np.int64)
-    packed = docs.mapInArrow(_pack(buckets, left_out), _PACKED)
-    if len(left_out):
-        texts = keyed.select("text", "text_key").join(F.broadcast(copied.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-        one = saved(texts.join(copied, "text_key").select("doc_id", "text"), "copied")
-        packed = packed.union(one.mapInArrow(_pack(buckets, left_out[:0]), _PACKED))
-    found = saved(packed.groupBy("bucket").applyInArrow(_meet, _FOUND), "signatures")
-    signed = found.filter("signature IS NULL").select("doc_id", "cls", "size", "sketch")
-    stars = found.filter("signature IS NOT NULL").select("signature", "leader", "member")
-    classes = saved(signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    buckets = int(max(12, volume // 10 // BUCKET_SIGNATURES))
+    info = saved(docs.mapInArrow(_classes, _CLASSES), "documents")
+    classes = info.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    classes = saved(classes, "classes")
+    stars = saved(docs.select("text").mapInArrow(_pack(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, _STARS).distinct(), "stars")
     links = saved(_links(docs, classes, stars.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "links")
     labels = _labels(classes, links)
     open_pairs = saved(_open_pairs(stars, classes, labels), "pairs")
@@ -441,23 +413,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of the groups of three or more sets that lie in several components: all pairs across components that
-    the filters allow. Groups are compared in tiles of about TILE sets, never as a whole."""
-    near = labels.select(F.col("cls").alias("member"), F.col("component"))
-    rows = stars.join(near, "member").join(labels.select(F.col("cls").alias("leader"), F.col("component").alias("home")), "leader")
-    groups = (
-        rows.groupBy("signature", "leader")
-        .agg(F.count("*").alias("n"), F.max((F.col("component") != F.col("home")).cast("int")).alias("split"), F.first("home").alias("home"))
-        .filter("n > 1 AND split = 1")
-    )
-    groups = saved(groups.select("signature", "leader", "home", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "groups")
-    members = rows.join(groups.select("signature", "tiles"), "signature").select("signature", "tiles", F.col("member").alias("cls"), "component")
-    members = members.union(groups.select("signature", "tiles", F.col("leader").alias("cls"), F.col("home").alias("component")))
-    members = members.join(classes.select("cls", "size", "sketch"), "cls").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    """Of leaders whose groups lie in several components: all pairs of their members across components that the
+    filters allow. Members are compared in tiles of about TILE sets, never as a whole."""
+    near = stars.join(labels.withColumnRenamed("cls", "member"), "member").select("leader", "component")
+    spans = near.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    home = labels.select(F.col("cls").alias("leader"), F.col("component").alias("home"))
+    leaders = spans.join(home, "leader").filter("n > 1 AND (least <> home OR most <> home)")
+    leaders = saved(leaders.select("leader", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "leaders")
+    members = stars.join(leaders, "leader").select("leader", "tiles", F.col("member").alias("cls"))
+    members = members.union(leaders.select("leader", "tiles", F.col("leader").alias("cls")))
+    described = saved(labels.join(classes.select("cls", "size", "sketch"), "cls"), "described")
+    members = members.join(described, "cls").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     met = members.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "signature", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
+        "leader", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
     )
-    keys = ["signature", "low", "high"]
+    keys = ["leader", "low", "high"]
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long").distinct()
 
 
