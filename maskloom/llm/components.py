@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import saved
+from maskloom.llm.shared import forget, saved
 
 #: A path of n links needs about log2(n) rounds; the rounds end as soon as nothing changes.
 MAX_ROUNDS = 60
@@ -21,14 +21,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = saved(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    labels = saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.lit(-1).cast("long").alias("was"), F.least("node", "least").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
         following = saved(hooked.join(roots, "label").select("node", "was", F.least("label", "root").alias("label")), "labels")
-        changed = following.filter("label <> was").limit(1).count()
-        labels = following.select("node", "label")
-        if not changed:
+        forget(labels)
+        labels = following
+        if labels.filter("label <> was").isEmpty():
+            forget(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.components import components
-from maskloom.llm.shared import saved
+from maskloom.llm.shared import broadcast_if_few, saved
 
 #: Words of a shingle.
 WORDS = 5
@@ -35,8 +35,6 @@ WORDS = 5
 SKETCH, MOST_SKETCH, TILE, STRIPE = 128, 8192, 1024, 32
 #: Partners that one task verifies, signatures of a bucket of the shuffle.
 PARTNERS, BUCKET_SIGNATURES = 256, 250_000
-#: Candidate ids and pairs up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Characters and documents of a packed block.
 BLOCK_CHARS, BLOCK_DOCUMENTS = 3_000_000, 2500
 #: Bytes of text that are hashed at a time.
@@ -266,21 +264,23 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"leader": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1])})
 
 
-def _fits_of(size_a: np.ndarray, sketch_a: list[bytes], size_b: np.ndarray, sketch_b: list[bytes]) -> np.ndarray:
-    """Of pairs: whether sizes and sketches allow a link."""
-    return (100 * np.minimum(size_a, size_b) >= 75 * np.maximum(size_a, size_b)) & (7 * _apart(sketch_a, sketch_b) <= size_a + size_b)
+def _fits_of(size_a: np.ndarray, sketch_a: list[bytes], size_b: np.ndarray, sketch_b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs: whether sizes and sketches allow a link, and how far the sketches are apart."""
+    apart = _apart(sketch_a, sketch_b)
+    return (100 * np.minimum(size_a, size_b) >= 75 * np.maximum(size_a, size_b)) & (7 * apart <= size_a + size_b), apart
 
 
 def _fits(batches):
     """Pairs with sizes and sketches to the pairs that can be links."""
     for t in batches:
         if t.num_rows:
-            good = _fits_of(t.column("size_a").to_numpy(), t.column("sketch_a").to_pylist(), t.column("size_b").to_numpy(), t.column("sketch_b").to_pylist())
+            good, _ = _fits_of(t.column("size_a").to_numpy(), t.column("sketch_a").to_pylist(), t.column("size_b").to_numpy(), t.column("sketch_b").to_pylist())
             yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b")}).filter(pa.array(good))
 
 
-def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of left by right (the same array: each pair once) the pairs of different components that sizes and sketches allow."""
+def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of left by right (the same array: each pair once) the pairs of different components that sizes and sketches
+    allow, and how far their sketches are apart."""
     same = left is right
     left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
     small = _folded([sketches[k] for k in right.tolist()], SKETCH)
@@ -299,11 +299,11 @@ def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.nd
             i, j = np.nonzero(good)
             found.append((part[i], other[j]))
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    good = np.zeros(len(i), bool)
+    good, apart = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
     for k in range(0, len(i), 20_000):
         p, q = i[k : k + 20_000], j[k : k + 20_000]
-        good[k : k + 20_000] = _fits_of(size[p], [sketches[x] for x in p.tolist()], size[q], [sketches[x] for x in q.tolist()])
-    return i[good], j[good]
+        good[k : k + 20_000], apart[k : k + 20_000] = _fits_of(size[p], [sketches[x] for x in p.tolist()], size[q], [sketches[x] for x in q.tolist()])
+    return i[good], j[good], apart[good]
 
 
 def _across(batches):
@@ -315,16 +315,16 @@ def _across(batches):
         leader, low, high, tile, cls, comp, size = (t[c].to_numpy() for c in ("leader", "low", "high", "tile", "cls", "component", "size"))
         sketches = t["sketch"].to_pylist()
         edge = np.flatnonzero((np.diff(leader) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
-        found = [(np.zeros(0, np.int64),) * 2]
+        found = [(np.zeros(0, np.int64),) * 3]
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cls)], strict=True):
             left = np.flatnonzero(tile[a:b] == low[a]) + a
             right = left if low[a] == high[a] else np.flatnonzero(tile[a:b] == high[a]) + a
             if len(left) and len(right):
                 found.append(_near(size, comp, sketches, left, right))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
         one, other = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
         _, once = np.unique(np.stack([one, other], axis=1), axis=0, return_index=True) if len(i) else (None, i)
-        return pa.RecordBatch.from_pydict({"a": pa.array(one[once]), "b": pa.array(other[once])})
+        return pa.RecordBatch.from_pydict({"a": pa.array(one[once]), "b": pa.array(other[once]), "apart": pa.array(apart[once])})
 
     for batch in batches:
         if not batch.num_rows:
@@ -361,25 +361,31 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links. Sets are made again, from the texts of one document of each
-    class that occurs in a pair."""
-    one = lambda side: classes.select(F.col("cls").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-    possible = saved(pairs.distinct().join(one("a"), "a").join(one("b"), "b").mapInArrow(_fits, "a long, b long"), "pairs")
-    ends = possible.select(F.col("a").alias("cls")).union(possible.select(F.col("b").alias("cls"))).distinct()
-    wanted = saved(ends.join(classes, "cls").select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and possible.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = saved(texts.mapInArrow(_sets, "cls long, shingles binary"), "sets")
-    salts = possible.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
-    dealt = saved(possible.join(salts, "a").select("a", "b", "salts", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "pairs")
-    heads = dealt.select("a", "salts").distinct()
-    near = lambda x: F.broadcast(x) if few else x
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("theirs")).join(near(dealt.select("a", "b", "salt")), "b").select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", "theirs")
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("mine")).join(near(heads), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "mine")
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, shingles of the classes in pairs(a, b): sets are made again, from the texts of one document of each."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = broadcast_if_few(saved(ends.join(classes, "cls").select(F.col("doc_id").alias("wanted")).distinct(), "wanted"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
+    return saved(texts.mapInArrow(_sets, "cls long, shingles binary"), "sets")
+
+
+def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links; a class with many partners is dealt to several tasks."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    dealt = saved(pairs.join(salts, "a").select("a", "b", "salts", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "pairs")
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("theirs")).join(broadcast_if_few(dealt.select("a", "b", "salt")), "b").select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", "theirs")
+    heads = broadcast_if_few(dealt.select("a", "salts").distinct(), dealt)
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("mine")).join(heads, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "mine")
     return left.groupBy("a", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(_verify, "a long, b long")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, apart) the nearest partner of each class, as (a, b)."""
+    ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to"))
+    return nearest.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
+
+
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(links).withColumnRenamed("node", "cls")
     return saved(classes.join(joined, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "classes")
@@ -399,12 +405,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = info.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
     classes = saved(classes, "classes")
     stars = saved(docs.select("text").mapInArrow(_pack(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, _STARS).distinct(), "stars")
-    links = saved(_links(docs, classes, stars.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "links")
+    one = lambda side: classes.select(F.col("cls").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    pairs = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).join(one("a"), "a").join(one("b"), "b")
+    pairs = saved(pairs.mapInArrow(_fits, "a long, b long"), "pairs")
+    links = saved(_links(_sets_of(docs, classes, pairs), pairs), "links")
     labels = _labels(classes, links)
-    open_pairs = saved(_open_pairs(stars, classes, labels), "pairs")
-    if open_pairs.limit(1).count():
-        more = saved(_links(docs, classes, open_pairs), "links")
-        labels = _labels(classes, links.union(more))
+    across = saved(_open_pairs(stars, classes, labels), "pairs")
+    if not across.isEmpty():
+        # the nearest partner of each first: most of the others are then in one component
+        sets = _sets_of(docs, classes, across)
+        links = saved(links.union(_links(sets, _nearest(across))), "links")
+        labels = _labels(classes, links)
+        end = lambda side: labels.select(F.col("cls").alias(side), F.col("component").alias(f"component_{side}"))
+        rest = saved(across.join(end("a"), "a").join(end("b"), "b").filter("component_a <> component_b").select("a", "b"), "pairs")
+        if not rest.isEmpty():
+            labels = _labels(classes, saved(links.union(_links(sets, rest)), "links"))
     smallest = labels.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = labels.join(smallest, "component").select("cls", "component_id")
     linked = info.filter("size > 0").join(by_class, "cls").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
@@ -428,7 +443,7 @@ def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
         "leader", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
     )
     keys = ["leader", "low", "high"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long").distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long, apart long").distinct()
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -436,8 +451,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     stays. Rows that share a doc_id stay or go together; rows without one stay."""
     rows = near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     gone = saved(rows.filter("NOT kept").select("gone"), "gone")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return docs.join(broadcast_if_few(gone), docs["doc_id"] == gone["gone"], "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,19 +12,24 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers each that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, named by spark.checkpoint.dir.
+    """The folder that the driver and all executors see, named by spark.checkpoint.dir or setCheckpointDir().
 
-    Only a session that names none (a local test) gets a new temporary folder.
+    Only a local session that names none, as in tests, gets a new temporary folder, until it ends.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     own = spark.conf.get("maskloom.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="maskloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("maskloom.shared.dir", own)
     return own
 
@@ -32,7 +39,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, once nothing will read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_few(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """df, to be broadcast if it, or the table that bounds its size, has BROADCAST_ROWS rows at most. A written
+    table is counted; rows have to be small."""
+    few = (df if counted is None else counted).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def word_count(text: Column) -> Column:
