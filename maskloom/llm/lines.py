@@ -1,159 +1,208 @@
 """Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line's set are character shingles: SHINGLE characters from each character on that is not white space.
-Its signature are the smallest hashes of the set (the
-minima of one random order); two neighbours in the signature are a band, so lines of similarity
-THRESHOLD share a band with high probability. In a band, lines are sorted by signature, and each is a
-candidate with the line before it and with the band's first line; where a band's lines are then still
-in several components, all its pairs across components are candidates too, whatever the band's size:
-they are compared in tiles. Two filters without error come before sets are fetched: the sizes, and
-the distance of parity sketches, which is never larger than the sets' difference. Candidates are
-verified by exact Jaccard similarity of their whole sets, links are joined by distributed union-find,
-and of each component the first line, by document and place, stays.
+A line's set are its character shingles: SHINGLE characters from each character on, or the whole of a
+shorter line. Its signature are the set's smallest elements in one random order, in which shingles that
+begin with white space come before all others; so a line with enough of these needs no other one, which
+saves most of the work and changes nothing. Two neighbours in the signature are a band: lines of
+similarity THRESHOLD share a band with a probability of 0.97, more similar ones with a higher one. A
+band's smallest line is the leader of its other lines. Each line is verified with its nearest leader,
+links are joined by distributed union-find, and where a leader's lines are then still in several
+components, all pairs across components are candidates, whatever the number of lines: they are compared in
+tiles. Before texts are fetched, pairs are compared by parity sketches: of the whole sets where lines are
+short (a filter without error), else of the shingles that begin with white space, where only pairs go on
+whose sketches allow a similarity of LEAST hundredths, which is below the threshold. They are verified by
+exact Jaccard similarity of their whole sets, and of each component the first line, by document and place,
+stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskloom.llm.components import components
-from maskloom.llm.shared import saved
+from maskloom.llm.shared import broadcast_if_few, forget, fresh_name, saved
 
-#: Characters of a shingle, and from one shingle's start to the next one's inside of a word.
-SHINGLE, STRIDE = 12, 1
-#: Bands of two neighbouring minima.
-BANDS = 8
+#: Characters of a shingle.
+SHINGLE = 12
+#: Bands of two neighbouring minima, and the minima that they need.
+BANDS = 5
+MINIMA = BANDS + 1
 #: Links have a Jaccard similarity of so many hundredths at least.
 THRESHOLD = 75
-#: Lines of a side of a tile, in which a band's pairs across components are compared.
+#: Sketches: numbers of 64 bits; characters up to which they are of whole sets, and shingles that begin with white space
+#: from which on they can be of these; hundredths of similarity that the latter have to allow.
+WORDS, SHORT, ENOUGH, LEAST = 8, 200, 16, 70
+#: Lines of a side of a tile, in which pairs across components are compared.
 TILE = 1000
-#: Candidate lines up to this number are broadcast to the texts (some tens of MB), more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
+#: White space at the ends of lines.
+BLANKS = " \t\n\x0b\f\r"
+_FIRST = -(1 << 63)
 
 
 def normal(line: Column) -> Column:
     """What is compared of a line: its characters in lower case, without white space at the ends."""
-    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def shingle_hashes(norm: Column) -> Column:
-    """Hashes of the character shingles of a normal line, at least one if it has a character."""
-    pieces = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{STRIDE}}}\s*"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(pieces, lambda s: F.xxhash64(s))))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, pos, line, norm, line_id of each line that is not blank."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("norm", normal(F.col("line"))).filter("norm <> ''").withColumn("line_id", F.xxhash64("norm"))
+def _shingles(norm: Column) -> Column:
+    every = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(every)
 
 
-def _bands(low: Column) -> Column:
-    """The bands of a signature: array<struct<band, third>>; a set of one shingle has one band."""
-    at = lambda k: F.coalesce(F.get(low, k), F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.least(F.size(low) - 1, F.lit(BANDS)), F.lit(1)) - 1),
-        lambda k: F.struct(F.xxhash64(at(k), at(k + 1)).alias("band"), at(k + 2).alias("third")),
-    )
+def shingle_hashes(norm: Column) -> Column:
+    """Hashes of the character shingles of a normal line."""
+    return F.array_distinct(F.transform(_shingles(norm), lambda s: F.xxhash64(s)))
 
 
-def _sketch() -> Column:
-    """Of the column hashes 256 bits, in four numbers: the parity of the hashes that fall on each. Two sketches
-    never differ in more bits than their sets in elements."""
-    word = "aggregate(filter(hashes, h -> (h & 3) = {}), 0L, (s, h) -> s ^ shiftleft(1L, cast(shiftright(h, 2) & 63 AS int)))"
-    return F.struct(*(F.expr(word.format(k)).alias(f"w{k}") for k in range(4)))
+def _leading(norm: str) -> Column:
+    """The shingles that begin with white space, without it."""
+    return F.regexp_extract_all(norm, F.lit(rf"(?s)\s(?=(.{{{SHINGLE - 1}}}))"), F.lit(1))
 
 
-def _apart(a: str, b: str) -> Column:
-    """In how many bits two sketches differ."""
-    return sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+def with_bands(df: DataFrame, norm: str = "norm") -> DataFrame:
+    """df with bands: of the column norm's MINIMA smallest shingles each two neighbours, null where there are fewer; a
+    set of one shingle has one band. The order is by a hash whose sign bit is set for shingles that begin with white space."""
+    early = lambda s: F.xxhash64(s).bitwiseOR(F.lit(_FIRST))
+    order = lambda s: F.when(s.rlike(r"^\s"), early(F.substring(s, 2, SHINGLE))).otherwise(F.xxhash64(s).bitwiseAND(F.lit(~_FIRST)))
+    every = F.sort_array(F.array_distinct(F.transform(_shingles(F.col(norm)), order)))
+    df = df.withColumn("bands", F.sort_array(F.array_distinct(F.transform(_leading(norm), early))))
+    df = df.withColumn("bands", F.when(F.size("bands") >= MINIMA, F.col("bands")).otherwise(every))
+    at = lambda k: F.get("bands", F.lit(k))
+    later = (F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1))) for k in range(1, BANDS))
+    return df.withColumn("bands", F.array(F.xxhash64(at(0), F.coalesce(at(1), F.lit(0))), *later))
 
 
-def _fits(threshold: int) -> Column:
-    """Whether sizes and sketches of a pair allow a link."""
-    sizes = 100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-    return sizes & ((100 + threshold) * _apart("sketch_a", "sketch_b") <= (100 - threshold) * (F.col("size_a") + F.col("size_b")))
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, pos, norm, line_id of each line that is not blank."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    rows = rows.select("doc_id", "row_key", "pos", normal(F.col("line")).alias("norm"))
+    return rows.filter("norm <> ''").withColumn("line_id", F.xxhash64("norm"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row_key, pos, line_id, kept: each line of docs(doc_id, text) that is not blank. row_key tells rows
     with equal doc_id apart. Rows that are equal in both are one document, whose lines count once."""
-    lines = _lines(docs.select("doc_id", "text"))
-    hashed = lines.select("doc_id", "row_key", "pos", "line_id", shingle_hashes(F.col("norm")).alias("hashes"))
+    found = saved(with_bands(_lines(docs.select("doc_id", "text"))), "lines")
+    links = _all_links(found, threshold)
+    labels = components(links)
     place = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"), F.col("pos").alias("pos"))
-    found = saved(hashed.select("doc_id", "row_key", "pos", "line_id", F.size("hashes").alias("size"), F.slice("hashes", 1, BANDS + 2).alias("low")), "lines")
-    classes = saved(found.groupBy("line_id").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.first("low").alias("low")), "line-classes")
-    banded = classes.select("line_id", "size", F.element_at("low", 1).alias("lowest"), F.inline(_bands(F.col("low"))))
-    order = W.partitionBy("band").orderBy("lowest", "third", "size", "line_id")
-    line = F.struct("line_id", "size")
-    shared = banded.select("*", F.count("*").over(W.partitionBy("band")).alias("n"), F.lag(line).over(order).alias("last"), F.first(line).over(order).alias("lead")).filter("n > 1")
-    shared = saved(shared.select("band", "n", "line_id", "size", "last", "lead"), "line-bands")
-    sets = _sets(lines, shared.select("line_id").distinct())
-    sizes = 100 * F.least("size", "other.size") >= threshold * F.greatest("size", "other.size")
-    met = shared.filter("last IS NOT NULL").select("line_id", "size", F.explode(F.array_distinct(F.array("last", "lead"))).alias("other")).filter(sizes)
-    pairs = met.select(F.least("line_id", "other.line_id").alias("a"), F.greatest("line_id", "other.line_id").alias("b")).distinct()
-    one = lambda s: sets.select(F.col("line_id").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    pairs = saved(pairs.join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold)).select("a", "b"), "line-pairs")
-    links = saved(_links(sets, pairs, threshold), "line-links")
+    classes = found.groupBy("line_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = saved(classes.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").filter("n > 1 OR component IS NOT NULL").drop("n"), "line-classes")
+    firsts = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keeper"))
+    keepers = classes.join(firsts, "component", "left").select("line_id", F.coalesce("keeper", "first").alias("keeper"))
+    # a line that occurs once and links with nothing has no keeper
+    return found.join(keepers, "line_id", "left").select("doc_id", "row_key", "pos", "line_id", F.coalesce(place == F.col("keeper"), F.lit(True)).alias("kept"))
+
+
+def _all_links(found: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between line_ids that connect what the links within bands connect."""
+    banded = found.select("line_id", F.explode("bands").alias("band")).filter("band IS NOT NULL")
+    leaders = banded.groupBy("band").agg(F.min("line_id").alias("lead"), F.max("line_id").alias("last")).filter("lead <> last").select("band", "lead")
+    leaders = saved(leaders, "line-bands")
+    stars = saved(banded.join(broadcast_if_few(leaders), "band").filter("lead <> line_id").select("lead", "line_id").distinct(), "line-stars")
+    texts = _texts(found, stars.select("line_id").union(stars.select("lead")).distinct())
+    sketches = saved(_sketches(texts), "line-sketches")
+    one = lambda s: sketches.select(F.col("line_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("whole", "leading")))
+    pairs = stars.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold))
+    links = saved(_links(texts, _nearest(pairs.select("a", "b", _apart().alias("apart"))), threshold), "line-links")
     labels = components(links)
-    across = saved(_across(shared.filter("n > 2").select("band", "line_id"), sets, labels, threshold), "line-pairs")
-    if across.limit(1).count():
+    across = saved(_across(stars, sketches, labels, threshold), "line-pairs")
+    forget(leaders, stars, sketches)
+    if not across.isEmpty():
         # the nearest line of each first: most of the others are then in one component
-        ends = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-        nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(saved(_links(sets, saved(nearest, "line-pairs"), threshold), "line-links"))
+        both = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+        links = saved(links.union(_links(texts, _nearest(both), threshold)), "line-links")
         labels = components(links)
         end = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))
-        rest = across.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
-        rest = saved(rest.filter("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b"), "line-pairs")
-        if rest.limit(1).count():
-            labels = components(links.union(saved(_links(sets, rest, threshold), "line-links")))
-    grouped = labels.join(classes.select(F.col("line_id").alias("node"), "first"), "node")
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
-    known = grouped.select("node", "component").join(firsts, "component").select(F.col("node").alias("line_id"), F.col("first").alias("component_first"))
-    # a line that occurs once and links with nothing needs no look-up
-    repeated = found.groupBy("line_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    kept_at = repeated.join(known, "line_id", "left").filter("n > 1 OR component_first IS NOT NULL").select("line_id", F.coalesce("component_first", "first").alias("keeper"))
-    return found.join(kept_at, "line_id", "left").select("doc_id", "row_key", "pos", "line_id", F.coalesce(place == F.col("keeper"), F.lit(True)).alias("kept"))
-
-
-def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b, apart) of lines in one band, but in two components, that the filters allow. The lines outside of
-    a band's largest component are compared with all its lines, in tiles of about TILE by TILE lines."""
-    rows = shared.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    parts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("n > most")
-    tiles = lambda n: F.ceil(n / TILE).cast("int")
-    open_bands = open_bands.select("band", "main", tiles(F.col("n")).alias("wide"), tiles(F.col("n") - F.col("most")).alias("high"))
-    rows = saved(rows.join(open_bands, "band").join(sets.select("line_id", "size", "sketch"), "line_id"), "line-crowds")
+        left = across.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").filter("coalesce(component_a, a) <> coalesce(component_b, b)")
+        links = saved(links.union(_links(texts, left.select("a", "b"), threshold)), "line-links")
+    return links
 
-    def side(s: str, mine: str, other: str) -> DataFrame:
-        tile, partner = F.pmod(F.xxhash64("line_id"), F.col(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        at = [tile.alias("row"), partner.alias("column")] if s == "a" else [tile.alias("column"), partner.alias("row")]
-        return rows.select("band", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), ("size", f"size_{s}"), ("sketch", f"sketch_{s}"), ("component", f"component_{s}"), ("main", f"main_{s}"))))
 
-    left = side("a", "high", "wide").filter("component_a <> main_a")
-    # of two lines outside of the largest component each meets the other once
-    met = left.join(side("b", "wide", "high"), ["band", "row", "column"]).filter("component_a <> component_b AND (component_b = main_b OR a < b)").filter(_fits(threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart("sketch_a", "sketch_b").alias("apart")).distinct()
+def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """line_id, norm of the wanted lines, a row for each."""
+    wanted = saved(wanted, "line-ends")
+    texts = found.select("line_id", "norm").join(broadcast_if_few(wanted), "line_id", "left_semi").groupBy("line_id").agg(F.first("norm").alias("norm"))
+    return saved(texts, "line-texts")
 
 
-def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line_id, hashes, size, sketch of the wanted lines: their sets, made again from the texts."""
-    wanted = saved(wanted, "line-ends")
-    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = lines.select("line_id", "norm").join(F.broadcast(wanted) if few else wanted, "line_id", "left_semi")
-    sets = texts.groupBy("line_id").agg(F.first("norm").alias("norm")).select("line_id", shingle_hashes(F.col("norm")).alias("hashes"))
-    return saved(sets.select("line_id", "hashes", F.size("hashes").alias("size"), _sketch().alias("sketch")), "line-sets")
+def _sketches(texts: DataFrame) -> DataFrame:
+    """line_id, whole, leading: the size of a set and, for each bit, the parity of its hashes; of the whole set (null
+    for longer lines) and of the shingles that begin with white space (null if they are few). Two sketches never
+    differ in more bits than their sets in elements."""
+    early = F.array_distinct(F.transform(_leading("norm"), lambda s: F.xxhash64(s)))
+    sets = texts.select("line_id", "norm", early.alias("early"))
+    every = F.when((F.length("norm") <= SHORT) | (F.size("early") < ENOUGH), shingle_hashes(F.col("norm"))).otherwise(F.array().cast("array<bigint>"))
+    sets = sets.select("line_id", F.size("early").alias("n"), "early", every.alias("every"))
+    tagged = lambda c, whole: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(whole).alias("whole")))
+    each = sets.select("line_id", F.inline(F.concat(F.when(F.col("n") >= ENOUGH, tagged("early", False)).otherwise(F.array().cast("array<struct<h:bigint,whole:boolean>>")), tagged("every", True))))
+    word = "bit_xor(IF({} AND (h & {}) = {}, shiftleft(1L, cast(shiftright(h, 3) & 63 AS int)), 0L))"
+    kinds = (("whole", "whole"), ("leading", "NOT whole"))
+    words = [F.expr(word.format(test, WORDS - 1, k)).alias(f"{name}_{k}") for name, test in kinds for k in range(WORDS)]
+    sums = each.groupBy("line_id").agg(*(F.count_if(F.expr(test)).alias(f"{name}_n") for name, test in kinds), *words)
+    sketch = lambda name: F.when(F.col(f"{name}_n") > 0, F.struct(F.col(f"{name}_n").alias("n"), *(F.col(f"{name}_{k}").alias(f"w{k}") for k in range(WORDS))))
+    return sums.select("line_id", sketch("whole").alias("whole"), sketch("leading").alias("leading"))
+
+
+def _bits(kind: str) -> Column:
+    """In how many bits the sketches of a pair differ."""
+    bits = [F.bit_count(F.col(f"{kind}_a.w{k}").bitwiseXOR(F.col(f"{kind}_b.w{k}"))) for k in range(WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def _by_kind(whole: Column, leading: Column, neither: Column) -> Column:
+    both = lambda kind: F.col(f"{kind}_a").isNotNull() & F.col(f"{kind}_b").isNotNull()
+    return F.when(both("whole"), whole).when(both("leading"), leading).otherwise(neither)
+
+
+def _apart() -> Column:
+    """The share of elements in which the sketches of a pair show a difference."""
+    share = lambda kind: _bits(kind) / (F.col(f"{kind}_a.n") + F.col(f"{kind}_b.n"))
+    return _by_kind(share("whole"), share("leading"), F.lit(0.0))
+
+
+def _fits(threshold: int) -> Column:
+    """Whether the sketches of a pair allow a link."""
+    allow = lambda kind, least: (100 + least) * _bits(kind) <= (100 - least) * (F.col(f"{kind}_a.n") + F.col(f"{kind}_b.n"))
+    return _by_kind(allow("whole", threshold), allow("leading", LEAST), F.lit(True))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, apart) the nearest a of each b, as (a, b) with the smaller one first."""
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("to"))
+    return nearest.select(F.least("to.a", "b").alias("a"), F.greatest("to.a", "b").alias("b")).distinct()
+
+
+def _across(stars: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b, apart) of lines of one leader, but in two components, that the sketches allow. The lines outside of
+    the leader's component are compared with all its lines, in tiles of about TILE by TILE lines."""
+    rows = saved(sketches.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-components")
+    near = stars.join(rows.select("line_id", "component"), "line_id")
+    home = rows.select(F.col("line_id").alias("lead"), F.col("component").alias("home"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    spans = near.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(home, "lead")
+    # a pair of lines with one leader was compared already
+    spans = saved(spans.filter("n > 1 AND (least <> home OR most <> home)").select("lead", "home", tiles(F.col("n") + 1).alias("tiles")), "line-spans")
+    members = stars.join(spans, "lead").union(spans.select("lead", F.col("lead").alias("line_id"), "home", "tiles"))
+    members = saved(members.join(rows, "line_id"), "line-crowds")
+
+    def side(s: str) -> DataFrame:
+        tile, partner = F.pmod(F.xxhash64("line_id"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        at = [tile.alias("row"), partner.alias("column")] if s == "a" else [tile.alias("column"), partner.alias("row")]
+        return members.select("lead", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), *((c, f"{c}_{s}") for c in ("whole", "leading", "component", "home")))))
+
+    # of two lines outside of the leader's component each meets the other once
+    met = side("a").filter("component_a <> home_a").join(side("b"), ["lead", "row", "column"]).filter("component_a <> component_b AND (component_b = home_b OR a < b)").filter(_fits(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart().alias("apart")).distinct()
 
 
-def _links(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    side = lambda c: sets.select(F.col("line_id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
+def _links(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Texts travel to the pairs, as they are much smaller than sets."""
+    side = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"norm_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", F.size("hashes_a").alias("na"), F.size("hashes_b").alias("nb"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
+    both = both.select("a", "b", shingle_hashes(F.col("norm_a")).alias("one"), shingle_hashes(F.col("norm_b")).alias("other"))
+    both = both.select("a", "b", F.size("one").alias("na"), F.size("other").alias("nb"), F.size(F.array_intersect("one", "other")).alias("shared"))
     return both.filter(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
@@ -161,16 +210,18 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with text without its duplicate lines, and the columns n_lines and n_removed (replaced if there).
 
     Every row stays; blank lines stay where they are; a document whose lines are all duplicates keeps an empty
-    text or its blank lines. Null text stays null. An empty table gives an empty result.
+    text or its blank lines. Null text stays null and has no line. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs, threshold).filter("NOT kept").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("row_key").alias("__row_key"), F.col("gone").alias("__gone"))
-    rows = docs.withColumn("__row_key", F.xxhash64("doc_id", "text")).join(gone, "__row_key", "left")
-    rows = rows.withColumn("__lines", F.split(F.col("text"), "\n", -1))
-    left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("__lines", k)), "\n"))
-    rows = rows.withColumns({"text": text, "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return rows.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest(F.col("n_removed"), F.lit(0).cast("long"))).drop("__row_key", "__gone", "__lines")
+    key, gone, parts = (fresh_name(docs, name) for name in ("row_key", "gone", "parts"))
+    lost = saved(duplicate_lines(docs, threshold).filter("NOT kept").select("row_key", "pos"), "line-duplicates")
+    lost = broadcast_if_few(lost.groupBy(F.col("row_key").alias(key)).agg(F.collect_set("pos").alias(gone)), lost)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(lost, key, "left")
+    rows = rows.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(F.col("text"), "\n", -1)))
+    left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    counts = {"n_lines": F.coalesce(n_lines, F.lit(0)).cast("long"), "n_removed": F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long")}
+    return rows.withColumns(counts).withColumn("text", text).drop(key, gone, parts)
 
 
 def report(docs: DataFrame) -> DataFrame:
