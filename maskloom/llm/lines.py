@@ -8,11 +8,9 @@ similarity THRESHOLD share a band with a probability of 0.97, more similar ones
 band's smallest line is the leader of its other lines. Each line is verified with its nearest leader,
 links are joined by distributed union-find, and where a leader's lines are then still in several
 components, all pairs across components are candidates, whatever the number of lines: they are compared in
-tiles. Before texts are fetched, pairs are compared by parity sketches: of the whole sets where lines are
-short (a filter without error), else of the shingles that begin with white space, where only pairs go on
-whose sketches allow a similarity of LEAST hundredths, which is below the threshold. They are verified by
-exact Jaccard similarity of their whole sets, and of each component the first line, by document and place,
-stays.
+tiles. Two filters without error come before a pair's texts are fetched: the sizes, and the distance of parity
+sketches, which is never larger than the sets' difference. Candidates are verified by exact Jaccard
+similarity of their whole sets, and of each component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -30,9 +28,8 @@ BANDS = 5
 MINIMA = BANDS + 1
 #: Links have a Jaccard similarity of so many hundredths at least.
 THRESHOLD = 75
-#: Sketches: numbers of 64 bits; characters up to which they are of whole sets, and shingles that begin with white space
-#: from which on they can be of these; hundredths of similarity that the latter have to allow.
-WORDS, SHORT, ENOUGH, LEAST = 8, 200, 16, 70
+#: Numbers of 64 bits in a sketch, a power of two.
+WORDS = 16
 #: Lines of a side of a tile, in which pairs across components are compared.
 TILE = 1000
 #: White space at the ends of lines.
@@ -55,18 +52,14 @@ def shingle_hashes(norm: Column) -> Column:
     return F.array_distinct(F.transform(_shingles(norm), lambda s: F.xxhash64(s)))
 
 
-def _leading(norm: str) -> Column:
-    """The shingles that begin with white space, without it."""
-    return F.regexp_extract_all(norm, F.lit(rf"(?s)\s(?=(.{{{SHINGLE - 1}}}))"), F.lit(1))
-
-
 def with_bands(df: DataFrame, norm: str = "norm") -> DataFrame:
     """df with bands: of the column norm's MINIMA smallest shingles each two neighbours, null where there are fewer; a
     set of one shingle has one band. The order is by a hash whose sign bit is set for shingles that begin with white space."""
+    leading = F.regexp_extract_all(norm, F.lit(rf"(?s)\s(?=(.{{{SHINGLE - 1}}}))"), F.lit(1))
     early = lambda s: F.xxhash64(s).bitwiseOR(F.lit(_FIRST))
     order = lambda s: F.when(s.rlike(r"^\s"), early(F.substring(s, 2, SHINGLE))).otherwise(F.xxhash64(s).bitwiseAND(F.lit(~_FIRST)))
     every = F.sort_array(F.array_distinct(F.transform(_shingles(F.col(norm)), order)))
-    df = df.withColumn("bands", F.sort_array(F.array_distinct(F.transform(_leading(norm), early))))
+    df = df.withColumn("bands", F.sort_array(F.array_distinct(F.transform(leading, early))))
     df = df.withColumn("bands", F.when(F.size("bands") >= MINIMA, F.col("bands")).otherwise(every))
     at = lambda k: F.get("bands", F.lit(k))
     later = (F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1))) for k in range(1, BANDS))
@@ -103,7 +96,7 @@ def _all_links(found: DataFrame, threshold: int) -> DataFrame:
     stars = saved(banded.join(broadcast_if_few(leaders), "band").filter("lead <> line_id").select("lead", "line_id").distinct(), "line-stars")
     texts = _texts(found, stars.select("line_id").union(stars.select("lead")).distinct())
     sketches = saved(_sketches(texts), "line-sketches")
-    one = lambda s: sketches.select(F.col("line_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("whole", "leading")))
+    one = lambda s: sketches.select(F.col("line_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH))
     pairs = stars.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold))
     links = saved(_links(texts, _nearest(pairs.select("a", "b", _apart().alias("apart"))), threshold), "line-links")
     labels = components(links)
@@ -128,44 +121,26 @@ def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """line_id, whole, leading: the size of a set and, for each bit, the parity of its hashes; of the whole set (null
-    for longer lines) and of the shingles that begin with white space (null if they are few). Two sketches never
-    differ in more bits than their sets in elements."""
-    early = F.array_distinct(F.transform(_leading("norm"), lambda s: F.xxhash64(s)))
-    sets = texts.select("line_id", "norm", early.alias("early"))
-    every = F.when((F.length("norm") <= SHORT) | (F.size("early") < ENOUGH), shingle_hashes(F.col("norm"))).otherwise(F.array().cast("array<bigint>"))
-    sets = sets.select("line_id", F.size("early").alias("n"), "early", every.alias("every"))
-    tagged = lambda c, whole: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(whole).alias("whole")))
-    each = sets.select("line_id", F.inline(F.concat(F.when(F.col("n") >= ENOUGH, tagged("early", False)).otherwise(F.array().cast("array<struct<h:bigint,whole:boolean>>")), tagged("every", True))))
-    word = "bit_xor(IF({} AND (h & {}) = {}, shiftleft(1L, cast(shiftright(h, 3) & 63 AS int)), 0L))"
-    kinds = (("whole", "whole"), ("leading", "NOT whole"))
-    words = [F.expr(word.format(test, WORDS - 1, k)).alias(f"{name}_{k}") for name, test in kinds for k in range(WORDS)]
-    sums = each.groupBy("line_id").agg(*(F.count_if(F.expr(test)).alias(f"{name}_n") for name, test in kinds), *words)
-    sketch = lambda name: F.when(F.col(f"{name}_n") > 0, F.struct(F.col(f"{name}_n").alias("n"), *(F.col(f"{name}_{k}").alias(f"w{k}") for k in range(WORDS))))
-    return sums.select("line_id", sketch("whole").alias("whole"), sketch("leading").alias("leading"))
-
-
-def _bits(kind: str) -> Column:
-    """In how many bits the sketches of a pair differ."""
-    bits = [F.bit_count(F.col(f"{kind}_a.w{k}").bitwiseXOR(F.col(f"{kind}_b.w{k}"))) for k in range(WORDS)]
-    return sum(bits[1:], bits[0])
+    """line_id, size, w0, w1, ...: the size of a set and, for each bit, the parity of the hashes that fall on it. Two
+    sketches never differ in more bits than their sets in elements."""
+    each = texts.select("line_id", F.explode(shingle_hashes(F.col("norm"))).alias("h"))
+    each = each.select("line_id", F.expr(f"h & {WORDS - 1}").alias("word"), F.expr(f"shiftleft(1L, cast(shiftright(h, {WORDS.bit_length() - 1}) & 63 AS int))").alias("bit"))
+    return each.groupBy("line_id").agg(F.count("*").alias("size"), *(F.expr(f"bit_xor(IF(word = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS)))
 
 
-def _by_kind(whole: Column, leading: Column, neither: Column) -> Column:
-    both = lambda kind: F.col(f"{kind}_a").isNotNull() & F.col(f"{kind}_b").isNotNull()
-    return F.when(both("whole"), whole).when(both("leading"), leading).otherwise(neither)
+_SKETCH = ("size", *(f"w{k}" for k in range(WORDS)))
 
 
 def _apart() -> Column:
-    """The share of elements in which the sketches of a pair show a difference."""
-    share = lambda kind: _bits(kind) / (F.col(f"{kind}_a.n") + F.col(f"{kind}_b.n"))
-    return _by_kind(share("whole"), share("leading"), F.lit(0.0))
+    """In how many bits the sketches of a pair differ."""
+    bits = [F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(WORDS)]
+    return sum(bits[1:], bits[0])
 
 
 def _fits(threshold: int) -> Column:
-    """Whether the sketches of a pair allow a link."""
-    allow = lambda kind, least: (100 + least) * _bits(kind) <= (100 - least) * (F.col(f"{kind}_a.n") + F.col(f"{kind}_b.n"))
-    return _by_kind(allow("whole", threshold), allow("leading", LEAST), F.lit(True))
+    """Whether sizes and sketches of a pair allow a link."""
+    sizes = 100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+    return sizes & ((100 + threshold) * _apart() <= (100 - threshold) * (F.col("size_a") + F.col("size_b")))
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -190,7 +165,7 @@ def _across(stars: DataFrame, sketches: DataFrame, labels: DataFrame, threshold:
     def side(s: str) -> DataFrame:
         tile, partner = F.pmod(F.xxhash64("line_id"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         at = [tile.alias("row"), partner.alias("column")] if s == "a" else [tile.alias("column"), partner.alias("row")]
-        return members.select("lead", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), *((c, f"{c}_{s}") for c in ("whole", "leading", "component", "home")))))
+        return members.select("lead", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), *((c, f"{c}_{s}") for c in (*_SKETCH, "component", "home")))))
 
     # of two lines outside of the leader's component each meets the other once
     met = side("a").filter("component_a <> home_a").join(side("b"), ["lead", "row", "column"]).filter("component_a <> component_b AND (component_b = home_b OR a < b)").filter(_fits(threshold))
