@@ -33,7 +33,7 @@ CONTRACTIONS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Entries of each of the two generations of a worker's word cache.
 CACHE_WORDS = 150_000
 #: Words of up to STEPS bytes are encoded together, LANES at a time; the chunks of TEXTS texts are looked up together.
-STEPS, LANES, TEXTS = 64, 20_000, 1500
+STEPS, LANES, TEXTS = 64, 20_000, 500
 _NEVER = 1 << 60
 #: Separators that str.split() knows and the tokenizer's \s doesn't.
 _OWN_SPACES = "\x1c\x1d\x1e\x1f"
@@ -377,16 +377,20 @@ class Tokenizer:
         @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
         def encode(text: pa.Array) -> pa.Array:
             encoder = _encoder(spec.value)
-            rows = encoder.encode_all(text.to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
-            flat = b"".join(rows)
-            return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(flat, np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
+            sizes, flat = [0], []
+            for k in range(0, len(text), TEXTS):  # a batch is never a list as a whole
+                rows = encoder.encode_all(text.slice(k, TEXTS).to_pylist())
+                sizes += [len(r) // 4 for r in rows]
+                flat.append(b"".join(rows))
+            ends = np.cumsum(sizes).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(flat), np.int32)).cast(pa.list_(pa.field("element", pa.int32(), False)))
 
         @F.arrow_udf(T.StringType())
         def decode(ids: pa.Array) -> pa.Array:
             encoder = _encoder(spec.value)
             flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
-            return pa.array([encoder.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            at = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+            return pa.chunked_array([pa.array([encoder.decode(flat[x].tolist()) for x in at[k : k + TEXTS]], pa.string()) for k in range(0, len(at), TEXTS)], pa.string()).combine_chunks()
 
         self._encode, self._decode = encode, decode
 
