@@ -24,6 +24,8 @@ THRESHOLD = 0.93
 TILE, ROWS = 2048, 256
 #: Covers the rounding of the single-precision scaling of exact integer products.
 SLACK = 1e-5
+#: Columns that are summed at a time: 127 * 127 * COLUMNS is below 2**24, so single precision is exact.
+COLUMNS = 1024
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,19 +36,26 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error * (1 + 1e-9) + 1e-12
 
 
+def int_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The products of int8 rows with int8 rows. Multiplied as single-precision numbers, by as many columns as give
+    exact integers, and summed up in double precision."""
+    blocks = [slice(k, k + COLUMNS) for k in range(0, x.shape[1], COLUMNS)]
+    parts = (x[:, c].astype(np.float32) @ y[:, c].astype(np.float32).T for c in blocks)
+    return next(parts) if len(blocks) == 1 else sum(p.astype(np.float64) for p in parts)
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with cosine(x[i], y[j]) >= threshold, a block of rows at a time; i < j only if the
     tiles are the same. x and y are unit rows in double precision."""
     (qx, sx, ex), (qy, sy, ey) = quantised(x), quantised(y)
-    right = qy.astype(np.float32).T  # integers up to 2**24 are exact in single precision
     worst = ey.max()
     for k in range(0, len(x), ROWS):
         rows = slice(k, min(k + ROWS, len(x)))
-        product = qx[rows].astype(np.float32) @ right
-        product *= sx[rows, None].astype(np.float32)
-        product *= sy[None, :].astype(np.float32)
+        product = int_products(qx[rows], qy)
+        product *= sx[rows, None].astype(product.dtype)
+        product *= sy[None, :].astype(product.dtype)
         least = threshold - SLACK - ex[rows] - (1 + ex[rows]) * worst
-        i, j = np.nonzero(product >= least[:, None].astype(np.float32))
+        i, j = np.nonzero(product >= least[:, None])
         i += k
         if same:
             i, j = i[i < j], j[i < j]
@@ -123,17 +132,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     Vectors that are null, empty or zero or hold null, NaN or infinite parts, a null label or a null vec_id
     link with nothing (component_id is then vec_id). Vectors of unlike length don't link. Rows with equal
-    vec_id count as one node of the components. An empty table gives an empty result.
+    vec_id are vectors of their own, each with its own links. An empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     parts = F.col("embedding")
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & parts.isNotNull() & F.forall(parts, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(parts, lambda v: v != 0)
     usable = rows.filter(F.coalesce(sound, F.lit(False)))
-    classes = saved(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "vectors")
+    classes = saved(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "vectors")
     keys = ["label", "size"]
     sized = classes.withColumn("size", F.size("embedding"))
     tiles = sized.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = sized.join(tiles, keys).withColumn("tile", F.pmod(F.xxhash64("cls", "embedding"), F.col("tiles")).cast("int"))
+    dealt = sized.join(tiles, keys).withColumn("tile", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("tiles")).cast("int"))
     packed = dealt.groupBy(*keys, "tiles", "tile").agg(F.collect_list(F.struct("cls", "n", "embedding")).alias("members"))
     met = packed.select(*keys, "members", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("partner"))
     # a label's tile without members has no row; then a task has one tile, which meets itself elsewhere
@@ -147,10 +156,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     found = saved(met.groupBy(*keys, "low", "high").applyInArrow(run, "cls long, links long, other long"), "vector-links")
     counts = found.filter("other IS NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other IS NOT NULL"), "cls", "other")
+    least = joined.join(classes.select(F.col("cls").alias("node"), "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("least"))
+    joined = joined.join(least, "component").select(F.col("node").alias("cls"), "least")
     by_class = (
         classes.join(counts, "cls", "left")
-        .join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+        .join(joined, "cls", "left")
+        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     )
     linked = usable.join(by_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     single = rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

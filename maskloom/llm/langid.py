@@ -20,10 +20,13 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Hash buckets, dimensions and n-gram lengths (bytes) of the subwords.
 BUCKETS_LOG2, DIMENSIONS, ORDERS = 16, 16, (2, 3, 4)
-#: Bounds of the labelled sample that the driver fits on: rows for each language, characters of a row, languages.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 1000, 20_000, 64
+#: Bounds of the labelled sample that the driver fits on: rows for each language, characters of a row.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 1000, 20_000
 #: Passes over the sample, first learning rate, every CALIBRATION-th row is kept for calibration.
 EPOCHS, RATE, CALIBRATION = 6, 1.0, 5
+#: Of the right predictions that the descent did not see, this share may score under the rejection's reference; and
+#: the highest score under which a prediction is ever rejected.
+REJECTED, MOST_DOUBT = 0.005, 0.7
 #: Bytes of text that are turned into n-grams at a time.
 SLICE = 1 << 19
 
@@ -152,7 +155,8 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 def _calibrate(model: LanguageModel, rows: list[tuple[str, str]], number: dict[str, int]) -> None:
     """The temperature of least log loss, against targets smoothed by the sample's size (a sample without an
-    error must not make every score 1); predictions that score clearly lower than every right one are rejected."""
+    error must not make every score 1); predictions that score clearly lower than nearly all right ones (all but the
+    share REJECTED) are rejected, so one odd row does not set the score."""
     z, y = model.logits([t for _, t in rows]), np.array([number[g] for g, _ in rows])
     doubt = 1 / (len(y) + 2)
     best = None
@@ -165,7 +169,7 @@ def _calibrate(model: LanguageModel, rows: list[tuple[str, str]], number: dict[s
     model.temperature = best[1]
     p = softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    model.least_score = float(min(0.5, 0.9 * right.min())) if len(right) else 0.0
+    model.least_score = float(min(MOST_DOUBT, 0.9 * np.quantile(right, REJECTED))) if len(right) else 0.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,19 +177,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS, most: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """At most per_language rows of each of the most frequent languages, chosen by a hash of the id, in hash
-    order: a bounded sample, for the driver. Only rows that may be learned from count."""
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """At most per_language rows of each language, chosen by a hash of the id, in hash order: a sample, for the
+    driver, whose size is bounded by the number of languages. Only rows that may be learned from count."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= chars) & ~held_out(F.col("doc_id")))
     rows = rows.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
-    counts = dict(map(tuple, rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()))
+    # a little more than the quota passes the hash, the rest is cut off here
+    counts = dict(map(tuple, rows.groupBy("lang").count().collect()))
     if not counts:
         return []
-    # a little more than the quota passes the hash, the rest is cut off here
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, 1.2 * per_language / n) * (1 << 30))))
-    got = rows.filter(chosen).select("h", "doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
+    below = [(lang, int(min(1.0, 1.2 * per_language / n) * (1 << 30))) for lang, n in counts.items()]
+    below = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    got = rows.join(F.broadcast(below), "lang").filter("h < below").select("h", "doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
     left, out = dict.fromkeys(counts, per_language), []
     for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text)):
         if left[r.lang]:

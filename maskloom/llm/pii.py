@@ -161,15 +161,23 @@ def pii_spans(text: pa.Array) -> pa.Array:
     return pa.array([find_spans(x) for x in text.to_pylist()], pa.list_(SPAN))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans of several
-    kinds are replaced once, by the one that starts first (at a tie the longest). Null stays null."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"))
-    )
-    return F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def redact(text: str | None, spans: list[dict] | None) -> str | None:
+    """The text with its spans replaced by their kind in angle brackets. Spans that overlap are one stretch, from the
+    first start to the last end, named after the one that starts first (at a tie the longest)."""
+    if text is None:
+        return None
+    out, reach = [], 0  # the text up to reach is told
+    for x in sorted(spans or [], key=lambda x: (x["start"], -x["end"])):
+        if x["start"] >= reach:
+            out += [text[reach : x["start"]], f"<{x['kind'].upper()}>"]
+        reach = max(reach, x["end"])
+    return "".join(out) + text[reach:]
+
+
+@F.arrow_udf(T.StringType())
+def redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column function: each text without its personal data, null for null."""
+    return pa.array([redact(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:

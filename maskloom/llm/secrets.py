@@ -65,14 +65,9 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
 
 def _pair_classes(token: Column) -> Column:
     """The number of each character pair of token: CLASSES * class of the first + class of the second."""
-    classes = F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), lambda c: F.pmod(F.instr(F.lit(ALPHABET), c) - 1, F.lit(CLASSES)))
-    steps = F.aggregate(
-        classes,
-        F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out")),
-        lambda s, c: F.struct(c.alias("last"), F.when(s["last"] < 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["last"] * CLASSES + c))).alias("out")),
-        lambda s: s["out"],
-    )
-    return steps
+    one = lambda c: F.pmod(F.instr(F.lit(ALPHABET), c) - 1, F.lit(CLASSES))
+    pairs = F.regexp_extract_all(token, F.lit("(?s)(?=(..))."), F.lit(1))
+    return F.transform(pairs, lambda p: one(F.substring(p, 1, 1)) * CLASSES + one(F.substring(p, 2, 1)))
 
 
 def train(samples: DataFrame) -> list[float]:

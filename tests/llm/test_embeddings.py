@@ -12,9 +12,10 @@ def brute(rows):
 
     nodes = [r for r in rows if sound(r)]
     links = {id(r): 0 for r in nodes}
-    parent = {r[0]: r[0] for r in rows}
+    parent = {id(r): id(r) for r in rows}
 
-    def root(x):
+    def root(r):
+        x = id(r)
         while parent[x] != x:
             x = parent[x]
         return x
@@ -26,9 +27,12 @@ def brute(rows):
                 if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93:
                     links[id(p)] += 1
                     links[id(q)] += 1
-                    a, b = sorted((root(p[0]), root(q[0])))
-                    parent[b] = a
-    return sorted(((r[0], links.get(id(r), 0), root(r[0]) if r[0] is not None else None, r[0] is not None and root(r[0]) == r[0]) for r in rows), key=str)
+                    parent[root(q)] = root(p)
+    least = {}
+    for r in rows:
+        if r[0] is not None:
+            least[root(r)] = min(r[0], least.get(root(r), r[0]))
+    return sorted(((r[0], links.get(id(r), 0), least.get(root(r)), r[0] is not None and least[root(r)] == r[0]) for r in rows), key=str)
 
 
 def test_bounds_are_rigorous():
@@ -61,3 +65,19 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 60)] + [(100, 200), (200, 100), (300, 300), (None, 5)] + [(1000, 2000 + k) for k in range(50)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert {got[k] for k in range(1, 61)} == {1} and got[200] == 100 and got[300] == 300 and got[2049] == 1000
+
+
+def test_rows_with_one_id(spark):
+    """Vectors that share an id are told apart."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, embeddings.near_duplicates(rows).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_products_of_many_columns_are_exact():
+    rng = np.random.default_rng(5)
+    for columns in (7, 1024, 1025, 5000):
+        x, y = (rng.choice(np.array([-127, 126, 127], np.int8), (9, columns)) for _ in range(2))
+        assert (embeddings.int_products(x, y) == x.astype(np.int64) @ y.astype(np.int64).T).all()
+        assert (embeddings.int_products(np.full((1, columns), 127, np.int8), np.full((1, columns), 127, np.int8)) == 127 * 127 * columns).all()

@@ -1,0 +1,83 @@
+"""The mix against a plain computation and its SQL, and its edges."""
+
+import hashlib
+import math
+import random
+import re
+
+import duckdb
+import pytest
+
+from maskloom.llm import mixing, ngrams, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(rows):
+    """(doc_id, size, source_size, target, taken) of (doc_id, source, text), one row after the other."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, x, t in rows if x == s) for s in sources}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sources)}
+    target, left, free = {}, float(sum(total.values())), set(sources)
+    while free:
+        share = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * share > 3 * total[s]}
+        if not full:
+            target |= {s: weight[s] * share for s in free}
+            break
+        target |= {s: 3.0 * total[s] for s in full}
+        left -= sum(3.0 * total[s] for s in full)
+        free -= full
+    out = []
+    for s in sources:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        budget = math.floor(target[s] - epochs * total[s])
+        key = lambda r: (hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r[2]))
+        for doc, _, text in sorted((r for r in rows if r[1] == s), key=key):
+            last = max(0, min(size(text), budget))
+            budget -= size(text)
+            out.append((doc, size(text), total[s], target[s], epochs * size(text) + last))
+    return out
+
+
+def ordered(rows):
+    return sorted(((*r[:3], round(r[3], 6), r[4]) for r in rows), key=str)
+
+
+def test_against_a_plain_computation(spark):
+    rnd = random.Random(1)
+    rows = [(k, rnd.choice(["a", "b", "b", "b", "ü", None, "tiny"][: 6 + (k % 40 == 0)]), " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 1, 5, 60])))) for k in range(400)]
+    rows += [(1000, "a", None), (1001, "a", ""), (1002, "empty", " \t"), (None, "b", "one two three"), (5, "b", "same id other text"), (1003, "a", "x " * 30_000), (1004, "b", "twice"), (1004, "b", "twice")]
+    docs = spark.createDataFrame([(*r, "z", 1.0) for r in rows], "doc_id long, source string, text string, key string, target double")
+    got = [tuple(r)[:5] for r in mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    assert ordered(got) == ordered(plain(rows))
+    assert ordered(tuple(r)[:5] for r in mixing.mix(docs.repartition(7), range_digits=1).collect()) == ordered(got)
+    for source_size in {g[2] for g in got}:
+        taken, target = sum(g[4] for g in got if g[2] == source_size), {g[3] for g in got if g[2] == source_size}
+        assert abs(taken - sum(target)) < 1.001 * len(target)
+    assert all(g[4] <= 3 * g[1] for g in got) and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_documents_of_the_mix(spark):
+    rows = [(k, "ab"[k % 2] if k % 10 else "c", f" first{k}  second{k}\nthird{k} fourth ") for k in range(60)] + [(90, "a", None), (91, None, "one")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, text string, times int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = {}
+    for r in out.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len((r.text or "").split())
+        whole = rows[[x[0] for x in rows].index(r.doc_id)][2]
+        assert r.text == whole or whole.startswith(r.text)
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert words == {k: v for k, v in taken.items() if v or k == 90}
+
+
+@pytest.mark.parametrize(("name", "sql"), [("op2_ngram_jaccard", ngrams.ORACLE_SQL), ("op4_mix_sources", mixing.ORACLE_SQL)])
+def test_sql(spark, name, sql):
+    got = queries.queries()[name](spark, SF).toPandas()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(sql).df()[list(got.columns)]
+    rows = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.to_numpy().tolist()), key=str)
+    assert rows(got) == rows(want)

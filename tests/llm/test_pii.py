@@ -60,3 +60,15 @@ def test_account_cues_in_any_case():
         assert [text[x["start"] : x["end"]] for x in pii.find_spans(text) if x["kind"] == "account"] == ["12345678"], text
     text = "IBAN NO9386011117947"  # a country, not the word
     assert [text[x["start"] : x["end"]] for x in pii.find_spans(text) if x["kind"] == "account"] == ["NO9386011117947"]
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """Spans that overlap are one stretch; nothing of the later one stays."""
+    text = "host 10.0.0.4 111 1111 1111 1111 end"
+    spans = pii.find_spans(text)
+    assert {x["kind"] for x in spans} >= {"ip", "card"}
+    assert pii.redact(text, spans) == "host <IP> end"
+    assert pii.redact(None, None) is None and pii.redact("", []) == ""
+    rows = spark.createDataFrame([(text,), (None,), ("a@b.co",)], "text string")
+    got = [r.t for r in pii.find_pii(rows).select(pii.redacted("text", "pii_spans").alias("t")).collect()]
+    assert got == ["host <IP> end", None, "<EMAIL>"]
