@@ -1,18 +1,21 @@
-"""A corpus from documents: language, lines, near duplicates, mixture, tokens."""
+"""A corpus from documents: language, lines, near duplicates, mixture, tokens.
 
-from __future__ import annotations
+Every stage takes null and empty texts, repeated rows, null ids and further columns, and an empty table gives
+an empty one; what becomes of such rows is told with each stage.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm import bpe, langid, lines, mixing, ngrams
 from maskloom.llm.queries import tokenizer_path
-from maskloom.llm.shared import shared_dir
+from maskloom.llm.shared import forget, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is predicted and not rejected."""
+    """Documents whose language is predicted and not rejected. Null and empty texts and texts without a letter have
+    none and go; without a labelled row nothing can be told and all rows go."""
     return langid.accepted(docs)
 
 
@@ -24,17 +27,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest id. Texts without words and rows
+    without an id stay."""
     return ngrams.kept_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or their first words, as often as the mixture takes them."""
+    """The documents, or their first words, as often as the mixture takes them. Texts without words stay once; a null
+    source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with token_ids and the text decoded from them."""
+    """Documents with token_ids and the text decoded from them; null and empty texts have no tokens."""
     return bpe.tokenize(docs, tokenizer_path())
 
 
@@ -46,15 +51,16 @@ STAGES = [
     ("tokens", encode_tokens),
 ]
 
-#: Training, hashing and union-find can't be said in SQL; tests/llm hold each stage against a plain computation.
+#: Training, hashing and union-find can't be said in SQL; tests/llm hold the stages against plain computations.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents; every other stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        written = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        docs = before = written
     return STAGES[-1][1](spark, docs, sf_dir)
