@@ -108,3 +108,8 @@ def sse_event(event: Column, data: Column, event_id: Column, retry: Column) -> C
         F.concat_ws("\n", F.concat(F.lit("event: "), one_line(event)), F.concat(F.lit("id: "), one_line(event_id)), F.concat(F.lit("retry: "), F.greatest(F.floor(retry), F.lit(0)).cast("string")), F.array_join(lines, "\n")),
         F.lit("\n\n"),
     )
+
+
+def event_text(data: str, name: str | None = None) -> str:
+    """A server-sent event of one line of data, for functions over single streams."""
+    return (f"event: {name}\n" if name else "") + f"data: {data}\n\n"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +41,15 @@ def leaks(text: Column, dictionary: Dictionary) -> Column:
 
 
 def leak(text: Column, dictionary: Dictionary) -> Column:
-    """Whether any rule matches the text without its invisible characters; stops at the first that does."""
+    """Whether any rule matches the text without its invisible characters: one search for all rules."""
+    rules = [pattern for _, pattern in guard_rules(dictionary)]
+    if not rules:
+        return F.lit(False)
+    numbered = [r for r in rules if re.search(r"\\[1-9]", r)]  # numbers of groups don't bear being joined
+    joined = "|".join(f"(?:{r})" for r in rules if r not in numbered)
     clean = F.regexp_replace(text, GUARD_INVISIBLE, "")
-    any_rule = F.lit(False)
-    for _, pattern in guard_rules(dictionary):
-        any_rule = any_rule | clean.rlike(pattern)
-    return F.coalesce(any_rule, F.lit(False))
+    found = [clean.rlike(r) for r in [*([joined] if joined else []), *numbered]]
+    return F.coalesce(reduce(or_, found), F.lit(False))
 
 
 def without_bypassed(text: Column, surfaces: Column) -> Column:
@@ -52,7 +57,9 @@ def without_bypassed(text: Column, surfaces: Column) -> Column:
     return F.aggregate(surfaces, text, lambda t, s: F.replace(t, s, F.lit("")))
 
 
-def guarded(df: DataFrame, masked: str, dictionary: Dictionary) -> DataFrame:
-    """df with leak; masked is null where there is one: a check that trips lets nothing through."""
-    df = df.withColumn("leak", leak(F.col(masked), dictionary))
+def guarded(df: DataFrame, masked: str, dictionary: Dictionary, bypassed: str | None = None) -> DataFrame:
+    """df with leak; masked is null where there is one: a check that trips lets nothing through. bypassed: the column
+    of the surfaces that were kept on purpose, which are no leak."""
+    scope = F.col(masked) if bypassed is None else without_bypassed(F.col(masked), F.col(bypassed))
+    df = df.withColumn("leak", leak(scope, dictionary))
     return df.withColumn(masked, F.when(~F.col("leak"), F.col(masked)))

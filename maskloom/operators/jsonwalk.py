@@ -1,8 +1,7 @@
 """Masking the strings of JSON requests.
 
-Python only takes the strings out of a body and puts them back; finding terms, tokens and the leak check
-are columns over the strings of a request joined in the order of the walk, so that a request is one
-session. A body that breaks a limit has an error and no result.
+Python takes the strings out of a body and puts them back; terms are found in each string for itself, and
+the strings of a request, in the order of the walk, are one session. A body that breaks a limit has an error and no result.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ MAX_DEPTH, MAX_NODES, MAX_KEYS, MAX_KEY_CHARS = 32, 100_000, 10_000, 1024
 FORBIDDEN_KEYS = ("__proto__", "constructor", "prototype")
 ANTHROPIC_SKIPPED = ("model", "id", "type", "role", "stop_reason", "stop_sequence", "max_tokens", "temperature", "top_p", "top_k", "stream")
 OPENAI_SKIPPED = ("model", "role", "finish_reason", "id", "object", "created", "temperature", "max_tokens", "max_completion_tokens", "top_p", "frequency_penalty", "presence_penalty", "stream", "n", "seed")
-#: Between the strings of a request; control characters can't be in terms.
-SEPARATOR = "\x01"
 
 
 class WalkError(ValueError):
@@ -97,7 +94,10 @@ def with_strings(body: str | None, dialect: str, strings: list[str] | None) -> s
     if body is None or strings is None:
         return None
     following = iter(strings)
-    return dumps(walk(json.loads(body), dialect, lambda _: next(following)))
+    out = dumps(walk(json.loads(body), dialect, lambda _: next(following)))
+    if next(following, None) is not None:
+        raise ValueError("more strings than the body has")
+    return out
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -124,23 +124,20 @@ def mask_requests(requests: DataFrame, dictionary: Dictionary) -> DataFrame:
 
     masked_body is null where the body could not be walked (error) or where the check of its messages,
     system, prompt and input finds a term (leak)."""
-    rows = requests.withColumn("__strings", json_strings("body", "dialect"))
-    rows = rows.withColumn("__joined", F.array_join(F.transform("__strings", lambda s: F.replace(s, F.lit(SEPARATOR), F.lit(""))), SEPARATOR))
-    rows = masking.mask(rows, "__joined", dictionary)
-    parts = F.when(F.size("__strings") > 0, F.split("masked", SEPARATOR, -1)).otherwise(F.when(F.col("__strings").isNotNull(), F.array().cast("array<string>")))
-    rows = put_back(rows.withColumn("__parts", parts), "__parts", "masked_body")
+    rows = masking.mask_strings(requests.withColumn("__strings", json_strings("body", "dialect")), "__strings", dictionary)
+    rows = put_back(rows, "masked", "masked_body")
     scope = F.concat_ws("\n", *(F.get_json_object("masked_body", f"$.{k}") for k in guard.GUARDED_KEYS))
     rows = rows.withColumns({"error": F.col("__strings").isNull(), "leak": guard.leak(scope, dictionary)})
-    return rows.withColumn("masked_body", F.when(~F.col("leak"), F.col("masked_body"))).drop("__strings", "__joined", "__parts", "masked", "bypassed")
+    return rows.withColumn("masked_body", F.when(~F.col("leak"), F.col("masked_body"))).drop("__strings", "masked", "bypassed", "bypassed_surfaces")
 
 
 def restore_responses(responses: DataFrame) -> DataFrame:
     """responses(body, dialect, entries) with restored_body: known tokens in strings as their terms. A body that is
     no JSON is restored as text; one without a token is passed on as it is."""
     rows = responses.withColumn("__strings", json_strings("body", "dialect"))
-    rows = rows.withColumn("__joined", F.coalesce(F.array_join("__strings", SEPARATOR), F.col("body")))
-    rows = masking.restore(rows, "__joined", "entries")
-    rows = rows.withColumn("__parts", F.when((F.col("restored") > 0) & F.col("__strings").isNotNull(), F.split("restored_text", SEPARATOR, -1)))
+    rows = rows.withColumn("__texts", F.coalesce("__strings", F.array("body")))
+    rows = masking.restore_strings(rows, "__texts", "entries")
+    rows = rows.withColumn("__parts", F.when((F.col("restored") > 0) & F.col("__strings").isNotNull(), F.col("restored_text")))
     rows = put_back(rows, "__parts", "restored_body")
-    text = F.when(F.col("restored") == 0, F.col("body")).when(F.col("__strings").isNull(), F.col("restored_text")).otherwise(F.col("restored_body"))
-    return rows.withColumn("restored_body", text).drop("__strings", "__joined", "__parts", "restored_text", "restored")
+    text = F.when(F.col("restored") == 0, F.col("body")).when(F.col("__strings").isNull(), F.get("restored_text", F.lit(0))).otherwise(F.col("restored_body"))
+    return rows.withColumn("restored_body", text).drop("__strings", "__texts", "__parts", "restored_text", "restored")

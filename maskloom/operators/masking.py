@@ -1,27 +1,29 @@
-"""Finding, masking and restoring dictionary terms, as column expressions.
+"""Finding, masking and restoring dictionary terms.
 
-All regular expressions run in the JVM. Each step is a column of its own, so that an expression over a
-text is evaluated once; nothing is shuffled, since a document is a session of its own.
+All regular expressions run in the JVM and give the hits of each rule and the lengths between them. One
+Arrow function then places the hits, resolves overlaps and numbers the terms, in time that is linear in a
+text's hits. Nothing is shuffled, since a document is a session of its own; a row may also hold several
+strings that are one session.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.regexlang import SPACE, term_pattern, translated
-from maskloom.functions.text import LOOK_ALIKE, TOKEN, sanitized, unescape_look_alikes, zipped
+from maskloom.functions.text import TOKEN, escape_look_alikes, sanitized
 from maskloom.sources.dictionary import TERM_CHARS, Dictionary
 
 TOKEN_FORMAT = "<{type}_{n}>"
-SPAN = "struct<start:int,minus:int,ord:int,end:int,entity:string,surface:string,suffix:string>"
+SPAN = "struct<start:int,end:int,entity:string,surface:string,suffix:string>"
 _ENTRY = "struct<token:string,entity:string,term:string>"
-
-
-def _text_map(pairs: dict[str, str]) -> Column:
-    if not pairs:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
+_MASKED = f"struct<masked:array<string>,entries:array<{_ENTRY}>,max_group:map<string,int>,hits:map<string,int>,bypassed:map<string,int>,bypassed_surfaces:array<string>>"
+_SPACES = re.compile(f"[{SPACE}]+")
+_DOUBLE = re.compile(rf"<({TOKEN})>")
 
 
 def term_key(surface: Column) -> Column:
@@ -29,66 +31,102 @@ def term_key(surface: Column) -> Column:
     return F.lower(F.regexp_replace(surface, f"[{SPACE}]+", " "))
 
 
-def deny_list(dictionary: Dictionary) -> tuple[str | None, dict[str, str]]:
-    """(alternation of all terms, the longest first; term key -> "entity suffix")."""
+def _spelling(term: str) -> str:
+    """What all spellings of a term that its pattern finds have in common."""
+    return _SPACES.sub(" ", term.strip()).translate(_LOWER)
+
+
+class _Lower(dict):
+    """Characters to lower case one by one, as patterns compare them."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = chr(c).lower()
+        return self[c]
+
+
+_LOWER = _Lower()
+
+
+def deny_list(dictionary: Dictionary) -> tuple[str | None, dict[str, tuple[str, str]]]:
+    """(alternation of all terms, the longest first; spelling -> (entity, suffix))."""
     usable = [t for t in dictionary.terms if t.term.strip() and len(t.term) <= TERM_CHARS]
     ordered = sorted(usable, key=lambda t: -len(t.term))
-    known: dict[str, str] = {}
+    known: dict[str, tuple[str, str]] = {}
     for t in ordered:
-        known.setdefault(" ".join(t.term.split()).lower(), f"{t.entity} {t.suffix}")
+        known.setdefault(_spelling(t.term), (t.entity, t.suffix))
     return "|".join(term_pattern(t.term, t.strict) for t in ordered) or None, known
 
 
-def _placed(hits: Column, pieces: Column, ord_no: int, entity, suffix) -> Column:
-    """Spans of the hits; the pieces between them give their places, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def _rules(dictionary: Dictionary) -> tuple[list[tuple[str, str | None]], dict]:
+    """((Java pattern, entity or None for terms) in the order of their rank; spelling -> (entity, suffix))."""
+    alternation, known = deny_list(dictionary)
+    rules: list[tuple[str, str | None]] = [(alternation, None)] if alternation else []
+    return rules + [(translated(p), entity) for _, entity, p in dictionary.patterns], known
+
+
+def _hits(strings: Column, rules: list) -> Column:
+    """Of an array of strings, for each rule: its hits in each string, and the lengths before, between and behind them."""
 
-    def step(s, k):
-        hit = F.get(hits, k)
-        a = s["at"] + F.length(F.get(pieces, k))
-        b = a + F.length(hit)
-        one = F.struct(a.alias("start"), (a - b).alias("minus"), F.lit(ord_no).alias("ord"), b.alias("end"), entity(hit).alias("entity"), hit.alias("surface"), suffix(hit).alias("suffix"))
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def of(rule: str) -> tuple[Column, Column]:
+        hits = F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(rule), F.lit(0)))
+        return hits, F.transform(strings, lambda s: F.when(s.rlike(rule), F.transform(F.split(s, rule, -1), F.length)))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda s: s["out"])).otherwise(none)
+    return F.struct(*(c.alias(f"{name}_{k}") for k, (rule, _) in enumerate(rules) for name, c in zip(("hits", "gaps"), of(rule), strict=True)))
 
 
-def apart(spans: Column) -> Column:
-    """Of sorted spans those that start behind the last one kept."""
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(
-        F.array_sort(spans),
-        start,
-        lambda s, x: F.when(x["start"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
+def _placed(rules: list, known: dict, found: list[tuple[list[str] | None, list[int] | None]]) -> list[tuple]:
+    """(start, end, entity, surface, suffix) of one string's hits, leftmost longest, in code points, none inside of
+    another one. Earlier rules go first where start and length are equal."""
+    every = []
+    for k, (hits, gaps) in enumerate(found):
+        at = 0
+        for hit, gap in zip(hits or (), gaps or (), strict=False):
+            at += gap
+            every.append((at, -len(hit), k, hit))
+            at += len(hit)
+    every.sort()
+    out, end = [], 0
+    for at, _, k, hit in every:
+        if at >= end:
+            end = at + len(hit)
+            entity, suffix = known[_spelling(hit)] if rules[k][1] is None else (rules[k][1], None)
+            out.append((at, end, entity, hit, suffix))
+    return out
+
+
+def _found_rows(found: pa.Array, n: int):
+    """For each row: for each of its strings the (hits, gaps) of the n rules."""
+    columns = [found.field(k).to_pylist() for k in range(2 * n)]
+    for row in zip(*columns, strict=True):
+        yield [list(zip(one[::2], one[1::2], strict=True)) for one in zip(*row, strict=True)] if row[0] is not None else None
 
 
 def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spans") -> DataFrame:
     """df with the array column out: leftmost longest spans of terms and patterns that don't overlap. Terms go
     before patterns, and patterns by their order, where start and length are equal. Null texts have none."""
-    alternation, known = deny_list(dictionary)
-    rules = [(0, alternation, None)] if alternation else []
-    rules += [(1 + n, translated(p), entity) for n, entity, p in dictionary.patterns]
+    rules, known = _rules(dictionary)
     if not rules:
         return df.withColumn(out, F.array().cast(f"array<{SPAN}>"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = lambda what, n: f"__{what}_{n}"
-    df = df.withColumns({own("hits", n): F.regexp_extract_all(body, F.lit(r), F.lit(0)) for n, r, _ in rules})
-    df = df.withColumns({own("pieces", n): F.when(F.size(own("hits", n)) > 0, F.split(body, r, -1)) for n, r, _ in rules})
-    terms = _text_map(known)
-    spans = []
-    for n, _, entity in rules:
-        hits, pieces = F.col(own("hits", n)), F.col(own("pieces", n))
-        if entity is None:
-            of = lambda h: F.element_at(terms, term_key(h))
-            spans.append(_placed(hits, pieces, n, lambda h: F.substring_index(of(h), " ", 1), lambda h: F.substring_index(of(h), " ", -1)))
-        else:
-            spans.append(_placed(hits, pieces, n, lambda h, e=entity: F.lit(e), lambda h: F.lit(None).cast("string")))
-    df = df.withColumn(own("spans", 0), F.concat(*spans))
-    df = df.withColumn(out, F.when(F.size(own("spans", 0)) > 0, apart(F.col(own("spans", 0)))).otherwise(F.col(own("spans", 0))))
-    return df.drop(*(own(what, n) for what in ("hits", "pieces", "spans") for n, _, _ in rules), own("spans", 0))
+    names = ("start", "end", "entity", "surface", "suffix")
+
+    @F.arrow_udf(f"array<{SPAN}>")
+    def place(found: pa.Array) -> pa.Array:
+        rows = ([dict(zip(names, x, strict=True)) for x in _placed(rules, known, row[0])] for row in _found_rows(found, len(rules)))
+        return pa.array(rows, _SPANS_ARROW)
+
+    return df.withColumn(out, place(_hits(F.array(F.coalesce(F.col(text), F.lit(""))), rules)))
+
+
+_ENTITY_COUNTS = pa.map_(pa.string(), pa.int32())
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("surface", pa.string()), ("suffix", pa.string())]))
+_MASKED_ARROW = pa.struct(
+    [
+        ("masked", pa.list_(pa.string())),
+        ("entries", pa.list_(pa.struct([("token", pa.string()), ("entity", pa.string()), ("term", pa.string())]))),
+        *((name, _ENTITY_COUNTS) for name in ("max_group", "hits", "bypassed")),
+        ("bypassed_surfaces", pa.list_(pa.string())),
+    ]
+)
 
 
 def spans_relation(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
@@ -97,94 +135,125 @@ def spans_relation(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame
     return df.select(*keys, F.inline_outer(spans)).filter("surface IS NOT NULL")
 
 
-def rendered(entity: Column, number: Column, token_format: str = TOKEN_FORMAT) -> Column:
+def rendered(entity: str, number: str, token_format: str = TOKEN_FORMAT) -> str:
+    return token_format.replace("{type}", entity, 1).replace("{n}", number, 1)
+
+
+def token_pattern(token_format: str = TOKEN_FORMAT) -> re.Pattern:
+    """What tokens of a format look like."""
     before, _, rest = token_format.partition("{type}")
     middle, _, after = rest.partition("{n}")
-    return F.concat(F.lit(before), entity, F.lit(middle), number, F.lit(after))
-
+    return re.compile(f"{re.escape(before)}[A-Z][A-Z0-9_]*{re.escape(middle)}[0-9]+[A-Z]*{re.escape(after)}")
+
+
+class _Session:
+    """Tokens of one session. A term has one token, whatever its case. A token that another surface has already gives
+    way to the entity's next free number."""
+
+    def __init__(self, token_format: str, escape: bool):
+        self.token_format, self.escape = token_format, escape
+        self.by_key: dict[tuple[str, str], str] = {}
+        self.by_token: dict[str, tuple[str, str]] = {}
+        self.counters: dict[str, int] = {}
+        self.hits: dict[str, int] = {}
+        self.bypassed: dict[str, int] = {}
+        self.surfaces: dict[str, None] = {}
+
+    def token(self, entity: str, surface: str, suffix: str | None) -> str:
+        key = (entity, surface.lower())
+        if key not in self.by_key:
+            counter = self.counters.get(entity, 0)
+            wanted = suffix or f"{counter + 1}A"
+            number, token = max(counter, int(re.match("[0-9]+", wanted)[0])), rendered(entity, wanted, self.token_format)
+            if self.by_token.get(token, (entity, surface))[1] != surface:
+                number += 1
+                while (token := rendered(entity, f"{number}A", self.token_format)) in self.by_token:
+                    number += 1
+            self.counters[entity] = number
+            self.by_key[key] = token
+            self.by_token[token] = (entity, surface)
+        return self.by_key[key]
+
+    def masked(self, text: str, spans: list[tuple]) -> str:
+        out, at = [], 0
+        for start, end, entity, surface, suffix in spans:
+            gap, at = text[at:start], end
+            if self.escape and gap.endswith("\\"):
+                out += [gap[:-1], surface]
+                self.bypassed[entity] = self.bypassed.get(entity, 0) + 1
+                self.surfaces[surface] = None
+            else:
+                out += [gap, self.token(entity, surface, suffix)]
+                self.hits[entity] = self.hits.get(entity, 0) + 1
+        return "".join(out) + text[at:]
+
+    def result(self, masked: list[str]) -> dict:
+        entries = [{"token": t, "entity": e, "term": s} for t, (e, s) in sorted(self.by_token.items())]
+        counts = {"max_group": self.counters, "hits": self.hits, "bypassed": self.bypassed}
+        return {"masked": masked, "entries": entries, **{k: list(v.items()) for k, v in counts.items()}, "bypassed_surfaces": sorted(self.surfaces)}
+
+
+def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_format: str = TOKEN_FORMAT, escape: bool = False) -> DataFrame:
+    """df with masked, entries, max_group, hits, bypassed and bypassed_surfaces; the strings of a row's array are
+    one session.
+
+    masked: the cleaned strings with tokens for spans, null for null. entries: array<struct<token, entity, term>>
+    by token. max_group: the highest token number of each entity; hits: how often it was found. escape: a
+    backslash before a span keeps its surface and goes; bypassed counts such spans, bypassed_surfaces are their
+    surfaces.
+    """
+    rules, known = _rules(dictionary)
 
-def assign_tokens(text: Column, spans: Column, token_format: str = TOKEN_FORMAT, escape: bool = False) -> Column:
-    """One fold over the spans: struct(at, out, by_key, by_token, counters, entries, hits, bypassed).
+    @F.arrow_udf(_MASKED)
+    def tokens(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for row, hits in zip(texts.to_pylist(), _found_rows(found, len(rules)), strict=True):
+            session = _Session(token_format, escape)
+            masked = row and [None if t is None else session.masked(t, _placed(rules, known, one)) for t, one in zip(row, hits, strict=True)]
+            out.append(session.result(masked))
+        return pa.array(out, _MASKED_ARROW)
 
-    A term has one token in a session, whatever its case. A token that another surface has already gives way
-    to the entity's next free number. escape: a backslash before a span keeps its surface and goes.
-    """
-    strings = "map<string,string>"
-    numbers = "map<string,int>"
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit("").alias("out"),
-        F.create_map().cast(strings).alias("by_key"),
-        F.create_map().cast(strings).alias("by_token"),
-        F.create_map().cast(numbers).alias("counters"),
-        F.array().cast(f"array<{_ENTRY}>").alias("entries"),
-        F.create_map().cast(numbers).alias("hits"),
-        F.create_map().cast(numbers).alias("bypassed"),
-    )
-
-    def put(m, k, v):
-        return F.map_concat(F.map_filter(m, lambda key, _: key != k), F.create_map(k, v))
-
-    def step(s, x):
-        key = F.concat(x["entity"], F.lit(":"), F.lower(x["surface"]))
-        had = F.element_at(s["by_key"], key)
-        counter = F.coalesce(F.element_at(s["counters"], x["entity"]), F.lit(0))
-        wanted = F.coalesce(x["suffix"], F.concat((counter + 1).cast("string"), F.lit("A")))
-        raised = F.greatest(counter, F.regexp_extract(wanted, "^[0-9]+", 0).cast("int"))
-        token = rendered(x["entity"], wanted, token_format)
-        taken = F.coalesce(F.element_at(s["by_token"], token) != x["surface"], F.lit(False))
-        free = F.get(
-            F.filter(F.sequence(raised + 1, raised + F.size(s["by_token"]) + 1), lambda n: ~F.map_contains_key(s["by_token"], rendered(x["entity"], F.concat(n.cast("string"), F.lit("A")), token_format))), 0
-        )
-        number = F.when(taken, free).otherwise(raised)
-        final = F.when(taken, rendered(x["entity"], F.concat(free.cast("string"), F.lit("A")), token_format)).otherwise(token)
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        count = lambda m: put(m, x["entity"], F.coalesce(F.element_at(m, x["entity"]), F.lit(0)) + 1)
-        known = F.struct(x["end"].alias("at"), F.concat(s["out"], gap, had).alias("out"), s["by_key"].alias("by_key"), s["by_token"].alias("by_token"), s["counters"].alias("counters"), s["entries"].alias("entries"), count(s["hits"]).alias("hits"), s["bypassed"].alias("bypassed"))
-        fresh = F.struct(
-            x["end"].alias("at"),
-            F.concat(s["out"], gap, final).alias("out"),
-            put(s["by_key"], key, final).alias("by_key"),
-            put(s["by_token"], final, x["surface"]).alias("by_token"),
-            put(s["counters"], x["entity"], number).alias("counters"),
-            F.concat(s["entries"], F.array(F.struct(final.alias("token"), x["entity"].alias("entity"), x["surface"].alias("term")))).alias("entries"),
-            count(s["hits"]).alias("hits"),
-            s["bypassed"].alias("bypassed"),
-        )
-        one = F.when(had.isNotNull(), known).otherwise(fresh)
-        if not escape:
-            return one
-        kept = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(gap, F.lit(1), F.length(gap) - 1), x["surface"]).alias("out"), s["by_key"].alias("by_key"), s["by_token"].alias("by_token"), s["counters"].alias("counters"), s["entries"].alias("entries"), s["hits"].alias("hits"), count(s["bypassed"]).alias("bypassed"))
-        return F.when(gap.endswith("\\"), kept).otherwise(one)
-
-    return F.aggregate(spans, start, step)
+    rules = rules or [("(?!)", "NONE")]
+    df = df.withColumn("__clean", F.transform(strings, lambda s: escape_look_alikes(sanitized(s))))
+    df = df.withColumn("__done", tokens(F.col("__clean"), _hits(F.col("__clean"), rules)))
+    return df.select(*[c for c in df.columns if c not in (*(f.name for f in _MASKED_ARROW), "__clean", "__done")], "__done.*")
 
 
 def mask(df: DataFrame, text: str, dictionary: Dictionary, token_format: str = TOKEN_FORMAT, escape: bool = False) -> DataFrame:
-    """df with masked, entries, max_group, hits and bypassed.
+    """mask_strings() of one text a row: masked is the masked text."""
+    df = mask_strings(df.withColumn("__texts", F.array(text)), "__texts", dictionary, token_format, escape)
+    return df.withColumn("masked", F.get("masked", F.lit(0))).drop("__texts")
 
-    masked: the cleaned text with tokens for spans, null for null. entries: array<struct<token, entity, term>>
-    by token. max_group: the highest token number of each entity; hits: how often it was found. bypassed:
-    spans that a backslash kept.
-    """
-    body = sanitized(F.col(text))
-    df = df.withColumn("__clean", body)
-    df = df.withColumns({"__look": F.regexp_extract_all("__clean", F.lit(LOOK_ALIKE), F.lit(0)), "__between": F.split("__clean", LOOK_ALIKE, -1)})
-    df = df.withColumn("__clean", zipped(F.col("__look"), F.col("__between"), lambda h: F.when(h.startswith("<<"), h).otherwise(F.concat(F.lit("<"), h, F.lit(">")))))
-    df = find_spans(df, "__clean", dictionary, "__found").withColumn("__fold", assign_tokens(F.col("__clean"), F.col("__found"), token_format, escape))
-    masked = F.concat(F.col("__fold.out"), F.substring(F.col("__clean"), F.col("__fold.at") + 1, F.length("__clean")))
-    df = df.withColumns({"masked": masked, "entries": F.array_sort("__fold.entries"), "max_group": F.col("__fold.counters"), "hits": F.col("__fold.hits"), "bypassed": F.col("__fold.bypassed")})
-    return df.drop("__clean", "__look", "__between", "__found", "__fold")
-
-
-def restore(df: DataFrame, masked: str, entries: str) -> DataFrame:
-    """df with restored_text and restored: known tokens as their terms in one pass, unknown ones as they are, then
-    double brackets as single ones; restored counts the known tokens."""
-    df = df.withColumn("__by_token", F.map_from_entries(F.transform(entries, lambda e: F.struct(e["token"].alias("key"), e["term"].alias("value")))))
-    df = df.withColumns({"__hits": F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)), "__between": F.split(masked, TOKEN, -1)})
-    text = zipped(F.col("__hits"), F.col("__between"), lambda h: F.coalesce(F.element_at(F.col("__by_token"), h), h))
-    n = F.size(F.filter("__hits", lambda h: F.map_contains_key(F.col("__by_token"), h)))
-    return df.withColumns({"restored_text": unescape_look_alikes(text), "restored": F.greatest(n, F.lit(0)).cast("long")}).drop("__by_token", "__hits", "__between")
+
+def restore_strings(df: DataFrame, masked: str, entries: str, token_format: str = TOKEN_FORMAT) -> DataFrame:
+    """df with restored_text and restored: the strings of the array column masked with known tokens as their terms, in
+    one pass, and unknown ones as they are, then double brackets as single ones; restored counts the known tokens."""
+    pattern = token_pattern(token_format)
+
+    @F.arrow_udf("struct<restored_text:array<string>,restored:bigint>")
+    def terms(texts: pa.Array, entries: pa.Array) -> pa.Array:
+        out = []
+        for row, known in zip(texts.to_pylist(), entries.to_pylist(), strict=True):
+            by_token = {e["token"]: e["term"] for e in known or ()}
+            n = 0
+
+            def term(m: re.Match, by_token=by_token) -> str:
+                nonlocal n
+                n += m[0] in by_token
+                return by_token.get(m[0], m[0])
+
+            done = row and [None if t is None else _DOUBLE.sub(r"\1", pattern.sub(term, t)) for t in row]
+            out.append({"restored_text": done, "restored": n})
+        return pa.array(out, pa.struct([("restored_text", pa.list_(pa.string())), ("restored", pa.int64())]))
+
+    df = df.withColumn("__back", terms(F.col(masked), F.col(entries)))
+    return df.select(*[c for c in df.columns if c not in ("restored_text", "restored", "__back")], "__back.*")
+
+
+def restore(df: DataFrame, masked: str, entries: str, token_format: str = TOKEN_FORMAT) -> DataFrame:
+    """restore_strings() of one text a row: restored_text is the restored text."""
+    df = restore_strings(df.withColumn("__texts", F.array(masked)), "__texts", entries, token_format)
+    return df.withColumn("restored_text", F.get("restored_text", F.lit(0))).drop("__texts")
 
 
 def mapping_relation(masked: DataFrame, *keys: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as X
-from maskloom.operators import dialect, gateway, guard, jsonwalk, masking, observe
+from maskloom.operators import dialect, gateway, guard, jsonwalk, masking, observe, translate
 from maskloom.plans import fixtures
 from maskloom.sources import dictionary as D
-from maskloom.streaming import restoring
+from maskloom.streaming import restoring, translating
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -145,10 +145,15 @@ def q_guard_scan_raw(spark, sf_dir):
     return rows.select("doc_id", *(F.coalesce(F.element_at("leaks", k.upper()), F.lit(0)).cast("long").alias(k) for k in ("ip", "secret")))
 
 
-@_query("SELECT CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS withheld FROM documents")
+@_query(
+    """SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (bad) AS BIGINT) AS leaks, CAST(count(*) FILTER (bad) AS BIGINT) AS withheld
+  FROM (SELECT lang, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])MIT License($|[^A-Za-z0-9])') AS bad FROM documents) GROUP BY lang"""
+)
 def q_guard_scan_masked(spark, sf_dir):
-    rows = guard.guarded(masking.mask(_table(spark, sf_dir, "documents").select("text"), "text", DOCUMENTS), "masked", DOCUMENTS)
-    return rows.agg(F.count("*").alias("documents"), F.count_if("leak").alias("leaks"), F.count_if(F.col("masked").isNull()).alias("withheld"))
+    """Texts masked by one dictionary, checked by one that knows a term more."""
+    checked = D.Dictionary(terms=DOCUMENTS.terms + D.parse_dictionary("LICENSE: [MIT License]").terms, patterns=DOCUMENTS.patterns)
+    rows = guard.guarded(masking.mask(_table(spark, sf_dir, "documents").select("lang", "text"), "text", DOCUMENTS), "masked", checked)
+    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("leak").alias("leaks"), F.count_if(F.col("masked").isNull()).alias("withheld"))
 
 
 _UNCLEAN = [(1, "a​b﻿c", "abc"), (2, "‮x⁦y­", "xy"), (3, "plain", "plain"), (4, "\u0000⁠", "")]
@@ -299,7 +304,14 @@ def q_bypass_window(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if("bypassed").alias("bypassed"))
 
 
-@_query()
+@_query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r AS (SELECT user_id, event_id, k, true AS admitted, [t] AS kept FROM e WHERE k = 1
+    UNION ALL
+    SELECT e.user_id, e.event_id, e.k, ok, CASE WHEN ok THEN list_append(kept, e.t)[-5:] ELSE kept END
+    FROM (SELECT e.*, r.kept, len(r.kept) < 5 OR e.t - r.kept[1] >= 86400000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) e)
+  SELECT user_id, event_id, admitted FROM r"""
+)
 def q_rate_limiter(spark, sf_dir):
     return observe.rate_limited(_table(spark, sf_dir, "events"), "user_id", "ts", window_ms=86_400_000, most=5)
 
@@ -336,11 +348,40 @@ def q_stream_restore(spark, sf_dir):
     return rows.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@_query()
+@_query("SELECT conv_id AS stream_id, string_agg(replace(text, 'a', 'Project 오로라'), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def q_sse_restore(spark, sf_dir):
-    body = "".join('data: {"delta":{"text":"' + _STREAM_TEXT[k : k + 4] + '"}}\n\n' for k in range(0, len(_STREAM_TEXT), 4)) + "data: [DONE]\n\n"
-    chunks = spark.createDataFrame([r for n in (7, 64) for r in _cut(f"cut{n}", body, n)], "stream_id string, seq long, chunk string, is_last boolean")
-    return restoring.restore_streams(chunks, _STREAM_MAP, sse=True)
+    """Each conversation as a stream of events, an event for each turn, cut every 50 characters."""
+    masked = F.replace("text", F.lit("a"), F.lit("<PROJECT_1A>"))
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(masked.alias("text"))), F.lit("\n\n"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", event.alias("event"))
+    body = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "event"))), lambda x: x["event"]), "").alias("body"))
+    cut = body.select(F.col("conv_id").alias("stream_id"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s).{1,50}"), F.lit(0))).alias("seq", "chunk"), F.length("body").alias("n"))
+    chunks = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", ((F.col("seq") + 1) * 50 >= F.col("n")).alias("is_last"))
+    restored = restoring.restore_streams(chunks, _STREAM_MAP, sse=True)
+    whole = restored.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("body"))
+    said = F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^data: (.*)$"), F.lit(1)), lambda e: F.get_json_object(e, "$.text"))
+    return whole.select("stream_id", F.array_join(said, "").alias("text"))
+
+
+@_query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text, CAST(sum(turn) AS BIGINT) AS tokens FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def q_stream_translate(spark, sf_dir):
+    """What assistants said as streams of completion chunks, cut every 60 characters, translated to message events."""
+    said = _table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    body = said.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("chunk")))), lambda x: F.concat(F.lit("data: "), x["chunk"], F.lit("\n\n"))), "").alias("body"),
+        F.sum("turn").alias("tokens"),
+    )
+    usage = F.concat(F.lit('data: {"choices":[],"usage":{"completion_tokens":'), F.col("tokens").cast("string"), F.lit("}}\n\n"))
+    body = body.select(F.col("conv_id").alias("stream_id"), F.concat("body", usage).alias("body"))
+    cut = body.select("stream_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s).{1,60}"), F.lit(0))).alias("seq", "chunk"), F.length("body").alias("n"))
+    chunks = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", ((F.col("seq") + 1) * 60 >= F.col("n")).alias("is_last"))
+    out = translating.translate_streams(chunks, "openai", "anthropic")
+    whole = out.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("body"))
+    events = F.regexp_extract_all("body", F.lit(r"(?m)^data: (.*)$"), F.lit(1))
+    texts = F.array_compact(F.transform(events, lambda e: F.get_json_object(e, "$.delta.text")))
+    tokens = F.array_max(F.transform(events, lambda e: F.get_json_object(e, "$.usage.output_tokens").cast("long")))
+    return whole.select("stream_id", F.array_join(texts, "").alias("text"), tokens.alias("tokens"))
 
 
 _SEGMENTS = [(1, "a<X_1A>b<Y_1A>", [("a", False), ("<X_1A>", True), ("b", False), ("<Y_1A>", False)]), (2, "<X_1A>", [("<X_1A>", True)]), (3, "plain", [("plain", False)])]
@@ -394,6 +435,52 @@ def q_conversation_completions(spark, sf_dir):
     return rows.select("conv_id", F.size("messages").cast("long").alias("turns"), F.when(first == "system", first).alias("first_system"))
 
 
+def _requests(spark, sf_dir) -> DataFrame:
+    """conv_id and body: each conversation as a request of the message format."""
+    return dialect.request_json(dialect.to_messages(_table(spark, sf_dir, "conversations")), F.lit("small"), 100).select("conv_id", "body")
+
+
+@_query(_TURNS + " SELECT coalesce(s.conv_id, m.conv_id) AS conv_id, 'large' AS model, coalesce('system:' || s.system || CASE WHEN m.n > 0 THEN chr(10) ELSE '' END, '') || coalesce(m.said, '') AS said FROM s FULL JOIN m ON s.conv_id = m.conv_id")
+def q_translate_requests(spark, sf_dir):
+    rows = translate.translated_requests(_requests(spark, sf_dir), F.lit("anthropic"), F.lit("openai"), {"small": "large"})
+    body = F.from_json("translated_body", "model string, messages array<struct<role:string,content:string>>")
+    rows = rows.select("conv_id", body.alias("b"))
+    return rows.select("conv_id", "b.model", F.array_join(F.transform("b.messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").alias("said"))
+
+
+@_query(_TURNS + " SELECT coalesce(s.conv_id, m.conv_id) AS conv_id, s.system, CAST(100 AS BIGINT) AS max_tokens, CAST(coalesce(m.n, 0) AS BIGINT) AS turns FROM s FULL JOIN m ON s.conv_id = m.conv_id")
+def q_translate_there_and_back(spark, sf_dir):
+    there = translate.translated_requests(_requests(spark, sf_dir), F.lit("anthropic"), F.lit("openai")).select("conv_id", F.col("translated_body").alias("body"))
+    back = translate.translated_requests(there, F.lit("openai"), F.lit("anthropic"))
+    body = F.from_json("translated_body", "system string, max_tokens long, messages array<struct<role:string>>")
+    return back.select("conv_id", body.alias("b")).select("conv_id", "b.system", "b.max_tokens", F.size("b.messages").cast("long").alias("turns"))
+
+
+_ANSWERS = """WITH a AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE role = 'assistant')"""
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """conv_id, turn and body: each turn of an assistant as an answer of the message format."""
+    said = _table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    usage = F.struct(F.col("turn").alias("input_tokens"), F.length("text").alias("output_tokens"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"), F.lit("max_tokens").alias("stop_reason"), usage.alias("usage")))
+    return said.select("conv_id", "turn", body.alias("body"))
+
+
+@_query(_ANSWERS + " SELECT conv_id, turn, text AS content, 'length' AS finish, CAST(turn + n AS BIGINT) AS total, 'asked' AS model FROM a")
+def q_translate_answers(spark, sf_dir):
+    rows = translate.translated_answers(_answers(spark, sf_dir), F.lit("anthropic"), F.lit("openai"), F.lit("asked"))
+    body = F.from_json("translated_body", "model string, choices array<struct<message:struct<content:string>,finish_reason:string>>, usage struct<total_tokens:long>")
+    rows = rows.select("conv_id", "turn", body.alias("b")).withColumn("c", F.get("b.choices", F.lit(0)))
+    return rows.select("conv_id", "turn", F.col("c.message.content").alias("content"), F.col("c.finish_reason").alias("finish"), F.col("b.usage.total_tokens").alias("total"), "b.model")
+
+
+@_query(_ANSWERS + " SELECT conv_id, CAST(count(*) AS BIGINT) AS answers, CAST(sum(turn) AS BIGINT) AS input_tokens, CAST(sum(n) AS BIGINT) AS output_tokens, CAST(sum(turn + n) AS BIGINT) AS total_tokens FROM a GROUP BY conv_id")
+def q_usage_totals(spark, sf_dir):
+    answers = translate.translated_answers(_answers(spark, sf_dir), F.lit("anthropic"), F.when(F.col("turn") % 2 == 0, "openai").otherwise("anthropic"))
+    return translate.usage_totals(answers.select("conv_id", F.col("translated_body").alias("body")), "conv_id")
+
+
 _WALKED = [
     (1, "anthropic", '{"model":"CORP","max_tokens":2.0,"messages":[{"role":"user","content":"CORP a@b.co"},{"content":[{"type":"image","source":{"data":"CORP"}},{"tool_use_id":"CORP","text":"corp"}]}]}', '{"model":"CORP","max_tokens":2,"messages":[{"role":"user","content":"<CUSTOMER_1A> <EMAIL_1A>"},{"content":[{"type":"image","source":{"data":"x"}},{"tool_use_id":"y","text":"<CUSTOMER_1A>"}]}]}'),
     (2, "openai", '{"x":{"function":{"arguments":"{\\"q\\":\\"CORP\\"}"}}}', '{"x":{"function":{"arguments":"{\\"q\\":\\"<CUSTOMER_1A>\\"}"}}}'),

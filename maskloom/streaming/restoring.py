@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 
 from maskloom.functions.text import TOKEN
 
-# The beginning of a token at the end of a text, longest token without a mapping, held characters.
+# The beginning of a token at the end of a text, longest token without a mapping, held characters, waiting events.
 CUT = re.compile(r"<{1,2}(?:[A-Z][A-Z0-9_]*)?(?:_[0-9]+[A-Z]*>?)?$")
-NO_MAPPING_CHARS, MAX_HELD = 20, 65_536
+NO_MAPPING_CHARS, MAX_HELD, MAX_EVENTS = 20, 65_536, 1024
 _KNOWN = re.compile(TOKEN)
 _DOUBLE = re.compile(rf"<({TOKEN})>")
 
@@ -39,10 +39,16 @@ def split_at_cut(text: str, mapping: dict[str, str]) -> tuple[str, str]:
 class Restorer:
     """One stream of text."""
 
-    def __init__(self, mapping: dict[str, str], held: str = ""):
-        self.mapping, self.held = mapping, held
+    def __init__(self, mapping: dict[str, str], state: dict | None = None):
+        self.mapping, self.held = mapping, (state or {}).get("held", "")
+
+    def state(self) -> dict:
+        return {"held": self.held}
+
+    def feed(self, chunk: str, last: bool = False) -> str:
+        return self._feed(chunk) + (self.end() if last else "")
 
-    def feed(self, chunk: str) -> str:
+    def _feed(self, chunk: str) -> str:
         out, self.held = split_at_cut(self.held + chunk, self.mapping) if self.mapping else (chunk, "")
         if len(self.held) > MAX_HELD:
             out, self.held = out + self.held, ""
@@ -113,7 +119,7 @@ class EventRestorer:
 
     def _flush(self, whole: bool = False) -> str:
         if self.holds and not whole:
-            return ""
+            return self._drain() if len(self.queue) >= MAX_EVENTS else ""
         out = "".join(self._rendered(e) for e in self.queue)
         self.queue = []
         return out
@@ -154,41 +160,53 @@ def _appended(node, path: str, at: str, more: str):
 _OUT = "stream_id string, seq long, text string"
 
 
-def _run(restorer, rows: pd.DataFrame, key) -> tuple[list, bool]:
+def _run(one, rows: pd.DataFrame, key) -> tuple[list, bool]:
     out, over = [], False
     for r in rows.sort_values("seq").itertuples():
         over = over or bool(r.is_last)
-        text = restorer.feed(r.chunk, bool(r.is_last)) if isinstance(restorer, EventRestorer) else restorer.feed(r.chunk) + (restorer.end() if r.is_last else "")
-        out.append((key, r.seq, text))
+        out.append((key, r.seq, one.feed(r.chunk, bool(r.is_last))))
     return out, over
 
 
-def restore_streams(chunks: DataFrame, mapping: dict[str, str], sse: bool = False) -> DataFrame:
-    """(stream_id, seq, text) of finished streams chunks(stream_id, seq, chunk, is_last). A stream is handled by one
-    task, chunk by chunk."""
-    make = EventRestorer if sse else Restorer
+def finished(chunks: DataFrame, make) -> DataFrame:
+    """(stream_id, seq, text) of whole streams chunks(stream_id, seq, chunk, is_last). A stream is handled by one task,
+    chunk by chunk, by what make() gives."""
 
     def run(key, rows):
-        out, _ = _run(make(mapping), rows, key[0])
+        out, _ = _run(make(), rows, key[0])
         return pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return chunks.groupBy("stream_id").applyInPandas(run, _OUT)
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandas(run, _OUT.replace("string", kind, 1))
 
 
-def restore_stream(chunks: DataFrame, mapping: dict[str, str], sse: bool = False) -> DataFrame:
-    """restore_streams() over a streaming DataFrame: what is held is the state of a stream, and goes with its last
-    chunk. Chunks of a stream arrive in order; inside of a batch they are sorted."""
-    make = EventRestorer if sse else Restorer
+def streaming(chunks: DataFrame, make) -> DataFrame:
+    """finished() over a streaming DataFrame: what make(state) gives has its state kept for each stream, until the
+    stream's last chunk. Chunks of a stream arrive in order; inside of a batch they are sorted."""
 
     def run(key, batches, state):
-        held = json.loads(state.get[0]) if state.exists else None
-        one = make(mapping, held) if sse else make(mapping, held or "")
-        rows = pd.concat(list(batches))
-        out, over = _run(one, rows, key[0])
+        one = make(json.loads(state.get[0]) if state.exists else None)
+        out, over = _run(one, pd.concat(list(batches)), key[0])
         if over:
             state.remove()
         else:
-            state.update((json.dumps(one.state() if sse else one.held),))
+            state.update((json.dumps(one.state()),))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, _OUT, "held string", "append", "NoTimeout")
+
+
+def _maker(mapping: dict[str, str], sse: bool):
+    kind = EventRestorer if sse else Restorer
+    return lambda state=None: kind(mapping, state)
+
+
+def restore_streams(chunks: DataFrame, mapping: dict[str, str], sse: bool = False) -> DataFrame:
+    """(stream_id, seq, text) of finished streams chunks(stream_id, seq, chunk, is_last), restored."""
+    return finished(chunks, _maker(mapping, sse))
+
+
+def restore_stream(chunks: DataFrame, mapping: dict[str, str], sse: bool = False) -> DataFrame:
+    """restore_streams() over a streaming DataFrame: what is held is the state of a stream, and goes with its last
+    chunk."""
+    return streaming(chunks, _maker(mapping, sse))
