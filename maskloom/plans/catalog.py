@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import text as X
 from maskloom.operators import dialect, gateway, guard, jsonwalk, masking, observe, translate
-from maskloom.plans import fixtures
+from maskloom.plans import fixtures, table_queries
 from maskloom.sources import dictionary as D
 from maskloom.streaming import restoring, translating
 
@@ -147,11 +147,11 @@ def q_guard_scan_raw(spark, sf_dir):
 
 @_query(
     """SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (bad) AS BIGINT) AS leaks, CAST(count(*) FILTER (bad) AS BIGINT) AS withheld
-  FROM (SELECT lang, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])MIT License($|[^A-Za-z0-9])') AS bad FROM documents) GROUP BY lang"""
+  FROM (SELECT lang, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])Apache License($|[^A-Za-z0-9])') AS bad FROM documents) GROUP BY lang"""
 )
 def q_guard_scan_masked(spark, sf_dir):
     """Texts masked by one dictionary, checked by one that knows a term more."""
-    checked = D.Dictionary(terms=DOCUMENTS.terms + D.parse_dictionary("LICENSE: [MIT License]").terms, patterns=DOCUMENTS.patterns)
+    checked = D.Dictionary(terms=DOCUMENTS.terms + D.parse_dictionary("LICENSE: [Apache License]").terms, patterns=DOCUMENTS.patterns)
     rows = guard.guarded(masking.mask(_table(spark, sf_dir, "documents").select("lang", "text"), "text", DOCUMENTS), "masked", checked)
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if("leak").alias("leaks"), F.count_if(F.col("masked").isNull()).alias("withheld"))
 
@@ -506,8 +506,8 @@ def q_json_props_roundtrip(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | table_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | table_queries.oracle_sql()

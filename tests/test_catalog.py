@@ -14,7 +14,7 @@ SQL = catalog.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "region nation documents pages conversations events".split():
+    for t in "region nation customer lineitem documents pages conversations events".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
