@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Invisible characters that cleaning removes, token forms, server folders, names of secrets.
 INVISIBLE = r"[\ufeff\u180e\u00ad\u0000\u200b-\u200d\u2060\u202a-\u202e\u2066-\u2069]"
@@ -113,3 +118,29 @@ def sse_event(event: Column, data: Column, event_id: Column, retry: Column) -> C
 def event_text(data: str, name: str | None = None) -> str:
     """A server-sent event of one line of data, for functions over single streams."""
     return (f"event: {name}\n" if name else "") + f"data: {data}\n\n"
+
+
+def redacted_json(body: Column) -> Column:
+    """A JSON object with *** for values whose names speak of secrets, at any depth of objects; lists stay as they
+    are. Null if it is no JSON."""
+    return _redacted_json(body)
+
+
+def _without_secrets(node):
+    if not isinstance(node, dict):
+        return node
+    return {k: "***" if _SECRET.search(k) else _without_secrets(v) for k, v in node.items()}
+
+
+_SECRET = re.compile(SECRET_NAME)
+
+
+@F.arrow_udf(T.StringType())
+def _redacted_json(body: pa.Array) -> pa.Array:
+    out = []
+    for text in body.to_pylist():
+        try:
+            out.append(None if text is None else json.dumps(_without_secrets(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
+        except ValueError:
+            out.append(None)
+    return pa.array(out, pa.string())

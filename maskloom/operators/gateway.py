@@ -6,9 +6,13 @@ the meaning: the first that applies gives the status.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from maskloom.functions.text import clean_header
 
 # Limits and lists of the policy.
 MAX_URI, MAX_QUERY_KEYS, MAX_MODEL, MAX_TOKENS = 2048, 50, 128, 1_000_000
@@ -83,7 +87,7 @@ def outbound_headers(headers: Column, auth: Column, key: Column, allowed: tuple[
     low = F.transform_keys(headers, lambda k, _: F.lower(k))
     passed = F.map_filter(low, lambda k, _: k.isin(*allowed) & ~k.isin(*HOP_BY_HOP))
     keyed = F.map_concat(F.map_filter(passed, lambda k, _: ~k.isin(*AUTH_HEADERS)), F.create_map(F.lit("authorization"), F.concat(F.lit("Bearer "), key)))
-    return F.when(auth == "api_key", keyed).otherwise(passed)
+    return F.transform_values(F.when(auth == "api_key", keyed).otherwise(passed), lambda _, v: clean_header(v))
 
 
 def response_headers(headers: Column) -> Column:
@@ -124,3 +128,63 @@ def fallback_choice(chain: DataFrame, upstream: DataFrame) -> DataFrame:
     last = W.partitionBy("request_id")
     rows = rows.withColumn("at", F.coalesce(F.min(F.when(~F.col("again"), F.col("pos"))).over(last), F.max("pos").over(last)))
     return rows.filter("pos = at").select("request_id", "provider", F.coalesce("status", F.lit(502)).alias("status"), (F.col("pos") + 1).alias("tried"))
+
+
+def hook_status(method: Column, origin: Column, host: Column, allow_remote: bool = False, origins: tuple[str, ...] = ()) -> Column:
+    """200, 405 for methods that are never served, 403 for foreign origins and, if only local requests are served, for
+    other hosts. Without origins a remote server takes any."""
+    where, name = F.lower(origin), F.lower(F.substring_index(host, ":", 1))
+    local = where.rlike(r"^http://(?:127\.0\.0\.1|localhost|\[::1\])")
+    foreign = where.isNotNull() & (where != "") & ~local
+    if allow_remote:
+        foreign = foreign & ~where.isin(*origins) if origins else F.lit(False)
+    other = F.lit(False) if allow_remote else host.isNotNull() & (host != "") & ~(name.isin("127.0.0.1", "localhost", "::1") | name.startswith("127."))
+    return F.when(F.upper(method).isin("TRACE", "TRACK", "CONNECT"), 405).when(F.coalesce(foreign | other, F.lit(False)), 403).otherwise(200)
+
+
+def admin_allowed(token: Column, secret_sha256: str) -> Column:
+    """Whether an admin token has the right form and digest."""
+    return F.coalesce(token.rlike(r"^[A-Za-z0-9._~-]{8,256}\z") & (F.sha2(token, 256) == secret_sha256), F.lit(False))
+
+
+def response_status(status: Column, headers: Column, most: int = 33_554_432) -> Column:
+    """The answer's status, or 502 where its announced length is above `most` bytes."""
+    return F.when(header(headers, "content-length").try_cast("bigint") > most, 502).otherwise(status)
+
+
+@F.arrow_udf(T.StringType())
+def _beginning(body: pa.Array, most: pa.Array) -> pa.Array:
+    rows = zip(body.to_pylist(), most.to_pylist(), strict=True)
+    return pa.array([None if t is None else t.encode()[:n].decode(errors="ignore") for t, n in rows], pa.string())
+
+
+def bounded_text(body: Column, most: int) -> Column:
+    """The longest beginning of a text of at most `most` bytes of UTF-8, no character cut."""
+    return F.when(F.octet_length(body) <= most, body).otherwise(_beginning(body, F.lit(most)))
+
+
+def catalogue_endpoint(endpoints: Column) -> Column:
+    """Where a provider's list of models is asked for."""
+    return F.coalesce(*(endpoints[k] for k in ("responses", "openai", "anthropic")))
+
+
+def resolved(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """requests(provider, dialect, ...) with endpoint, upstream_dialect and status: the provider's endpoint for the
+    request's format, else that of the other one, to be translated. 404 for an unknown provider, 502 for one without
+    either endpoint. providers(name, endpoints) is small and has a row for each name."""
+    known = providers.select(F.col("name").alias("__name"), F.col("endpoints").alias("__endpoints"))
+    rows = requests.join(known, requests["provider"] == known["__name"], "left")
+    other = F.when(F.col("dialect") == "anthropic", "openai").otherwise("anthropic")
+    at = lambda d: F.element_at("__endpoints", d)
+    spoken = F.when(at(F.col("dialect")).isNotNull(), F.col("dialect")).when(at(other).isNotNull(), other)
+    rows = rows.withColumn("upstream_dialect", spoken)
+    rows = rows.withColumn("endpoint", F.regexp_replace(at(F.col("upstream_dialect")), "/+$", ""))
+    status = F.when(F.col("__name").isNull(), 404).when(F.col("upstream_dialect").isNull(), 502).otherwise(200)
+    return rows.withColumn("status", status).drop("__name", "__endpoints")
+
+
+def fallbacks_of_dialect(providers: DataFrame, dialect: str) -> DataFrame:
+    """(pos, name, endpoint): the fallbacks that speak a format, in order."""
+    rows = providers.filter("fallback_pos IS NOT NULL").withColumn("endpoint", F.regexp_replace(F.element_at("endpoints", dialect), "/+$", ""))
+    rows = rows.filter("endpoint IS NOT NULL")
+    return rows.select((F.row_number().over(W.orderBy("fallback_pos")) - 1).alias("pos"), "name", "endpoint")

@@ -57,9 +57,16 @@ def without_bypassed(text: Column, surfaces: Column) -> Column:
     return F.aggregate(surfaces, text, lambda t, s: F.replace(t, s, F.lit("")))
 
 
-def guarded(df: DataFrame, masked: str, dictionary: Dictionary, bypassed: str | None = None) -> DataFrame:
-    """df with leak; masked is null where there is one: a check that trips lets nothing through. bypassed: the column
-    of the surfaces that were kept on purpose, which are no leak."""
+def guarded(df: DataFrame, masked: str, dictionary: Dictionary, bypassed: str | None = None, mode: str = "withhold") -> DataFrame:
+    """df with leak. bypassed: the column of the surfaces that were kept on purpose, which are no leak. mode withhold:
+    masked is null where there is a leak, so a check that trips lets nothing through; raise: the job fails at the
+    first one; off: nothing is looked for, leak is false."""
+    if mode not in ("withhold", "raise", "off"):
+        raise ValueError(f"no mode {mode}")
+    if mode == "off":
+        return df.withColumn("leak", F.lit(False))
     scope = F.col(masked) if bypassed is None else without_bypassed(F.col(masked), F.col(bypassed))
     df = df.withColumn("leak", leak(scope, dictionary))
+    if mode == "raise":
+        return df.withColumn("leak", F.when(F.col("leak"), F.raise_error(F.lit("a protected term is left in a masked text")).cast("boolean")).otherwise(F.lit(False)))
     return df.withColumn(masked, F.when(~F.col("leak"), F.col(masked)))

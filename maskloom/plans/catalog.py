@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import text as X
 from maskloom.operators import dialect, gateway, guard, jsonwalk, masking, observe, translate
-from maskloom.plans import fixtures, table_queries
+from maskloom.plans import fixtures, report_queries, table_queries
 from maskloom.sources import dictionary as D
 from maskloom.streaming import restoring, translating
 
@@ -506,8 +506,8 @@ def q_json_props_roundtrip(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | table_queries.queries()
+    return _QUERIES | table_queries.queries() | report_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | table_queries.oracle_sql()
+    return _SQL | table_queries.oracle_sql() | report_queries.oracle_sql()

@@ -7,6 +7,7 @@ Structured Streaming with the held text as state.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 
@@ -15,9 +16,9 @@ from pyspark.sql import DataFrame
 
 from maskloom.functions.text import TOKEN
 
-# The beginning of a token at the end of a text, longest token without a mapping, held characters, waiting events.
+# The beginning of a token at the end of a text, longest token without a mapping, held characters, waiting events, buffered characters.
 CUT = re.compile(r"<{1,2}(?:[A-Z][A-Z0-9_]*)?(?:_[0-9]+[A-Z]*>?)?$")
-NO_MAPPING_CHARS, MAX_HELD, MAX_EVENTS = 20, 65_536, 1024
+NO_MAPPING_CHARS, MAX_HELD, MAX_EVENTS, BUFFER = 20, 65_536, 1024, 8_388_608
 _KNOWN = re.compile(TOKEN)
 _DOUBLE = re.compile(rf"<({TOKEN})>")
 
@@ -196,6 +197,69 @@ def streaming(chunks: DataFrame, make) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandasWithState(run, _OUT, "held string", "append", "NoTimeout")
 
 
+class BufferedRestorer:
+    """One stream of text that is restored as a whole. Beyond `most` characters the buffer is given out but for the
+    longest token's length, so that what is held stays bounded."""
+
+    def __init__(self, mapping: dict[str, str], state: dict | None = None, most: int = BUFFER):
+        self.mapping, self.most, self.held = mapping, most, (state or {}).get("held", "")
+
+    def state(self) -> dict:
+        return {"held": self.held}
+
+    def feed(self, chunk: str, last: bool = False) -> str:
+        longest = max(map(len, self.mapping), default=NO_MAPPING_CHARS)
+        self.held += chunk
+        if last or not self.mapping:
+            out, self.held = self.held, ""
+            return restored(out, self.mapping) if self.mapping else out
+        if len(self.held) <= max(self.most, 2 * longest):
+            return ""
+        at = len(self.held) - longest
+        cut, more = split_at_cut(self.held[:at], self.mapping)  # no token is cut in two
+        out, self.held = cut, more + self.held[at:]
+        return restored(out, self.mapping)
+
+
+class Utf8:
+    """Bytes of a stream to text: a character whose bytes come in two chunks waits for the second. Bytes that are no
+    UTF-8 become U+FFFD."""
+
+    def __init__(self, pending: bytes = b""):
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.decoder.setstate((pending, 0))
+
+    def feed(self, chunk: bytes, last: bool = False) -> str:
+        return self.decoder.decode(chunk, last)
+
+    def pending(self) -> bytes:
+        return self.decoder.getstate()[0]
+
+
+class BytesOf:
+    """What feed() of another one makes of chunks of bytes."""
+
+    def __init__(self, one, state: dict | None = None):
+        self.one, self.utf8 = one, Utf8(bytes.fromhex((state or {}).get("pending", "")))
+
+    def state(self) -> dict:
+        return {"pending": self.utf8.pending().hex(), "one": self.one.state()}
+
+    def feed(self, chunk: bytes, last: bool = False) -> str:
+        return self.one.feed(self.utf8.feed(bytes(chunk), last), last)
+
+
+def restore_buffered(chunks: DataFrame, mapping: dict[str, str], most: int = BUFFER) -> DataFrame:
+    """restore_streams() with each stream held back to its end, or to `most` characters."""
+    return finished(chunks, lambda state=None: BufferedRestorer(mapping, state, most))
+
+
+def restore_byte_streams(chunks: DataFrame, mapping: dict[str, str], sse: bool = False) -> DataFrame:
+    """restore_streams() of chunks of bytes, which may be cut inside of a character."""
+    make = _maker(mapping, sse)
+    return finished(chunks, lambda state=None: BytesOf(make((state or {}).get("one")), state))
+
+
 def _maker(mapping: dict[str, str], sse: bool):
     kind = EventRestorer if sse else Restorer
     return lambda state=None: kind(mapping, state)
