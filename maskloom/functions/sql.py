@@ -7,8 +7,6 @@ import re
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult
-from pyspark.sql.types import StructType
 
 from maskloom.functions.regexlang import term_pattern, translated
 from maskloom.operators import masking
@@ -61,14 +59,10 @@ def register(spark: SparkSession, dictionary: Dictionary, prefix: str = "") -> N
     class SpanRows:
         """(start, end, entity, surface) of each span of a text."""
 
-        @staticmethod
-        def analyze(text: AnalyzeArgument) -> AnalyzeResult:
-            return AnalyzeResult(StructType.fromDDL(_SPAN_DDL))
-
         def eval(self, text: str):
             for start, end, entity, surface, _ in find(text):
                 yield start, end, entity, surface
 
     for function in (mask_text, mask_spans, restore_text):
         spark.udf.register(prefix + function.__name__, function)
-    spark.udtf.register(f"{prefix}span_rows", F.udtf(SpanRows))
+    spark.udtf.register(f"{prefix}span_rows", F.udtf(SpanRows, returnType=_SPAN_DDL))
