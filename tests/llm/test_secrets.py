@@ -62,3 +62,12 @@ def test_models(spark):
     assert min(score[t] for t in random_ones) > secrets.LEAST_RATIO > max(score[t] for t in ordinary)
     scored = spark.createDataFrame(rows, "random boolean, t string").select("random", (secrets.mean_ratio(secrets.F.col("t"), got) > secrets.LEAST_RATIO).alias("s")).collect()
     assert sum(r.random == r.s for r in scored) / len(scored) > 0.97
+
+
+def test_a_very_long_token(spark):
+    """A token of a megabyte takes a time in proportion to its length."""
+    rnd = random.Random(1)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, "see " + long + " end"), (2, long[:100])], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.digest(docs).collect()}
+    assert got[1].n_random == 1 and got[1].spans == "random:4:1000004" and got[2].n_random == 1
