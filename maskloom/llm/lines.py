@@ -59,7 +59,8 @@ def with_bands(df: DataFrame, norm: str = "norm") -> DataFrame:
     early = lambda s: F.xxhash64(s).bitwiseOR(F.lit(_FIRST))
     order = lambda s: F.when(s.rlike(r"^\s"), early(F.substring(s, 2, SHINGLE))).otherwise(F.xxhash64(s).bitwiseAND(F.lit(~_FIRST)))
     every = F.sort_array(F.array_distinct(F.transform(_shingles(F.col(norm)), order)))
-    df = df.withColumn("bands", F.sort_array(F.array_distinct(F.transform(leading, early))))
+    # repeats in front send a line to the long way, which gives the same
+    df = df.withColumn("bands", F.array_distinct(F.slice(F.sort_array(F.transform(leading, early)), 1, 3 * MINIMA)))
     df = df.withColumn("bands", F.when(F.size("bands") >= MINIMA, F.col("bands")).otherwise(every))
     at = lambda k: F.get("bands", F.lit(k))
     later = (F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1))) for k in range(1, BANDS))
