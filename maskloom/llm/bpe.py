@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.llm.shared import release_memory
+
 #: Fixed value: the file's pre-split pattern for which a shorter one does the same on lower-case ASCII.
 CONTRACTIONS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of each of the two generations of a worker's word cache.
@@ -404,9 +406,28 @@ class Tokenizer:
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with token_ids and decoded, a row for each row; columns of these names are replaced."""
-    tok = Tokenizer(docs.sparkSession, path)
-    return docs.withColumn("token_ids", tok.encode(F.col(text))).withColumn("decoded", tok.decode(F.col("token_ids")))
+    """docs with token_ids and decoded, a row for each row; columns of these names are replaced. Rows come in parts of
+    TEXTS, so that a worker never holds the tokens of a whole batch."""
+    with open(path, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    kept = [f for f in docs.schema.fields if f.name not in ("token_ids", "decoded")]
+    schema = T.StructType([*kept, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
+    ids_type = pa.list_(pa.field("element", pa.int32(), False))
+
+    def run(batches):
+        encoder = _encoder(spec.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                ids = [np.frombuffer(x, np.int32) for x in encoder.encode_all(part.column(text).to_pylist())]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                columns = {f.name: part.column(f.name) for f in kept}
+                columns["token_ids"] = pa.ListArray.from_arrays(ends, np.concatenate(ids)).cast(ids_type)
+                columns["decoded"] = pa.array([encoder.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            release_memory()
+
+    return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

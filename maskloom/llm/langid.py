@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.llm.shared import release_memory
+
 UNKNOWN = "und"
 #: Hash buckets, dimensions and n-gram lengths (bytes) of the subwords.
 BUCKETS_LOG2, DIMENSIONS, ORDERS = 16, 16, (2, 3, 4)
@@ -211,6 +213,7 @@ def predictor(spark, model: LanguageModel):
     @F.arrow_udf(_PREDICTION)
     def predict(text: pa.Array) -> pa.Array:
         names, scores = sent.value.predict(text.to_pylist())
+        release_memory()
         refused = np.array([x == UNKNOWN for x in names], bool) | (scores < sent.value.least_score)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], names=["lang_pred", "score", "rejected"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.components import components
-from maskloom.llm.shared import broadcast_if_few, saved
+from maskloom.llm.shared import broadcast_if_few, release_memory, saved
 
 #: Words of a shingle.
 WORDS = 5
@@ -201,6 +201,8 @@ def _classes(batches):
         seen: set[int] = {0}
         sketches = [None if c in seen or seen.add(c) else sketch(s) for c, s in zip(cls, sets, strict=True)]
         yield pa.RecordBatch.from_pydict({"doc_id": t.column(0), "cls": pa.array(cls, pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+        del sets, sketches
+        release_memory()
 
 
 def _pack(buckets: int):
@@ -239,6 +241,7 @@ def _pack(buckets: int):
                     texts, size = [], 0
         if texts:
             yield block(texts)
+        release_memory()
 
     return pack
 
@@ -261,6 +264,8 @@ def _meet(table: pa.Table) -> pa.Table:
     first[1:] = value[1:] != value[:-1]
     leader = member[np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))]
     pairs = np.unique(np.stack([leader[~first], member[~first]], axis=1), axis=0)
+    del low, cls, value, member, order, fresh, leader, first
+    release_memory()
     return pa.table({"leader": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1])})
 
 

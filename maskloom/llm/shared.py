@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def broadcast_if_few(df: DataFrame, counted: DataFrame | None = None) -> DataFra
     return F.broadcast(df) if few else df
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system: workers live on beside the executor's other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; its own ways have to do
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:
