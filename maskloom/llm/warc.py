@@ -12,6 +12,7 @@ import hashlib
 import html
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +26,16 @@ _FIELDS = [("warc_type", "string"), ("record_id", "string"), ("refers_to", "stri
 RECORD = T.StructType([T.StructField(k, {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}[t]) for k, t in _FIELDS])
 _RECORD = pa.struct([(k, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for k, t in _FIELDS])
 
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Elements that show nothing, elements that begin a line, elements that lead elsewhere.
+UNSEEN = frozenset(("script", "style", "noscript", "template", "head"))
+BREAKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul body html".split()
+)
+LINKED = frozenset(("a", "area", "link", "img", "script", "iframe"))
+_NAME = re.compile(r"(/?)([A-Za-z]\w*)|[!?]", re.A)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
+_TITLE_END = re.compile("</title", re.I)
+_TARGET = re.compile(r"\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 
@@ -70,17 +76,63 @@ def decoded(payload: bytes, content_type: str) -> tuple[str, str]:
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def tags(markup: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, name in lower case, whether it closes) of each tag, from its bracket to the next closing one;
+    comments have the name "!--" and reach to their end. One pass: nothing is looked at twice."""
+    at = 0
+    while (start := markup.find("<", at)) >= 0:
+        if markup.startswith("<!--", start):
+            end = markup.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(markup)
+            yield start, at, "!--", False
+            continue
+        m = _NAME.match(markup, start + 1)
+        if not m:
+            at = start + 1
+            continue
+        end = markup.find(">", m.end())
+        if end < 0:
+            return  # nor does a later tag end
+        at = end + 1
+        yield start, at, (m[2] or "").lower(), m[1] == "/"
+
+
 def plain_text(markup: str) -> str:
-    """Visible text: a line for each block element, runs of white space as one space, no empty lines."""
-    text = _TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub(" ", markup).replace("\n", " ")))
-    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
+    """Visible text: a line for each block element, runs of white space as one space, no empty lines. Without their
+    closing tag, elements that show nothing reach to the end."""
+    out, at = [], 0
+    for start, end, name, closes in tags(markup):
+        if start < at:
+            continue  # inside of what is not shown
+        out.append(markup[at:start].replace("\n", " "))
+        at = end
+        if name in UNSEEN and not closes:
+            m = _CLOSE[name].search(markup, end)
+            at = m.end() if m else len(markup)
+        out.append(" " if name == "!--" or at != end or (name in UNSEEN and not closes) else "\n" if name in BREAKS else "")
+    out.append(markup[at:].replace("\n", " "))
+    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(markup: str) -> str | None:
+    """What the first title element holds, if it is closed."""
+    for _, end, name, closes in tags(markup):
+        if name == "title" and not closes:
+            m = _TITLE_END.search(markup, end)
+            return " ".join(html.unescape(markup[end : m.start()]).split()) if m else None
+    return None
+
+
 def outlinks(markup: str) -> list[tuple[str, str]]:
     """(element, target) of links outside comments, each once, in their order."""
-    found = (( m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip()) for m in _LINK.finditer(re.sub(r"<!--.*?-->", "", markup, flags=re.S)))
-    return [x for x in dict.fromkeys(found) if x[1] and not re.search(r"[\r\n]", x[1])]
+    found: dict[tuple[str, str], None] = {}
+    for start, end, name, closes in tags(markup):
+        if name in LINKED and not closes and (m := _TARGET.search(markup, start, end)):
+            target = html.unescape(m[1] or m[2] or m[3] or "").strip()
+            if target and not re.search(r"[\r\n]", target):
+                found[name, target] = None
+    return list(found)
 
 
 def derive_one(record_id: str, target: str | None, date: str | None, block: bytes | None, digest: str | None) -> list[dict]:
@@ -101,8 +153,8 @@ def derive_one(record_id: str, target: str | None, date: str | None, block: byte
         out.append(shared | {"warc_type": "conversion", "record_id": ids["conversion"], "content_type": "text/plain; charset=utf-8", "content_length": len(body), "block_digest": digest_of(body), "block": body})
         lines += [("charset", charset), ("conversion", ids["conversion"])]
         if kind != "text/plain":
-            if m := _TITLE.search(markup):
-                lines.append(("title", " ".join(html.unescape(m[1]).split())))
+            if (title := title_of(markup)) is not None:
+                lines.append(("title", title))
             lines += [("outlink", f"{link} {element}") for element, link in outlinks(markup)]
     fields = "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "replace")
     return [shared | {"warc_type": "metadata", "record_id": ids["metadata"], "content_type": "application/warc-fields", "content_length": len(fields), "block_digest": digest_of(fields), "block": fields}, *out]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from maskloom.llm import warc
@@ -65,3 +66,19 @@ def test_edges(spark):
     assert len(rows) == 10 and warc.derivatives(pages.limit(0)).count() == 0
     assert warc.with_bytes(warc.derive(warc.responses(pages))).filter("warc is null").count() == 0
     assert warc.derive(warc.responses(pages).withColumn("warc_type", warc.F.lit("request"))).count() == 0
+
+
+def test_unclosed_markup_takes_linear_time():
+    """Megabytes of what is never closed."""
+    began = time.time()
+    for piece in ("<a ", "<script ", "<title>", "<!--", "<script>x", "</script ", "<a href='", "<p>x", "<", "<style><a href=x>"):
+        markup = piece * (1_000_000 // len(piece))
+        warc.plain_text(markup), warc.outlinks(markup), warc.title_of(markup)
+    assert time.time() - began < 20
+
+
+def test_markup_by_the_piece():
+    page = "<head><title> A &amp;\nB</title><link href=/c></head><p>one<br>two < three<!-- no <p> --><script>if (a<b) x</script >four <b>five</b>\nsix<template>y"
+    assert warc.plain_text(page) == "one\ntwo < three four five six" and warc.title_of(page) == "A & B"
+    assert warc.outlinks(page + "</template><IMG alt='' SRC = \"q?a=1&amp;b=2\"><!-- <a href=/n> --><a href='/m'><a href='/m'>") == [("link", "/c"), ("img", "q?a=1&b=2"), ("a", "/m")]
+    assert warc.title_of("<title>x") is None and warc.plain_text("<style>a{}") == ""
