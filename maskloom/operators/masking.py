@@ -64,14 +64,24 @@ def _rules(dictionary: Dictionary) -> tuple[list[tuple[str, str | None]], dict]:
     return rules + [(translated(p), entity) for _, entity, p in dictionary.patterns], known
 
 
-def _hits(strings: Column, rules: list) -> Column:
+def may_hold_terms(text: Column, dictionary: Dictionary) -> Column:
+    """A cheap test that a text fails only if no term can be in it: it is shorter than each, or it has no ASCII letter
+    or digit where each has one."""
+    terms = [_spelling(t.term) for t in dictionary.terms if t.term.strip()]
+    long_enough = F.length(text) >= min(map(len, terms), default=1)
+    plain = all(re.fullmatch(r"[A-Za-z0-9\s_-]+", t, re.ASCII) and re.search("[A-Za-z0-9]", t) for t in terms)
+    return long_enough & text.rlike("[A-Za-z0-9]") if plain else long_enough
+
+
+def _hits(strings: Column, rules: list, dictionary: Dictionary) -> Column:
     """Of an array of strings, for each rule: its hits in each string, and the lengths before, between and behind them."""
 
-    def of(rule: str) -> tuple[Column, Column]:
-        hits = F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(rule), F.lit(0)))
-        return hits, F.transform(strings, lambda s: F.when(s.rlike(rule), F.transform(F.split(s, rule, -1), F.length)))
+    def of(rule: str, entity: str | None) -> tuple[Column, Column]:
+        test = (lambda s: may_hold_terms(s, dictionary)) if entity is None else (lambda s: s.isNotNull())
+        hits = F.transform(strings, lambda s: F.when(test(s), F.regexp_extract_all(s, F.lit(rule), F.lit(0))))
+        return hits, F.transform(strings, lambda s: F.when(test(s) & s.rlike(rule), F.transform(F.split(s, rule, -1), F.length)))
 
-    return F.struct(*(c.alias(f"{name}_{k}") for k, (rule, _) in enumerate(rules) for name, c in zip(("hits", "gaps"), of(rule), strict=True)))
+    return F.struct(*(c.alias(f"{name}_{k}") for k, (rule, entity) in enumerate(rules) for name, c in zip(("hits", "gaps"), of(rule, entity), strict=True)))
 
 
 def _placed(rules: list, known: dict, found: list[tuple[list[str] | None, list[int] | None]]) -> list[tuple]:
@@ -114,7 +124,7 @@ def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spa
         rows = ([dict(zip(names, x, strict=True)) for x in _placed(rules, known, row[0])] for row in _found_rows(found, len(rules)))
         return pa.array(rows, _SPANS_ARROW)
 
-    return df.withColumn(out, place(_hits(F.array(F.coalesce(F.col(text), F.lit(""))), rules)))
+    return df.withColumn(out, place(_hits(F.array(F.coalesce(F.col(text), F.lit(""))), rules, dictionary)))
 
 
 _ENTITY_COUNTS = pa.map_(pa.string(), pa.int32())
@@ -215,7 +225,7 @@ def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_form
 
     rules = rules or [("(?!)", "NONE")]
     df = df.withColumn("__clean", F.transform(strings, lambda s: escape_look_alikes(sanitized(s))))
-    df = df.withColumn("__done", tokens(F.col("__clean"), _hits(F.col("__clean"), rules)))
+    df = df.withColumn("__done", tokens(F.col("__clean"), _hits(F.col("__clean"), rules, dictionary)))
     return df.select(*[c for c in df.columns if c not in (*(f.name for f in _MASKED_ARROW), "__clean", "__done")], "__done.*")
 
 

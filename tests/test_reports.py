@@ -85,3 +85,11 @@ def test_small_functions(spark):
     assert tuple(got.p) == ("acme", "/v1/messages") and got.h == {"a": "b"} and got.d == "ab" and got.n == "x y가.z"
     sent = row.select(gateway.outbound_headers(F.create_map(F.lit("anthropic-version"), F.lit("1\r\nX: 2")), F.lit("passthrough"), F.lit("k")).alias("h")).first().h
     assert sent == {"anthropic-version": "1 X: 2"}
+
+
+def test_fast_reject(spark):
+    d = D.parse_dictionary("A: [ab c, x-1]\nB:\n  patterns: ['[!]']")
+    rows = spark.createDataFrame([("a",), ("가나다라",), ("ab",), ("AB   c!",), ("x-1",), ("",), (None,)], "t string")
+    got = masking.mask(rows, "t", d).select("t", "masked", masking.may_hold_terms(F.col("t"), d).alias("may")).collect()
+    assert [(r.may, r.masked) for r in got] == [(False, "a"), (False, "가나다라"), (False, "ab"), (True, "<A_1A><B_1A>"), (True, "<A_2A>"), (False, ""), (None, None)]
+    assert spark.createDataFrame([("가나다",)], "t string").select(masking.may_hold_terms(F.col("t"), PARITY).alias("m")).first().m
