@@ -99,10 +99,11 @@ def _all_links(found: DataFrame, threshold: int) -> DataFrame:
     sketches = saved(_sketches(texts), "line-sketches")
     one = lambda s: sketches.select(F.col("line_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH))
     pairs = stars.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold))
-    links = saved(_links(texts, _nearest(pairs.select("a", "b", _apart().alias("apart"))), threshold), "line-links")
+    compared = saved(_nearest(pairs.select("a", "b", _apart().alias("apart"))), "line-nearest")
+    links = saved(_links(texts, compared, threshold), "line-links")
     labels = components(links)
-    across = saved(_across(stars, sketches, labels, threshold), "line-pairs")
-    forget(leaders, stars, sketches)
+    across = saved(_across(stars, sketches, labels, threshold).join(compared, ["a", "b"], "left_anti"), "line-pairs")
+    forget(leaders, stars, sketches, compared)
     if not across.isEmpty():
         # the nearest line of each first: most of the others are then in one component
         both = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
@@ -158,8 +159,7 @@ def _across(stars: DataFrame, sketches: DataFrame, labels: DataFrame, threshold:
     home = rows.select(F.col("line_id").alias("lead"), F.col("component").alias("home"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     spans = near.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(home, "lead")
-    # a pair of lines with one leader was compared already
-    spans = saved(spans.filter("n > 1 AND (least <> home OR most <> home)").select("lead", "home", tiles(F.col("n") + 1).alias("tiles")), "line-spans")
+    spans = saved(spans.filter("least <> home OR most <> home").select("lead", "home", tiles(F.col("n") + 1).alias("tiles")), "line-spans")
     members = stars.join(spans, "lead").union(spans.select("lead", F.col("lead").alias("line_id"), "home", "tiles"))
     members = saved(members.join(rows, "line_id"), "line-crowds")
 
