@@ -366,6 +366,7 @@ def _encoder(spec_json: str) -> WordEncoder:
     finally:
         gc.freeze()
         gc.enable()
+        release_memory()
 
 
 class Tokenizer:

@@ -65,6 +65,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _power_table(base, max(2 * SLICE, 1 << n.bit_length()))[:n]
 
 
+def _release() -> None:
+    """At the end of a task's work: a worker keeps neither the tables of powers nor what it has freed."""
+    _power_table.cache_clear()
+    release_memory()
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of data, which is in lower case."""
     b = np.frombuffer(data, np.uint8)
@@ -202,7 +208,7 @@ def _classes(batches):
         sketches = [None if c in seen or seen.add(c) else sketch(s) for c, s in zip(cls, sets, strict=True)]
         yield pa.RecordBatch.from_pydict({"doc_id": t.column(0), "cls": pa.array(cls, pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(sketches, pa.binary())})
         del sets, sketches
-        release_memory()
+        _release()
 
 
 def _pack(buckets: int):
@@ -241,7 +247,8 @@ def _pack(buckets: int):
                     texts, size = [], 0
         if texts:
             yield block(texts)
-        release_memory()
+            texts = []
+        _release()
 
     return pack
 
@@ -343,12 +350,15 @@ def _across(batches):
             yield pairs(table.slice(0, cut))
     if carried:
         yield pairs(pa.Table.from_batches(carried))
+        carried = []
+    _release()
 
 
 def _sets(batches):
     for t in batches:
         sets = shingle_sets(t.column(0).to_pylist())
         yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    _release()
 
 
 def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
