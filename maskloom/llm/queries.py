@@ -1,4 +1,4 @@
-"""The thin queries op1_ to op10_ over the tables, and the SQL of those that SQL can express."""
+"""The thin queries op1_ to op13_ over the tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, embeddings, gif, langid, lines, mixing, ngrams, pii, secrets, warc
+from maskloom.llm import bpe, decontamination, embeddings, gif, langid, lines, mixing, ngrams, phrases, pii, repair, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc_derivatives": op9_warc_derivatives,
         "op10_bpe_automaton": op10_bpe_automaton,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_phrase_mining": op12_phrase_mining,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -79,4 +94,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": ngrams.ORACLE_SQL,
         "op4_mix_sources": mixing.ORACLE_SQL,
+        "op11_conversation_repair": repair.ORACLE_SQL,
+        "op12_phrase_mining": phrases.ORACLE_SQL,
+        "op13_decontamination": decontamination.ORACLE_SQL,
     }
