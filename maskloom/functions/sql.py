@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.functions.regexlang import term_pattern, translated
 from maskloom.operators import masking
 from maskloom.sources.dictionary import Dictionary
 
 _SPAN_DDL = "start int, end int, entity string, surface string"
 
 
-class _Finder:
-    """Spans of single texts, by the same rules in Python's dialect."""
-
-    def __init__(self, dictionary: Dictionary):
-        self.rules, self.known = masking._rules(dictionary)
-        terms = sorted((t for t in dictionary.terms if t.term.strip()), key=lambda t: -len(t.term))
-        patterns = ["|".join(term_pattern(t.term, t.strict) for t in terms)] if self.rules and self.rules[0][1] is None else []
-        self.patterns = [re.compile(p, re.ASCII) for p in patterns + [translated(p, java=False) for _, _, p in dictionary.patterns]]
-
-    def __call__(self, text: str | None) -> list[tuple]:
-        found = []
-        for pattern in self.patterns:
-            hits, gaps, at = [], [], 0
-            for m in pattern.finditer(text or ""):
-                hits.append(m[0])
-                gaps.append(m.start() - at)
-                at = m.end()
-            found.append((hits, gaps))
-        return masking._placed(self.rules, self.known, found)
-
-
 def register(spark: SparkSession, dictionary: Dictionary, prefix: str = "") -> None:
     """Name in SQL: mask_text(text), the masked text; mask_spans(text), an array of spans for inline();
     restore_text(text, mapping), with a map of tokens to terms; span_rows(text), a table function."""
-    find = _Finder(dictionary)
+    find = masking.Finder(dictionary)
 
     @F.arrow_udf("string")
     def mask_text(text: pa.Array) -> pa.Array:

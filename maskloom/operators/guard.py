@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import reduce
-from operator import or_
+from collections import Counter
+from collections.abc import Iterator
+from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.functions.automaton import Spelling, TermFinder
 from maskloom.functions.regexlang import term_pattern, translated
 from maskloom.functions.text import GUARD_INVISIBLE
 from maskloom.sources.dictionary import Dictionary
@@ -17,39 +21,59 @@ from maskloom.sources.dictionary import Dictionary
 GUARDED_KEYS = ("messages", "system", "prompt", "input")
 
 
-def guard_rules(dictionary: Dictionary) -> list[tuple[str, str]]:
-    """(category, Java pattern) of every term and pattern; a term whose first character is no ASCII letter or digit
-    is looked for in its own case only."""
-    terms = [(t.entity, term_pattern(t.term, t.strict, any_case=bool(re.match("[A-Za-z0-9]", t.term.strip())))) for t in dictionary.terms if t.term.strip()]
-    return terms + [(entity, translated(p)) for _, entity, p in dictionary.patterns]
+class _Rules:
+    """The rules for single texts. An automaton names the terms that may be in a text, whatever their case and number;
+    each of these is then looked for by its own expression, as every pattern is. A worker compiles what it needs once."""
+
+    _built: ClassVar[dict[str, tuple]] = {}
+
+    def __init__(self, dictionary: Dictionary):
+        terms = [t for t in dictionary.terms if t.term.strip()]
+        self.rules = [(t.entity, term_pattern(t.term, t.strict, any_case=bool(re.match("[A-Za-z0-9]", t.term.strip())))) for t in terms]
+        self.terms = [t.term for t in terms]
+        self.patterns = [(entity, translated(p, java=False)) for _, entity, p in dictionary.patterns]
+        self.key = hashlib.sha256(repr((self.rules, self.patterns)).encode()).hexdigest()
+
+    def tripped(self, text: str) -> Iterator[str]:
+        """The category of each rule that matches."""
+        if self.key not in self._built:
+            if len(self._built) >= 4:
+                self._built.clear()
+            self._built[self.key] = TermFinder([Spelling(t) for t in self.terms]), {}, [(entity, re.compile(p, re.ASCII)) for entity, p in self.patterns]
+        finder, compiled, patterns = self._built[self.key]
+        for k in finder.present(text):
+            if k not in compiled:
+                if len(compiled) >= 10_000:
+                    compiled.clear()
+                compiled[k] = re.compile(self.rules[k][1], re.ASCII)
+            if compiled[k].search(text):
+                yield self.rules[k][0]
+        for entity, pattern in patterns:
+            if pattern.search(text):
+                yield entity
 
 
 def leaks(text: Column, dictionary: Dictionary) -> Column:
-    """category -> number of its rules that match, for those that have any."""
-    rules: dict[str, list[str]] = {}
-    for category, pattern in guard_rules(dictionary):
-        rules.setdefault(category, []).append(pattern)
-    if not rules:
-        return F.create_map().cast("map<string,bigint>")
-    pairs = []
-    for category, patterns in rules.items():
-        total = F.lit(0).cast("long")
-        for p in patterns:
-            total = total + F.coalesce(text.rlike(p), F.lit(False)).cast("long")
-        pairs += [F.lit(category), total]
-    return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+    """category -> number of its rules that match, for those that have any; an empty map for null. The plan doesn't grow
+    with the rules."""
+    rules = _Rules(dictionary)
+
+    @F.arrow_udf("map<string,bigint>")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([list(Counter(rules.tripped(t or "")).items()) for t in texts.to_pylist()], pa.map_(pa.string(), pa.int64()))
+
+    return counted(text)
 
 
 def leak(text: Column, dictionary: Dictionary) -> Column:
-    """Whether any rule matches the text without its invisible characters: one search for all rules."""
-    rules = [pattern for _, pattern in guard_rules(dictionary)]
-    if not rules:
-        return F.lit(False)
-    numbered = [r for r in rules if re.search(r"\\[1-9]", r)]  # numbers of groups don't bear being joined
-    joined = "|".join(f"(?:{r})" for r in rules if r not in numbered)
-    clean = F.regexp_replace(text, GUARD_INVISIBLE, "")
-    found = [clean.rlike(r) for r in [*([joined] if joined else []), *numbered]]
-    return F.coalesce(reduce(or_, found), F.lit(False))
+    """Whether any rule matches the text without its invisible characters: one search for all terms. False for null."""
+    rules = _Rules(dictionary)
+
+    @F.arrow_udf("boolean")
+    def any_tripped(texts: pa.Array) -> pa.Array:
+        return pa.array([next(rules.tripped(t or ""), None) is not None for t in texts.to_pylist()], pa.bool_())
+
+    return any_tripped(F.regexp_replace(text, GUARD_INVISIBLE, ""))
 
 
 def without_bypassed(text: Column, surfaces: Column) -> Column:

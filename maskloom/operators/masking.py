@@ -1,20 +1,23 @@
 """Finding, masking and restoring dictionary terms.
 
-All regular expressions run in the JVM and give the hits of each rule and the lengths between them. One
-Arrow function then places the hits, resolves overlaps and numbers the terms, in time that is linear in a
-text's hits. Nothing is shuffled, since a document is a session of its own; a row may also hold several
-strings that are one session.
+Texts are cleaned in the JVM. One Arrow function then finds all terms by one automaton and each pattern in one
+pass, resolves overlaps and numbers the terms, in time that is linear in a text's hits and doesn't grow with the
+number of terms. Nothing is shuffled, since a document is a session of its own; a row may also hold several strings
+that are one session. sessions.py has sessions of many rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.regexlang import SPACE, term_pattern, translated
+from maskloom.functions.automaton import Spelling, TermFinder
+from maskloom.functions.regexlang import SPACE, translated
 from maskloom.functions.text import TOKEN, escape_look_alikes, sanitized
 from maskloom.sources.dictionary import TERM_CHARS, Dictionary
 
@@ -31,100 +34,70 @@ def term_key(surface: Column) -> Column:
     return F.lower(F.regexp_replace(surface, f"[{SPACE}]+", " "))
 
 
-def _spelling(term: str) -> str:
-    """What all spellings of a term that its pattern finds have in common."""
-    return _SPACES.sub(" ", term.strip()).translate(_LOWER)
-
-
-class _Lower(dict):
-    """Characters to lower case one by one, as patterns compare them."""
-
-    def __missing__(self, c: int) -> str:
-        self[c] = chr(c).lower()
-        return self[c]
-
-
-_LOWER = _Lower()
-
-
-def deny_list(dictionary: Dictionary) -> tuple[str | None, dict[str, tuple[str, str]]]:
-    """(alternation of all terms, the longest first; spelling -> (entity, suffix))."""
-    usable = [t for t in dictionary.terms if t.term.strip() and len(t.term) <= TERM_CHARS]
-    ordered = sorted(usable, key=lambda t: -len(t.term))
-    known: dict[str, tuple[str, str]] = {}
-    for t in ordered:
-        known.setdefault(_spelling(t.term), (t.entity, t.suffix))
-    return "|".join(term_pattern(t.term, t.strict) for t in ordered) or None, known
-
-
-def _rules(dictionary: Dictionary) -> tuple[list[tuple[str, str | None]], dict]:
-    """((Java pattern, entity or None for terms) in the order of their rank; spelling -> (entity, suffix))."""
-    alternation, known = deny_list(dictionary)
-    rules: list[tuple[str, str | None]] = [(alternation, None)] if alternation else []
-    return rules + [(translated(p), entity) for _, entity, p in dictionary.patterns], known
+class Finder:
+    """Leftmost longest spans of terms and patterns in single texts. It travels as its dictionary; a worker builds
+    the automaton of the terms once."""
+
+    _built: ClassVar[dict[str, tuple]] = {}
+
+    def __init__(self, dictionary: Dictionary):
+        usable = [t for t in dictionary.terms if t.term.strip() and len(t.term) <= TERM_CHARS]
+        self.terms = sorted(usable, key=lambda t: -len(t.term))
+        self.patterns = [(entity, translated(p, java=False)) for _, entity, p in dictionary.patterns]
+        self.key = hashlib.sha256(repr((self.terms, self.patterns)).encode()).hexdigest()
+
+    def _rules(self) -> tuple[TermFinder, list[tuple[str, re.Pattern, str]]]:
+        if self.key not in self._built:
+            if len(self._built) >= 4:  # of some dictionaries at most
+                self._built.clear()
+            patterns = [(entity, re.compile(p, re.ASCII), needed_character(p)) for entity, p in self.patterns]
+            self._built[self.key] = TermFinder([Spelling(t.term, t.strict) for t in self.terms]), patterns
+        return self._built[self.key]
+
+    def __call__(self, text: str | None) -> list[tuple]:
+        """(start, end, entity, surface, suffix), none inside of another one. Where start and length are equal terms go
+        before patterns, and patterns by their order."""
+        if not text:
+            return []
+        terms, patterns = self._rules()
+        every = [(start, -end, 0, self.terms[k].entity, self.terms[k].suffix) for start, end, k in terms.leftmost(text)]
+        for rank, (entity, pattern, needed) in enumerate(patterns, 1):
+            if needed in text:
+                every += ((m.start(), -m.end(), rank, entity, None) for m in pattern.finditer(text))
+        every.sort(key=lambda x: x[:3])
+        out, reach = [], 0
+        for start, end, _, entity, suffix in every:
+            if start >= reach:
+                reach = -end
+                out.append((start, reach, entity, text[start:reach], suffix))
+        return out
+
+
+def needed_character(pattern: str) -> str:
+    """A character that each match has, the rarest by a rough order, or the empty text if none is known."""
+    found = [chr(c) for op, c in re._parser.parse(pattern, re.ASCII) if op == re._constants.LITERAL]
+    return min(found, key=lambda c: (c in "etaoinshr .,", c.isalnum(), c), default="")
 
 
 def may_hold_terms(text: Column, dictionary: Dictionary) -> Column:
     """A cheap test that a text fails only if no term can be in it: it is shorter than each, or it has no ASCII letter
     or digit where each has one."""
-    terms = [_spelling(t.term) for t in dictionary.terms if t.term.strip()]
+    terms = [_SPACES.sub(" ", t.term.strip()) for t in dictionary.terms if t.term.strip()]
     long_enough = F.length(text) >= min(map(len, terms), default=1)
     plain = all(re.fullmatch(r"[A-Za-z0-9\s_-]+", t, re.ASCII) and re.search("[A-Za-z0-9]", t) for t in terms)
     return long_enough & text.rlike("[A-Za-z0-9]") if plain else long_enough
 
 
-def _hits(strings: Column, rules: list, dictionary: Dictionary) -> Column:
-    """Of an array of strings, for each rule: its hits in each string, and the lengths before, between and behind them."""
-
-    def of(rule: str, entity: str | None) -> tuple[Column, Column]:
-        test = (lambda s: may_hold_terms(s, dictionary)) if entity is None else (lambda s: s.isNotNull())
-        hits = F.transform(strings, lambda s: F.when(test(s), F.regexp_extract_all(s, F.lit(rule), F.lit(0))))
-        return hits, F.transform(strings, lambda s: F.when(test(s) & s.rlike(rule), F.transform(F.split(s, rule, -1), F.length)))
-
-    return F.struct(*(c.alias(f"{name}_{k}") for k, (rule, entity) in enumerate(rules) for name, c in zip(("hits", "gaps"), of(rule, entity), strict=True)))
-
-
-def _placed(rules: list, known: dict, found: list[tuple[list[str] | None, list[int] | None]]) -> list[tuple]:
-    """(start, end, entity, surface, suffix) of one string's hits, leftmost longest, in code points, none inside of
-    another one. Earlier rules go first where start and length are equal."""
-    every = []
-    for k, (hits, gaps) in enumerate(found):
-        at = 0
-        for hit, gap in zip(hits or (), gaps or (), strict=False):
-            at += gap
-            every.append((at, -len(hit), k, hit))
-            at += len(hit)
-    every.sort()
-    out, end = [], 0
-    for at, _, k, hit in every:
-        if at >= end:
-            end = at + len(hit)
-            entity, suffix = known[_spelling(hit)] if rules[k][1] is None else (rules[k][1], None)
-            out.append((at, end, entity, hit, suffix))
-    return out
-
-
-def _found_rows(found: pa.Array, n: int):
-    """For each row: for each of its strings the (hits, gaps) of the n rules."""
-    columns = [found.field(k).to_pylist() for k in range(2 * n)]
-    for row in zip(*columns, strict=True):
-        yield [list(zip(one[::2], one[1::2], strict=True)) for one in zip(*row, strict=True)] if row[0] is not None else None
-
-
 def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spans") -> DataFrame:
     """df with the array column out: leftmost longest spans of terms and patterns that don't overlap. Terms go
     before patterns, and patterns by their order, where start and length are equal. Null texts have none."""
-    rules, known = _rules(dictionary)
-    if not rules:
-        return df.withColumn(out, F.array().cast(f"array<{SPAN}>"))
-    names = ("start", "end", "entity", "surface", "suffix")
+    find, names = Finder(dictionary), ("start", "end", "entity", "surface", "suffix")
 
     @F.arrow_udf(f"array<{SPAN}>")
-    def place(found: pa.Array) -> pa.Array:
-        rows = ([dict(zip(names, x, strict=True)) for x in _placed(rules, known, row[0])] for row in _found_rows(found, len(rules)))
-        return pa.array(rows, _SPANS_ARROW)
+    def spans(text: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, x, strict=True)) for x in find(t)] for t in text.to_pylist()], _SPANS_ARROW)
 
-    return df.withColumn(out, place(_hits(F.array(F.coalesce(F.col(text), F.lit(""))), rules, dictionary)))
+    return df.withColumn(out, spans(F.col(text)))
 
 
 _ENTITY_COUNTS = pa.map_(pa.string(), pa.int32())
@@ -212,21 +185,18 @@ def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_form
     backslash before a span keeps its surface and goes; bypassed counts such spans, bypassed_surfaces are their
     surfaces.
     """
-    rules, known = _rules(dictionary)
+    find = Finder(dictionary)
 
     @F.arrow_udf(_MASKED)
-    def tokens(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def tokens(texts: pa.Array) -> pa.Array:
         out = []
-        for row, hits in zip(texts.to_pylist(), _found_rows(found, len(rules)), strict=True):
-            session = _Session(token_format, escape)
-            masked = row and [None if t is None else session.masked(t, _placed(rules, known, one)) for t, one in zip(row, hits, strict=True)]
-            out.append(session.result(masked))
+        for row in texts:
+            session, row = _Session(token_format, escape), row.as_py()
+            out.append(session.result(row and [None if t is None else session.masked(t, find(t)) for t in row]))
         return pa.array(out, _MASKED_ARROW)
 
-    rules = rules or [("(?!)", "NONE")]
-    df = df.withColumn("__clean", F.transform(strings, lambda s: escape_look_alikes(sanitized(s))))
-    df = df.withColumn("__done", tokens(F.col("__clean"), _hits(F.col("__clean"), rules, dictionary)))
-    return df.select(*[c for c in df.columns if c not in (*(f.name for f in _MASKED_ARROW), "__clean", "__done")], "__done.*")
+    df = df.withColumn("__done", tokens(F.transform(strings, lambda s: escape_look_alikes(sanitized(s)))))
+    return df.select(*[c for c in df.columns if c not in (*(f.name for f in _MASKED_ARROW), "__done")], "__done.*")
 
 
 def mask(df: DataFrame, text: str, dictionary: Dictionary, token_format: str = TOKEN_FORMAT, escape: bool = False) -> DataFrame:

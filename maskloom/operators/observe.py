@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskloom.functions.regexlang import term_pattern
+from maskloom.operators import masking
 from maskloom.sources.dictionary import Dictionary
 
 # Kept events, minutes of a bypass, limiter defaults.
@@ -74,10 +75,13 @@ def rate_limited(events: DataFrame, key: str, ts: str, window_ms: int = WINDOW_M
 
 def log_guard(message: Column, dictionary: Dictionary) -> Column:
     """The message, or a note in its place if it holds a term in any case; strictness and patterns don't count."""
-    found = F.lit(False)
-    for t in dictionary.terms:
-        found = found | message.rlike(term_pattern(t.term))
-    return F.when(F.coalesce(found, F.lit(False)), F.lit(BLOCKED)).otherwise(message)
+    finder = masking.Finder(Dictionary(terms=[replace(t, strict=False) for t in dictionary.terms]))
+
+    @F.arrow_udf("boolean")
+    def held(messages: pa.Array) -> pa.Array:
+        return pa.array([bool(finder(m)) for m in messages.to_pylist()], pa.bool_())
+
+    return F.when(held(message), F.lit(BLOCKED)).otherwise(message)
 
 
 def forbidden_strings(files: DataFrame, text: str, patterns: list[tuple[str, str]]) -> DataFrame:

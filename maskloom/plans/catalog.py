@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import text as X
 from maskloom.operators import dialect, gateway, guard, jsonwalk, masking, observe, translate
-from maskloom.plans import fixtures, report_queries, table_queries
+from maskloom.plans import fixtures, report_queries, session_queries, table_queries
 from maskloom.sources import dictionary as D
 from maskloom.streaming import restoring, translating
 
@@ -505,9 +505,32 @@ def q_json_props_roundtrip(spark, sf_dir):
     return jsonwalk.restore_responses(masked).select("event_id", (plain("restored_body") == plain("was")).alias("same"))
 
 
+#: Queries over fixed rows: small vectors that tests compare with their expected rows. None is registered; each has a
+#: sister that reads a table.
+VECTORS = (
+    *("q_unmapped_tokens", "q_sanitize", "q_escape_lookalikes", "q_escape_bypass", "q_parity_vectors", "q_commented_terms", "q_dictionary_lint"),
+    *("q_dictionary_summary", "q_stop_reason_matrix", "q_admission_status", "q_body_status", "q_ssrf_filter", "q_header_filter", "q_fallback_choice"),
+    *("q_sse_parse", "q_sse_format", "q_stream_restore", "q_segments", "q_redact_secrets", "q_scrub_paths", "q_mask_requests", "q_fallbacks_of_dialect"),
+)
+_PARTS = (table_queries, report_queries, session_queries)
+
+
+def _every() -> tuple[dict[str, Query], dict[str, str]]:
+    found, sql = dict(_QUERIES), dict(_SQL)
+    for part in _PARTS:
+        found |= part.queries()
+        sql |= part.oracle_sql()
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return _QUERIES | table_queries.queries() | report_queries.queries()
+    return {name: q for name, q in _every()[0].items() if name not in VECTORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | table_queries.oracle_sql() | report_queries.oracle_sql()
+    return {name: q for name, q in _every()[1].items() if name not in VECTORS}
+
+
+def vectors() -> tuple[dict[str, Query], dict[str, str]]:
+    """The queries over fixed rows, and their SQL."""
+    return tuple({name: q for name, q in every.items() if name in VECTORS} for every in _every())

@@ -8,20 +8,21 @@ from maskloom.plans import catalog
 from maskloom.streaming import restoring
 
 SF = "/root/testdata/sf0.001"
-SQL = catalog.oracle_sql()
+VECTORS, VECTOR_SQL = catalog.vectors()
+QUERIES, SQL = catalog.queries() | VECTORS, catalog.oracle_sql() | VECTOR_SQL
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "region nation customer lineitem documents pages conversations events".split():
+    for t in "region nation customer orders lineitem documents pages conversations events".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
