@@ -11,12 +11,13 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from maskloom.functions.regexlang import HANGUL_CJK, SPACE
 
 _RUN = re.compile(f"[{SPACE}]+")
-#: White space that folding changes: all but single plain spaces.
-_UNEVEN = re.compile(f"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '', 1)}]")
+_SPACES = [c for c in map(chr, range(0x10000)) if _RUN.match(c) and c != " "]
+_LONG_RUN = re.compile("  +")
 _CJK = re.compile(f"[{HANGUL_CJK}]")
 _ASCII_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -36,27 +37,38 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+@cache
+def _uneven() -> re.Pattern:
+    """Characters that fold to something else than lower() gives; that of a sigma depends on its place."""
+    odd = [c for c in range(128, 0x20000) if _folded_char(chr(c)) != chr(c).lower()]
+    return re.compile(f"[{''.join(map(chr, odd))}\u03a3]")
+
+
+def folded(text: str) -> str:
+    """Each character in one case; the length stays."""
+    return text.lower() if text.isascii() or not _uneven().search(text) else text.translate(_FOLD)
+
+
 class Folded:
     """A text as the automaton reads it, and the way back."""
 
     __slots__ = ("at", "cut", "text")
 
     def __init__(self, text: str):
-        self.text = text.lower() if text.isascii() else text.translate(_FOLD)
         self.at: list[int] = []  # offsets behind the runs that became one space
         self.cut: list[int] = []  # and how much was left out up to there
-        if _UNEVEN.search(self.text):
+        out = folded(text)
+        for c in _SPACES:
+            if c in out:
+                out = out.replace(c, " ")
+        if "  " in out:
             gone = 0
-
-            def space(m: re.Match) -> str:
-                nonlocal gone
-                if m.end() - m.start() > 1:
-                    gone += m.end() - m.start() - 1
-                    self.at.append(m.end() - gone)
-                    self.cut.append(gone)
-                return " "
-
-            self.text = _UNEVEN.sub(space, self.text)
+            for m in _LONG_RUN.finditer(out):
+                gone += m.end() - m.start() - 1
+                self.at.append(m.end() - gone)
+                self.cut.append(gone)
+            out = _LONG_RUN.sub(" ", out)
+        self.text = out
 
     def offset(self, k: int) -> int:
         """The offset in the text of a folded character that is no space."""
@@ -84,7 +96,7 @@ class TermFinder:
         of: dict[str, list[int]] = {}
         for k, words in enumerate(self.words):
             if words[0]:
-                of.setdefault(" ".join(words).translate(_FOLD), []).append(k)
+                of.setdefault(folded(" ".join(words)), []).append(k)
         self.ascii = [s.term.isascii() and s.any_case for s in self.spellings]
         self.left = [self._left(s.term.strip()[:1], s.strict) for s in self.spellings]
         self.right = [s.term.strip()[-1:] in _ASCII_WORD if s.term.strip() else False for s in self.spellings]
@@ -113,9 +125,9 @@ class TermFinder:
         """(start, end, number of the spelling) of all, by end; they may overlap."""
         if self.found is None or len(text) < self.shortest or (self.plain and not re.search("[A-Za-z0-9]", text)):
             return
-        folded = Folded(text)
-        for last, (n, ids) in self.found.iter(folded.text):
-            start, end = (folded.offset(last - n + 1), folded.offset(last) + 1) if folded.at else (last - n + 1, last + 1)
+        there = Folded(text)
+        for last, (n, ids) in self.found.iter(there.text):
+            start, end = (there.offset(last - n + 1), there.offset(last) + 1) if there.at else (last - n + 1, last + 1)
             for k in ids:
                 if self.right[k] and text[end : end + 1] in _ASCII_WORD and end < len(text):
                     continue

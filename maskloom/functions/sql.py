@@ -17,9 +17,14 @@ def register(spark: SparkSession, dictionary: Dictionary, prefix: str = "") -> N
     restore_text(text, mapping), with a map of tokens to terms; span_rows(text), a table function."""
     find = masking.Finder(dictionary)
 
+    def masked(text: str | None) -> str | None:
+        session = masking._Session(masking.TOKEN_FORMAT, False)
+        clean = text and session.clean(text)
+        return clean and session.masked(clean, find(clean))
+
     @F.arrow_udf("string")
     def mask_text(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else masking._Session(masking.TOKEN_FORMAT, False).masked(t, find(t)) for t in text.to_pylist()], pa.string())
+        return pa.array([masked(t) for t in text.to_pylist()], pa.string())
 
     @F.arrow_udf(f"array<struct<{_SPAN_DDL.replace(' int', ':int').replace(' string', ':string')}>>")
     def mask_spans(text: pa.Array) -> pa.Array:

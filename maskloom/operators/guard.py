@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from maskloom.functions.automaton import Spelling, TermFinder
 from maskloom.functions.regexlang import term_pattern, translated
 from maskloom.functions.text import GUARD_INVISIBLE
+from maskloom.operators.masking import needed_character
 from maskloom.sources.dictionary import Dictionary
 
 #: The parts of a request that the check covers.
@@ -39,7 +40,7 @@ class _Rules:
         if self.key not in self._built:
             if len(self._built) >= 4:
                 self._built.clear()
-            self._built[self.key] = TermFinder([Spelling(t) for t in self.terms]), {}, [(entity, re.compile(p, re.ASCII)) for entity, p in self.patterns]
+            self._built[self.key] = TermFinder([Spelling(t) for t in self.terms]), {}, [(entity, re.compile(p, re.ASCII), needed_character(p)) for entity, p in self.patterns]
         finder, compiled, patterns = self._built[self.key]
         for k in finder.present(text):
             if k not in compiled:
@@ -48,8 +49,8 @@ class _Rules:
                 compiled[k] = re.compile(self.rules[k][1], re.ASCII)
             if compiled[k].search(text):
                 yield self.rules[k][0]
-        for entity, pattern in patterns:
-            if pattern.search(text):
+        for entity, pattern, needed in patterns:
+            if needed in text and pattern.search(text):
                 yield entity
 
 

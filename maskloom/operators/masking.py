@@ -1,6 +1,6 @@
 """Finding, masking and restoring dictionary terms.
 
-Texts are cleaned in the JVM. One Arrow function then finds all terms by one automaton and each pattern in one
+One Arrow function cleans a text, finds all terms by one automaton and each pattern in one
 pass, resolves overlaps and numbers the terms, in time that is linear in a text's hits and doesn't grow with the
 number of terms. Nothing is shuffled, since a document is a session of its own; a row may also hold several strings
 that are one session. sessions.py has sessions of many rows.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.automaton import Spelling, TermFinder
 from maskloom.functions.regexlang import SPACE, translated
-from maskloom.functions.text import TOKEN, escape_look_alikes, sanitized
+from maskloom.functions.text import INVISIBLE, LOOK_ALIKE, TOKEN
 from maskloom.sources.dictionary import TERM_CHARS, Dictionary
 
 TOKEN_FORMAT = "<{type}_{n}>"
@@ -26,6 +26,7 @@ SPAN = "struct<start:int,end:int,entity:string,surface:string,suffix:string>"
 _ENTRY = "struct<token:string,entity:string,term:string>"
 _MASKED = f"struct<masked:array<string>,entries:array<{_ENTRY}>,max_group:map<string,int>,hits:map<string,int>,bypassed:map<string,int>,bypassed_surfaces:array<string>>"
 _SPACES = re.compile(f"[{SPACE}]+")
+_INVISIBLE, _LOOK_ALIKE = re.compile(INVISIBLE), re.compile(LOOK_ALIKE)
 _DOUBLE = re.compile(rf"<({TOKEN})>")
 
 
@@ -131,7 +132,7 @@ def token_pattern(token_format: str = TOKEN_FORMAT) -> re.Pattern:
 
 class _Session:
     """Tokens of one session. A term has one token, whatever its case. A token that another surface has already gives
-    way to the entity's next free number."""
+    way to the entity's next free number. A text may hold tokens that the session has given: they stay as they are."""
 
     def __init__(self, token_format: str, escape: bool):
         self.token_format, self.escape = token_format, escape
@@ -157,7 +158,17 @@ class _Session:
             self.by_token[token] = (entity, surface)
         return self.by_key[key]
 
+    def clean(self, text: str) -> str:
+        """The text without invisible characters, look-alikes of tokens in double brackets unless the session has given them."""
+
+        def escaped(m: re.Match) -> str:
+            return m[0] if m[0].startswith("<<") or m[0] in self.by_token else f"<{m[0]}>"
+
+        text = _INVISIBLE.sub("", text)
+        return _LOOK_ALIKE.sub(escaped, text) if "<" in text else text
+
     def masked(self, text: str, spans: list[tuple]) -> str:
+        """A clean text with the tokens of its spans."""
         out, at = [], 0
         for start, end, entity, surface, suffix in spans:
             gap, at = text[at:start], end
@@ -180,7 +191,7 @@ def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_form
     """df with masked, entries, max_group, hits, bypassed and bypassed_surfaces; the strings of a row's array are
     one session.
 
-    masked: the cleaned strings with tokens for spans, null for null. entries: array<struct<token, entity, term>>
+    masked: the cleaned strings with tokens for spans, null for null; tokens of earlier strings are left alone. entries: array<struct<token, entity, term>>
     by token. max_group: the highest token number of each entity; hits: how often it was found. escape: a
     backslash before a span keeps its surface and goes; bypassed counts such spans, bypassed_surfaces are their
     surfaces.
@@ -192,10 +203,14 @@ def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_form
         out = []
         for row in texts:
             session, row = _Session(token_format, escape), row.as_py()
-            out.append(session.result(row and [None if t is None else session.masked(t, find(t)) for t in row]))
+            masked = []
+            for text in row or ():
+                clean = None if text is None else session.clean(text)
+                masked.append(clean and session.masked(clean, find(clean)))
+            out.append(session.result(row and masked))
         return pa.array(out, _MASKED_ARROW)
 
-    df = df.withColumn("__done", tokens(F.transform(strings, lambda s: escape_look_alikes(sanitized(s)))))
+    df = df.withColumn("__done", tokens(F.col(strings)))
     return df.select(*[c for c in df.columns if c not in (*(f.name for f in _MASKED_ARROW), "__done")], "__done.*")
 
 

@@ -68,3 +68,10 @@ def test_round_trip(spark, texts):
     rows = masking.restore(guard.guarded(masking.mask(df, "text", PARITY), "masked", PARITY), "masked", "entries").collect()
     for r in rows:
         assert not r.leak and r.restored_text.lower() == texts[r.k].lower()
+
+
+def test_known_tokens_stay(spark):
+    """A token that the session gave in an earlier string is left alone, one that it didn't give is escaped."""
+    df = spark.createDataFrame([(["CORP", "<CUSTOMER_1A> of <CUSTOMER_2A> <<CUSTOMER_1A>>", None, ""],)], "t array<string>")
+    row = masking.mask_strings(df, "t", PARITY).first()
+    assert row.masked == ["<CUSTOMER_1A>", "<CUSTOMER_1A> of <<CUSTOMER_2A>> <<CUSTOMER_1A>>", None, ""]

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from maskloom.functions import text as X
 from maskloom.operators import masking, sessions
 from maskloom.sources import dictionary as D
 
@@ -37,7 +38,7 @@ def test_against_one_session(spark, seed, escape, token_format):
     rng = random.Random(seed)
     rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), k, None if rng.random() < 0.05 else " ".join(rng.choices(WORDS, k=rng.randint(0, 6)))) for k in range(260)]
     df = spark.createDataFrame(rows, "s long, o long, t string")
-    clean = {r.o: r.c for r in df.select("o", masking.escape_look_alikes(masking.sanitized(F.col("t"))).alias("c")).collect()}
+    clean = {r.o: r.c for r in df.select("o", X.escape_look_alikes(X.sanitized(F.col("t"))).alias("c")).collect()}
     got, mapping = sessions.mask_sessions(df.withColumn("masked", F.lit(1)).repartition(5), "t", "s", "o", MIXED, token_format, escape)
     masked, entries = plain([(s, o, t, clean[o]) for s, o, t in rows], token_format, escape)
     assert {(r.s, r.o): r.masked for r in got.collect()} == masked
