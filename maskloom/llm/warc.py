@@ -35,7 +35,9 @@ LINKED = frozenset(("a", "area", "link", "img", "script", "iframe"))
 _NAME = re.compile(r"(/?)([A-Za-z]\w*)|[!?]", re.A)
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
 _TITLE_END = re.compile("</title", re.I)
-_TARGET = re.compile(r"\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Parts of a tag, with the white space of markup.
+_BETWEEN, _ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*"), re.compile(r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*")
+_EQUALS, _BARE = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*"), re.compile(r"[^ \t\n\f\r>]*")
 _META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 
@@ -76,9 +78,33 @@ def decoded(payload: bytes, content_type: str) -> tuple[str, str]:
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def attributes(markup: str, at: int) -> tuple[int, dict[str, str]]:
+    """(end of the tag, its attributes) from behind a tag's name: names in lower case, of several with one name the first;
+    a bracket inside of a quoted value ends no tag. The end is -1 where the tag or a quote has none."""
+    found: dict[str, str] = {}
+    while (at := _BETWEEN.match(markup, at).end()) < len(markup):
+        if markup[at] == ">":
+            return at + 1, found
+        name = _ATTRIBUTE.match(markup, at)
+        at, value = name.end(), ""
+        if m := _EQUALS.match(markup, at):
+            at = m.end()
+            if markup[at : at + 1] in ('"', "'"):
+                close = markup.find(markup[at], at + 1)
+                if close < 0:
+                    break
+                value, at = markup[at + 1 : close], close + 1
+            else:
+                bare = _BARE.match(markup, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(name[0].lower(), value)
+    return -1, found
+
+
 def tags(markup: str) -> Iterator[tuple[int, int, str, bool]]:
-    """(start, end, name in lower case, whether it closes) of each tag, from its bracket to the next closing one;
-    comments have the name "!--" and reach to their end. One pass: nothing is looked at twice."""
+    """(start, end, name in lower case, whether it closes) of each tag, from its bracket to the next closing one outside of
+    quoted values; comments have the name "!--" and reach to their end. A tag without an end, as of an open quote, has the
+    rest of the markup in it and is the last one. One pass: nothing is looked at more than twice."""
     at = 0
     while (start := markup.find("<", at)) >= 0:
         if markup.startswith("<!--", start):
@@ -90,10 +116,10 @@ def tags(markup: str) -> Iterator[tuple[int, int, str, bool]]:
         if not m:
             at = start + 1
             continue
-        end = markup.find(">", m.end())
-        if end < 0:
-            return  # nor does a later tag end
-        at = end + 1
+        end = markup.find(">", m.end()) + 1
+        if end and m[2] and (markup.find('"', m.end(), end) >= 0 or markup.find("'", m.end(), end) >= 0):
+            end = attributes(markup, m.end())[0]
+        at = end if end > 0 else len(markup)
         yield start, at, (m[2] or "").lower(), m[1] == "/"
 
 
@@ -128,8 +154,9 @@ def outlinks(markup: str) -> list[tuple[str, str]]:
     """(element, target) of links outside comments, each once, in their order."""
     found: dict[tuple[str, str], None] = {}
     for start, end, name, closes in tags(markup):
-        if name in LINKED and not closes and (m := _TARGET.search(markup, start, end)):
-            target = html.unescape(m[1] or m[2] or m[3] or "").strip()
+        if name in LINKED and not closes:
+            has = attributes(markup, start + 1 + len(name))[1] if markup[end - 1] == ">" else {}
+            target = html.unescape(has.get("href") or has.get("src") or "").strip()
             if target and not re.search(r"[\r\n]", target):
                 found[name, target] = None
     return list(found)

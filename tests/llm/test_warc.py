@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import time
 from html.parser import HTMLParser
 
@@ -82,3 +83,39 @@ def test_markup_by_the_piece():
     assert warc.plain_text(page) == "one\ntwo < three four five six" and warc.title_of(page) == "A & B"
     assert warc.outlinks(page + "</template><IMG alt='' SRC = \"q?a=1&amp;b=2\"><!-- <a href=/n> --><a href='/m'><a href='/m'>") == [("link", "/c"), ("img", "q?a=1&b=2"), ("a", "/m")]
     assert warc.title_of("<title>x") is None and warc.plain_text("<style>a{}") == ""
+
+
+def test_quotes_in_tags():
+    assert warc.outlinks('<a title="a>b" href="/x">t</a>') == [("a", "/x")] and warc.plain_text('<a title="a>b" href="/x">t</a>') == "t"
+    assert warc.outlinks('<a title="x href=/no" href="/yes">') == [("a", "/yes")]
+    assert warc.outlinks("<a href = '/a\"b' HREF=/no><img/src=/i.png/><a data-href=/no><a href=/b?x=1>") == [("a", '/a"b'), ("img", "/i.png/"), ("a", "/b?x=1")]
+    # an open quote: what is behind it belongs to the tag
+    assert warc.plain_text('<p>seen<a title="open>gone<p>gone') == "seen" and warc.outlinks('<a href="/x>y') == []
+    assert warc.plain_text("a < b, it's <b>5 > 4</b>") == "a < b, it's 5 > 4"
+
+
+def test_random_markup_against_the_standard_library():
+    rng = random.Random(1)
+    values = ['"a>b"', "'x>\"y'", '"it\'s"', "bare", "/p?q=1&amp;r=2", '""', "'</a>'", '"<b>"']
+    for _ in range(2000):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            names = rng.sample(["href", "title", "data-href", "alt", "HREF"], rng.randint(0, 3))
+            if sum(n.lower() == "href" for n in names) > 1:
+                names.remove("HREF")  # of two the first one counts here, as in browsers
+            attributes = "".join(f"{rng.choice([' ', chr(10), '  '])}{n}{rng.choice(['=', ' = ', '= '])}{rng.choice(values)}" for n in names)
+            parts.append(rng.choice([f"<a{attributes}>", f"<div{attributes} >", "</a>", "</div>", "word ", "x &lt; y ", "<!-- <a href='/no'> -->"]))
+        markup = "".join(parts)
+        reader = Reader()
+        reader.feed(markup)
+        reader.close()
+        assert "".join(warc.plain_text(markup).split()) == "".join(reader.words), markup
+        assert [t for _, t in warc.outlinks(markup)] == list(dict.fromkeys(v.strip() for v in reader.links if v)), markup
+
+
+def test_markup_of_quotes_in_linear_time():
+    for markup in ('<a title="x' * 200_000, "<a b='c" * 200_000, '<a x="' + "<a y='>" * 200_000, "<a " + "b " * 400_000, '<a href="/x">' * 100_000):
+        began = time.perf_counter()
+        warc.plain_text(markup)
+        warc.outlinks(markup)
+        assert time.perf_counter() - began < 10
