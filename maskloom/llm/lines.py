@@ -1,10 +1,9 @@
 """Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line's set are its character shingles: SHINGLE characters from each character on, or the whole of a
-shorter line. Its signature are the set's smallest elements in one random order, in which shingles that
-begin with white space come before all others; so a line with enough of these needs no other one, which
-saves most of the work and changes nothing. Two neighbours in the signature are a band: lines of
-similarity THRESHOLD share a band with a probability of 0.97, more similar ones with a higher one. A
+shorter line. Its signature are the set's smallest elements in one random order over all shingles. Two
+neighbours in the signature are a band: lines of similarity THRESHOLD share a band with a probability of 0.97 by
+simulation, more similar ones with a higher one, wherever in a line the differences lie. A
 band's smallest line is the leader of its other lines. Each line is verified with its nearest leader,
 links are joined by distributed union-find, and where a leader's lines are then still in several
 components, all pairs across components are candidates, whatever the number of lines: they are compared in
@@ -34,7 +33,6 @@ WORDS = 16
 TILE = 1000
 #: White space at the ends of lines.
 BLANKS = " \t\n\x0b\f\r"
-_FIRST = -(1 << 63)
 
 
 def normal(line: Column) -> Column:
@@ -53,15 +51,12 @@ def shingle_hashes(norm: Column) -> Column:
 
 
 def with_bands(df: DataFrame, norm: str = "norm") -> DataFrame:
-    """df with bands: of the column norm's MINIMA smallest shingles each two neighbours, null where there are fewer; a
-    set of one shingle has one band. The order is by a hash whose sign bit is set for shingles that begin with white space."""
-    leading = F.regexp_extract_all(norm, F.lit(rf"(?s)\s(?=(.{{{SHINGLE - 1}}}))"), F.lit(1))
-    early = lambda s: F.xxhash64(s).bitwiseOR(F.lit(_FIRST))
-    order = lambda s: F.when(s.rlike(r"^\s"), early(F.substring(s, 2, SHINGLE))).otherwise(F.xxhash64(s).bitwiseAND(F.lit(~_FIRST)))
-    every = F.sort_array(F.array_distinct(F.transform(_shingles(F.col(norm)), order)))
-    # repeats in front send a line to the long way, which gives the same
-    df = df.withColumn("bands", F.array_distinct(F.slice(F.sort_array(F.transform(leading, early)), 1, 3 * MINIMA)))
-    df = df.withColumn("bands", F.when(F.size("bands") >= MINIMA, F.col("bands")).otherwise(every))
+    """df with bands: of the column norm's MINIMA smallest shingles, by one random order over all of them, each two
+    neighbours, null where there are fewer; a set of one shingle has one band."""
+    df = df.withColumn("bands", F.sort_array(F.transform(_shingles(F.col(norm)), lambda s: F.xxhash64(s))))
+    # of the first ones repeats go; only a line that repeats itself very much needs all
+    some = F.array_distinct(F.slice("bands", 1, 3 * MINIMA))
+    df = df.withColumn("bands", F.when((F.size("bands") <= 3 * MINIMA) | (F.size(some) >= MINIMA), some).otherwise(F.array_distinct("bands")))
     at = lambda k: F.get("bands", F.lit(k))
     later = (F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1))) for k in range(1, BANDS))
     return df.withColumn("bands", F.array(F.xxhash64(at(0), F.coalesce(at(1), F.lit(0))), *later))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from maskloom.llm import lines
 
 
@@ -83,6 +85,42 @@ def test_recall_of_the_bands(spark):
     assert n > 300 and met / n > 0.96, (met, n)
 
 
+@pytest.mark.parametrize("words, length, edits", [(9, 60, 3), (9, 60, 4), (12, 40, 4), (12, 60, 5), (20, 40, 6)])
+@pytest.mark.parametrize("place", ["begin", "end", "inside", "line end"])
+def test_recall_wherever_the_edits_are(spark, words, length, edits, place):
+    """Lines of long tokens, as paths and log fields, with a character changed at the begin or end of some tokens, inside
+    of them, or all edits in the last token. The links of all pairs that are similar enough, found by their bands."""
+    rnd, pairs = random.Random(f"{words}{length}{place}"), []
+    token = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789/_") for _ in range(n))
+    for _ in range(400):
+        one = [token(length) for _ in range(words)]
+        other = one[:]
+        if place == "line end":
+            other[-1] = other[-1][: -2 * edits] + token(2 * edits)
+        else:
+            for k in rnd.sample(range(words), edits):
+                at = {"begin": 0, "end": length - 1, "inside": rnd.randrange(length)}[place]
+                other[k] = other[k][:at] + "#" + other[k][at + 1 :]
+        pairs.append((" ".join(one), " ".join(other)))
+    pairs = [(a, b) for a, b in pairs if 100 * len(shingles(a) & shingles(b)) >= 75 * len(shingles(a) | shingles(b))]
+    table = _bands(_bands(spark.createDataFrame(pairs, "a string, b string"), "a"), "b")
+    met = table.filter(lines.F.arrays_overlap("bands_a", "bands_b")).count()
+    assert len(pairs) > 100 and met / len(pairs) > 0.9, (met, len(pairs))
+
+
+def test_edits_at_token_begins_end_to_end(spark):
+    rnd, rows = random.Random(11), []
+    for k in range(150):
+        one = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(9)]
+        other = one[:]
+        for j in rnd.sample(range(9), 4):
+            other[j] = "#" + other[j][1:]
+        assert 100 * len(shingles(" ".join(one)) & shingles(" ".join(other))) >= 75 * len(shingles(" ".join(one)) | shingles(" ".join(other)))
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    removed = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").count()
+    assert removed > 0.93 * 150, removed
+
+
 def test_a_crowded_band_misses_no_pair(spark):
     """Links that share a band of hundreds of lines, whose next minima differ; and the recall of all links there."""
     rnd = random.Random(5)
