@@ -90,25 +90,67 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
     return F.when(F.length(token) > 1, total / (F.length(token) - 1))
 
 
+#: Matches whose places are summed up at a time.
+BLOCK = 256
 _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,token:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), where value is a name: else it would be written out, and computed, wherever it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, start: int, with_next) -> Column:
+    """The running results of with_next(so far, next) over an array of numbers, from start on. In blocks, whose first
+    values are known from the blocks before: growing one array for all would copy it for each element."""
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK)), lambda k: F.slice(values, k, BLOCK))
+    none, first = F.array().cast("array<bigint>"), F.lit(start).cast("long")
+
+    def grown(numbers: Column) -> Column:
+        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), first)
+        return F.aggregate(numbers, none, lambda acc, x: F.concat(acc, F.array(with_next(last(acc), x))))
+
+    def joined(inner: Column) -> Column:
+        ends = F.transform(F.slice(inner, 1, F.size(inner) - 1), lambda b: F.coalesce(F.get(b, F.size(b) - 1), first))
+        before = F.concat(F.array(first), grown(ends))
+        return F.flatten(F.zip_with(inner, before, lambda b, s: F.transform(b, lambda x: with_next(s, x))))
+
+    return _let(F.transform(blocks, grown), joined)
+
+
 def _spans(hits: Column, pieces: Column, kind: str, order: int, keep=None) -> Column:
     """The matches hits of a kind with their places, which the pieces between them give. keep: what a match must
     hold to stay."""
     none = F.array().cast(_SPANS)
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    lengths = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(hits), F.lit(1))), hits, lambda p, h: (F.length(p) + F.length(h)).cast("long"))
+    ends = _running(lengths, 0, lambda s, x: s + x)
 
-    def step(s, k):
-        start = s["at"] + F.length(F.get(pieces, k))
-        end = start + F.length(F.get(hits, k))
-        one = F.struct(start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), F.get(hits, k).alias("token"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def span(end: Column, hit: Column) -> Column:
+        end = end.cast("int")
+        return F.struct((end - F.length(hit)).alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), hit.alias("token"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda s: s["out"])
+    found = F.zip_with(ends, hits, span)
     return F.when(F.size(hits) > 0, found if keep is None else F.filter(found, keep)).otherwise(none)
 
 
+def _free(scored: Column, base: Column) -> Column:
+    """Of spans that are sorted and apart those that no base span overlaps: the furthest end of the base spans that start
+    before one, and the next start of one behind, tell it."""
+    mark = lambda xs, is_base: F.transform(xs, lambda x: F.struct(x["start"].cast("long").alias("start"), F.lit(not is_base).alias("scored"), x["end"].cast("long").alias("end")))
+    far = (1 << 31) - 1
+
+    def alone(every: Column) -> Column:
+        """For each scored span whether it is free."""
+        reach = _running(F.transform(every, lambda x: F.when(x["scored"], F.lit(0)).otherwise(x["end"]).cast("long")), 0, lambda s, x: F.greatest(s, x))
+        following = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(x["scored"], F.lit(far)).otherwise(x["start"]).cast("long"))), far, lambda s, x: F.least(s, x)))
+        told = F.zip_with(F.zip_with(every, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), following, lambda y, n: F.when(y["x"]["scored"], (y["reach"] <= y["x"]["start"]) & (n >= y["x"]["end"])))
+        return F.array_compact(told)
+
+    free = _let(F.array_sort(F.concat(mark(base, True), mark(scored, False))), alone)
+    kept = F.filter(F.zip_with(scored, free, lambda x, f: F.struct(x.alias("x"), f.alias("free"))), lambda z: z["free"])
+    return F.transform(kept, lambda z: z["x"])
+
+
 def find_secrets(docs: DataFrame, text: str = "text", ratios: list[float] | None = None) -> DataFrame:
     """docs with the column secret_spans (a column of that name is replaced), a row for each row: the spans by
     start, then kind, as array<struct<start, kind_no, end, kind, token>>.
@@ -129,9 +171,11 @@ def find_secrets(docs: DataFrame, text: str = "text", ratios: list[float] | None
     rows = rows.withColumns({own("spans", k): _spans(F.col(own("hits", k)), F.col(own("pieces", k)), k, n, keep.get(k)) for n, k in enumerate(kinds)})
     rows = rows.withColumn(own("spans", "base"), F.concat(*(own("spans", k) for k in BASE_KINDS)))
     base, scored = F.col(own("spans", "base")), F.col(own("spans", "random"))
-    free = F.filter(scored, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rows = rows.withColumn("secret_spans", F.array_sort(F.concat(base, F.when(F.size(scored) > 0, free).otherwise(scored))))
-    return rows.drop(*(own(what, k) for what in ("hits", "pieces", "spans") for k in (*kinds, "base")))
+    # columns of their own again: what is written twice is computed twice
+    both = (F.size(scored) > 0) & (F.size(base) > 0)
+    rows = rows.withColumn(own("spans", "free"), F.when(both, _free(scored, base)).otherwise(scored))
+    rows = rows.withColumn("secret_spans", F.array_sort(F.concat(base, F.col(own("spans", "free")))))
+    return rows.drop(*(own(what, k) for what in ("hits", "pieces", "spans") for k in (*kinds, "base", "free")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

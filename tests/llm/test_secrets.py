@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from maskloom.llm import secrets
@@ -71,3 +72,38 @@ def test_a_very_long_token(spark):
     docs = spark.createDataFrame([(1, "see " + long + " end"), (2, long[:100])], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.digest(docs).collect()}
     assert got[1].n_random == 1 and got[1].spans == "random:4:1000004" and got[2].n_random == 1
+
+
+def test_many_hits_in_one_text(spark):
+    """100,000 hits in a text of 3 MB: near linear time, and the places of all."""
+    part = "token=abcdef1 " + "ab" * 6 + "9f8e7d6c5b4a " + "q7Zk2Vx9Lp4Rt8Wm3Yb6Nc1D "
+    few, many = 300, 33_334
+    took = {}
+    for n in (few, many):
+        rows = spark.createDataFrame([(1, part * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secrets.digest(rows).first()
+        took[n] = time.perf_counter() - began
+        assert (row.n_assign, row.n_hex) == (n, n)
+        spans = [x.split(":") for x in row.spans.split(",")]
+        starts = [int(s) for k, s, _ in spans if k == "assign"]
+        assert starts == [k * len(part) for k in range(n)] and all(int(e) - int(s) == 13 for k, s, e in spans if k == "assign")
+    assert took[many] < 60
+
+
+def test_free_spans_against_a_plain_search(spark):
+    """Scored spans that a base span overlaps, of any kind and nesting."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        at, scored = 0, []
+        for _ in range(rng.randint(0, 700 if k == 0 else 9)):
+            at += rng.randint(0, 4)
+            scored.append((at, 3, at + (n := rng.randint(1, 5)), "random", "x"))
+            at += n
+        base = [((s := rng.randint(0, max(at, 1))), 0, s + rng.randint(1, 12), "hex", "y") for _ in range(rng.randint(0, 6))]
+        rows.append((k, scored, base))
+    df = spark.createDataFrame(rows, f"k int, scored {secrets._SPANS}, base {secrets._SPANS}")
+    for r in df.select("k", secrets._free(secrets.F.col("scored"), secrets.F.col("base")).alias("free")).collect():
+        _, scored, base = rows[r.k]
+        assert [tuple(x) for x in r.free] == [x for x in scored if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
