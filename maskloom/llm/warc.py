@@ -37,6 +37,8 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
 _TITLE_END = re.compile("</title", re.I)
 #: Parts of a tag, with the white space of markup.
 _BETWEEN, _ATTRIBUTE = re.compile(r"[ \t\n\f\r/]*"), re.compile(r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*")
+#: The rest of a tag whose quotes are pairs behind "=" without a bracket inside; other tags are read part by part.
+_PAIRED = re.compile(r"(?:[^\"'>]*=[ \t\n\f\r]*(?:\"[^\">]*\"|'[^'>]*'))*+[^\"'>]*+>")
 _EQUALS, _BARE = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*"), re.compile(r"[^ \t\n\f\r>]*")
 _META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -116,9 +118,11 @@ def tags(markup: str) -> Iterator[tuple[int, int, str, bool]]:
         if not m:
             at = start + 1
             continue
-        end = markup.find(">", m.end()) + 1
-        if end and m[2] and (markup.find('"', m.end(), end) >= 0 or markup.find("'", m.end(), end) >= 0):
-            end = attributes(markup, m.end())[0]
+        if not m[2]:
+            end = markup.find(">", m.end()) + 1
+        else:
+            paired = _PAIRED.match(markup, m.end())
+            end = paired.end() if paired else attributes(markup, m.end())[0]
         at = end if end > 0 else len(markup)
         yield start, at, (m[2] or "").lower(), m[1] == "/"
 
