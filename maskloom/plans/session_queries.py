@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.operators import guard, masking, sessions
+from maskloom.operators import guard, mappings, masking, rules, sessions
 from maskloom.sources import dictionary as D
+from maskloom.sources.written import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -65,6 +67,21 @@ def q_restore_sessions(spark, sf_dir):
     return sessions.restore_sessions(rows, "masked", "conv_id", mapping).select("conv_id", "turn", F.col("restored_text").alias("said"), "restored")
 
 
+@_query(
+    f"""WITH {_NUMBERED}, e AS (SELECT conv_id, token, term FROM n UNION SELECT conv_id, token, term || '!' FROM n WHERE token = '<WORD_1A>')
+  SELECT CAST(conv_id AS VARCHAR) AS session, token, 'WORD' AS entity, term, token = '<WORD_1A>' AS conflict FROM e"""
+)
+def q_mapping_store(spark, sf_dir):
+    """The mappings of all conversations, merged into a store in three overlapping parts; the last one has another term
+    for the first token of each, which is a conflict."""
+    mapping = sessions.mask_sessions(_table(spark, sf_dir, "conversations"), "text", "conv_id", "turn", WORDS)[1]
+    path = f"{shared_dir(spark)}/mappings-{uuid.uuid4().hex}"
+    other = mapping.filter("token = '<WORD_1A>'").withColumn("term", F.concat("term", F.lit("!")))
+    for part in (mapping.filter(F.col("conv_id") % 2 == 0), mapping, other):
+        mappings.upsert(part, path, session="conv_id")
+    return mappings.stored(spark, path)
+
+
 @cache
 def _customers() -> D.Dictionary:
     """20,000 terms by a rule: the names of customers."""
@@ -92,6 +109,18 @@ def q_guard_many_rules(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(guard.leaks(text, _customers())).alias("category", "rules"))
 
 
+@_query(
+    r"""WITH b AS (SELECT item_id AS rule, 'Q' || (item_id % 3) AS category, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS term FROM benchmark)
+  SELECT doc_id, category, CAST(count(*) AS BIGINT) AS rules FROM documents, b WHERE term <> '' AND
+    regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || replace(term, ' ', '\s+') || '($|[^A-Za-z0-9])') GROUP BY doc_id, category"""
+)
+def q_guard_rule_table(spark, sf_dir):
+    """Rules from a table, two words of each benchmark item, over all documents."""
+    k, term = F.col("item_id"), F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0)
+    table = _table(spark, sf_dir, "benchmark").select(k.alias("rule"), F.concat(F.lit("Q"), (k % 3).cast("string")).alias("category"), term.alias("term"), F.lit(False).alias("strict"))
+    return rules.rule_counts(rules.rule_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", table), "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -15,7 +15,7 @@ QUERIES, SQL = catalog.queries() | VECTORS, catalog.oracle_sql() | VECTOR_SQL
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "region nation customer orders lineitem documents pages conversations events".split():
+    for t in "region nation customer orders lineitem documents benchmark pages conversations events".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
