@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.functions import offsets
 from maskloom.operators import guard, mappings, masking, rules, sessions
 from maskloom.sources import dictionary as D
 from maskloom.sources.written import shared_dir
@@ -121,6 +122,25 @@ def q_guard_rule_table(spark, sf_dir):
     return rules.rule_counts(rules.rule_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", table), "doc_id")
 
 
+_SMILING = r"""
+  h AS (SELECT doc_id, regexp_extract_all(t, '[0-9]+') AS hits, string_split_regex(t, '[0-9]+') AS pieces FROM (SELECT doc_id, replace(text, ',', '😀,') AS t FROM documents)),
+  x AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, hits, pieces FROM h),
+  s AS (SELECT doc_id, list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda q: length(q))), 0) AS start,
+    list_sum(list_transform(pieces[1:i], lambda p: length(p) - length(replace(p, '😀', '')))) AS wide,
+    list_sum(list_transform(pieces[1:i], lambda p: strlen(p))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda q: strlen(q))), 0) AS bytes FROM x)
+"""
+
+
+@_query(f"WITH {_SMILING} SELECT doc_id, CAST(start AS BIGINT) AS code_point, CAST(start + wide AS BIGINT) AS utf16, CAST(bytes AS BIGINT) AS byte FROM s")
+def q_offsets_of_spans(spark, sf_dir):
+    """Numbers in texts with a character beyond U+FFFF before each comma: their starts in three units."""
+    text = F.replace(F.col("text"), F.lit(","), F.lit("😀,"))
+    found = masking.find_spans(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "text", D.parse_dictionary("N:\n  patterns: ['[0-9]+']"))
+    units = {u: offsets.converted(F.col("text"), F.col("spans"), "code_points", u) for u in ("utf16", "bytes")}
+    rows = found.withColumns(units).select("doc_id", F.inline_outer(F.arrays_zip("spans", "utf16", "bytes"))).filter("spans IS NOT NULL")
+    return rows.select("doc_id", F.col("spans.start").cast("long").alias("code_point"), F.col("utf16.start").alias("utf16"), F.col("bytes.start").alias("byte"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
