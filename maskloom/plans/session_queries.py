@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import offsets
-from maskloom.operators import guard, mappings, masking, rules, sessions
+from maskloom.operators import guard, mappings, masking, matchers, rules, sessions
 from maskloom.sources import dictionary as D
 from maskloom.sources.written import shared_dir
 
@@ -141,6 +141,20 @@ def q_offsets_of_spans(spark, sf_dir):
     return rows.select("doc_id", F.col("spans.start").cast("long").alias("code_point"), F.col("utf16.start").alias("utf16"), F.col("bytes.start").alias("byte"))
 
 
+@_query(
+    r"""SELECT entity, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM (
+  SELECT doc_id, 'SECRET' AS entity, unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS x FROM documents
+  UNION ALL SELECT doc_id, 'NUMBER', unnest(regexp_extract_all(regexp_replace(text, '[0-9a-f]{40}', '#', 'g'), '[0-9]+')) FROM documents) GROUP BY entity"""
+)
+def q_matchers_of_documents(spark, sf_dir):
+    """Spans of two matchers as rows; a number inside of a longer span goes."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = {"SECRET": "[0-9a-f]{40}", "NUMBER": "[0-9]+"}
+    found = [rows.select("doc_id", F.inline_outer(matchers.of_pattern(e, p)(F.col("text")))).withColumn("rank", F.lit(n)) for n, (e, p) in enumerate(kinds.items())]
+    stay = matchers.resolved_rows(found[0].union(found[1]).select("doc_id", "start", "end", "rank", "entity"), "doc_id")
+    return stay.groupBy("entity").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
