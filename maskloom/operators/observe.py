@@ -66,7 +66,8 @@ def rate_limited(events: DataFrame, key: str, ts: str, window_ms: int = WINDOW_M
     """key, event_id and admitted of events, by the sliding window of each key: an event is admitted unless `most`
     admitted ones are less than window_ms old; rejected ones don't count, nor does one without a time.
 
-    A key's events pass one after the other, in a sorted partition; they are never gathered."""
+    A key's events pass one after the other, in a sorted partition; they are never gathered, but the time of a very busy
+    key is not split, since each decision rests on the one before."""
     rows = events.select(key, "event_id", F.unix_millis(F.col(ts).cast("timestamp")).alias("__ms"))
     rows = rows.repartition(key).sortWithinPartitions(key, "__ms", "event_id")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:2]] + [T.StructField("admitted", T.BooleanType())])
