@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import offsets
 from maskloom.operators import guard, mappings, masking, matchers, rules, sessions
 from maskloom.sources import dictionary as D
+from maskloom.sources import event_files
 from maskloom.sources.written import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,17 @@ def q_matchers_of_documents(spark, sf_dir):
     return stay.groupBy("entity").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"))
 
 
+@_query("SELECT role AS event, conv_id || ':' || turn AS id, text AS data FROM conversations")
+def q_event_files(spark, sf_dir):
+    """All turns written as files of events and read again in ranges of bytes."""
+    event_files.register(spark)
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    turns = _table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", "conv_id", "turn")
+    turns.select(F.col("role").alias("event"), key.alias("id"), F.col("text").alias("data")).write.format("sse").mode("append").save(path)
+    return spark.read.format("sse").option("splitBytes", 1 << 20).load(path).select("event", "id", "data")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

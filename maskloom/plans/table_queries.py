@@ -160,13 +160,15 @@ def q_restore_conversations(spark, sf_dir):
     return rows.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@_query("""SELECT doc_id, CAST(len(string_split(text, ', ')) - 1 AS BIGINT) AS tokens, CAST(len(list_filter(string_split(text, ', '), lambda x: x <> '')) AS BIGINT) AS texts, length(replace(text, ', ', '<X_1A>')) AS chars FROM documents WHERE text <> ''""")
+@_query("""SELECT doc_id, CAST(len(string_split(text, ', ')) - 1 AS BIGINT) AS tokens, CAST(len(list_filter(string_split(text, ', '), lambda x: x <> '')) AS BIGINT) AS texts, CAST(length(replace(text, ', ', '<X_1A>')) AS BIGINT) AS chars FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def q_segments_of_documents(spark, sf_dir):
     """Texts with a known token in place of each comma, cut into segments."""
     rows = _table(spark, sf_dir, "documents")
-    parts = masking.segments(F.replace("text", F.lit(", "), F.lit("<X_1A>")), F.array(F.lit("<X_1A>")))
-    rows = rows.select("doc_id", F.explode(parts).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count_if("s.is_token").alias("tokens"), F.count_if(~F.col("s.is_token")).alias("texts"), F.sum(F.length("s.text")).alias("chars"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("<X_1A>"))
+    rows = rows.select("doc_id", masking.segments(text, F.array(F.lit("<X_1A>"))).alias("s"))
+    tokens = F.size(F.filter("s", lambda x: x["is_token"])).cast("long")
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return rows.select("doc_id", tokens.alias("tokens"), (F.size("s") - tokens).alias("texts"), chars.alias("chars"))
 
 
 @_query("SELECT c_custkey, n AS name, CASE WHEN n LIKE '%KEY%' OR n LIKE '%Token%' THEN '***' ELSE c_name END AS value FROM (SELECT c_custkey, c_name, unnest(['API_KEY_' || c_nationkey, 'myToken', 'segment']) AS n FROM customer)")

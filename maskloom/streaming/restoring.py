@@ -1,7 +1,7 @@
 """Restoring tokens that are cut across the chunks of a stream.
 
 Restorer holds back the end of a text that may be the beginning of a token; events() holds whole
-server-sent events. The same code runs over a finished stream, a group for each stream, and in
+server-sent events. The same code runs over finished streams, sorted, and in
 Structured Streaming with the held text as state.
 """
 
@@ -12,7 +12,10 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskloom.functions.text import TOKEN
 
@@ -170,15 +173,24 @@ def _run(one, rows: pd.DataFrame, key) -> tuple[list, bool]:
 
 
 def finished(chunks: DataFrame, make) -> DataFrame:
-    """(stream_id, seq, text) of whole streams chunks(stream_id, seq, chunk, is_last). A stream is handled by one task,
-    chunk by chunk, by what make() gives."""
-
-    def run(key, rows):
-        out, _ = _run(make(), rows, key[0])
-        return pd.DataFrame(out, columns=["stream_id", "seq", "text"])
-
-    kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandas(run, _OUT.replace("string", kind, 1))
+    """(stream_id, seq, text) of whole streams chunks(stream_id, seq, chunk, is_last). A stream is handled by one task, chunk
+    by chunk, by what make() gives: its chunks come sorted and in batches, so memory holds a batch and what is held back,
+    however long the stream is. The time of one stream is not split."""
+    kinds = {f.name: f.dataType for f in chunks.schema.fields}
+    schema = T.StructType([T.StructField("stream_id", kinds["stream_id"]), T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
+    rows = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", "is_last")
+
+    def run(batches):
+        one, now = None, None
+        for b in batches:
+            texts = []
+            for key, chunk, last in zip(*(b.column(n).to_pylist() for n in ("stream_id", "chunk", "is_last")), strict=True):
+                if one is None or key != now:
+                    one, now = make(), key
+                texts.append(one.feed(chunk, bool(last)))
+            yield pa.RecordBatch.from_arrays([b.column("stream_id"), b.column("seq"), pa.array(texts, pa.string())], names=["stream_id", "seq", "text"])
+
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, schema)
 
 
 def streaming(chunks: DataFrame, make) -> DataFrame:

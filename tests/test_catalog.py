@@ -62,3 +62,16 @@ def test_structured_streaming(spark, tmp_path):
     q.awaitTermination(120)
     got = [r.text for r in spark.table("restored").orderBy("seq").collect()]
     assert "".join(got) == "x term y!"
+
+
+def test_finished_streams_over_several_batches(spark):
+    text = "x <A_1A> and <<A_1A>> <A_"
+    rows = [(s, k, text[k : k + 1], k == len(text) - 1) for s in (1, 2, None) for k in range(len(text))]
+    df = spark.createDataFrame(rows[::-1], "stream_id long, seq long, chunk string, is_last boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted(restoring.restore_streams(df, {"<A_1A>": "term"}).collect(), key=lambda r: r.seq)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {s: "".join(r.text for r in got if r.stream_id == s) for s in (1, 2, None)} == dict.fromkeys((1, 2, None), "x term and <A_1A> <A_")
+    assert restoring.restore_streams(df.limit(0), {}).collect() == []
