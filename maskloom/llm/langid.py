@@ -9,6 +9,7 @@ under which a prediction is rejected. Predictions see the text alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,8 @@ from maskloom.llm.shared import release_memory
 UNKNOWN = "und"
 #: Hash buckets, dimensions and n-gram lengths (bytes) of the subwords.
 BUCKETS_LOG2, DIMENSIONS, ORDERS = 16, 16, (2, 3, 4)
-#: Bounds of the labelled sample that the driver fits on: rows for each language, characters of a row.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 1000, 20_000
+#: Bounds of the labelled sample that the driver fits on: rows for each language, characters of a row, and languages.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, SAMPLE_LANGUAGES = 1000, 20_000, 500
 #: Passes over the sample, first learning rate, every CALIBRATION-th row is kept for calibration.
 EPOCHS, RATE, CALIBRATION = 6, 1.0, 5
 #: Of the right predictions that the descent did not see, this share may score under the rejection's reference; and
@@ -37,10 +38,15 @@ _WORDS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
-def subwords(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each n-gram length: the bucket at each position of the joined texts, and which positions count.
-    Each text begins at a space and the positions of text k begin at starts()[k]."""
-    b = np.frombuffer(b"".join(b" " + t.lower().encode().translate(_WORDS) + b" " for t in texts) + b"   ", np.uint8)
+def encoded(text: str) -> bytes:
+    """The bytes of a text between two spaces; what is no part of a letter is a space."""
+    return b" " + text.lower().encode().translate(_WORDS) + b" "
+
+
+def subwords(joined: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each n-gram length: the bucket at each position but the last three, which are only looked at, and which
+    positions count."""
+    b = np.frombuffer(joined, np.uint8)
     n = len(b) - 3
     space = b == 32
     hashed, valid = [], []
@@ -57,9 +63,25 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return hashed, valid
 
 
-def starts(texts: list[str]) -> np.ndarray:
-    sizes = [len(t.lower().encode()) + 2 for t in texts]
-    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.intp)
+def slices(texts: list[str], size: int) -> Iterator[tuple[list[int], list[int], bytes]]:
+    """(numbers of texts, where each begins, bytes with three more to look at) of some `size` bytes at a time: several
+    short texts, or a part of a long one."""
+    numbers, starts, parts, full = [], [], [], 0
+    for k, text in enumerate(texts):
+        b = encoded(text)
+        if len(b) > size:
+            for at in range(0, len(b), size):
+                yield [k], [0], b[at : at + size + 3].ljust(min(size, len(b) - at) + 3)
+            continue
+        if full + len(b) > size:
+            yield numbers, starts, b"".join([*parts, b"   "])
+            numbers, starts, parts, full = [], [], [], 0
+        numbers.append(k)
+        starts.append(full)
+        parts.append(b)
+        full += len(b)
+    if numbers:
+        yield numbers, starts, b"".join([*parts, b"   "])
 
 
 @dataclass
@@ -71,32 +93,19 @@ class LanguageModel:
     temperature: float = 1.0
     least_score: float = 0.0
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """Of texts that each have a letter."""
-        out = np.zeros((len(texts), len(self.languages)))
-        k = 0
-        while k < len(texts):
-            stop, size = k, 0
-            while stop < len(texts) and (stop == k or size + len(texts[stop]) <= SLICE):
-                size += len(texts[stop])
-                stop += 1
-            out[k:stop] = self._logits(texts[k:stop])
-            k = stop
-        return out
-
-    def _logits(self, texts: list[str]) -> np.ndarray:
-        at = starts(texts)
-        total = np.zeros((len(texts), self.table.shape[1]))
-        n = np.zeros(len(texts))
-        for hashed, valid in zip(*subwords(texts), strict=True):
-            counts = np.add.reduceat(valid.astype(np.int64), at)
-            places = np.flatnonzero(valid)
-            # texts without a position of this length would take over their neighbour's
-            some = np.flatnonzero(counts)
-            first = np.concatenate([[0], np.cumsum(counts[some])[:-1]]).astype(np.intp)
-            if len(some):
-                total[some] += np.add.reduceat(self.table[hashed[places]], first, axis=0)
-            n += counts
+    def logits(self, texts: list[str], size: int = SLICE) -> np.ndarray:
+        """Of texts that each have a letter. Memory is bounded by `size` bytes of n-grams, however long a text is."""
+        total, n = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
+        for numbers, at, joined in slices(texts, size):
+            for hashed, valid in zip(*subwords(joined), strict=True):
+                counts = np.add.reduceat(valid.astype(np.int64), at)
+                places = np.flatnonzero(valid)
+                # texts without a position of this length would take over their neighbour's
+                some = np.flatnonzero(counts)
+                first = np.concatenate([[0], np.cumsum(counts[some])[:-1]]).astype(np.intp)
+                if len(some):
+                    total[np.array(numbers)[some]] += np.add.reduceat(self.table[hashed[places]], first, axis=0)
+                n[numbers] += counts
         mean = total / np.maximum(n, 1)[:, None]
         return (mean @ self.weights if self.weights is not None else mean) + self.bias
 
@@ -129,7 +138,7 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     number = {g: k for k, g in enumerate(languages)}
     features, targets = [], []
     for g, t in rows:
-        buckets, counts = np.unique(np.concatenate([h[v] for h, v in zip(*subwords([t]), strict=True)]), return_counts=True)
+        buckets, counts = np.unique(np.concatenate([h[v] for h, v in zip(*subwords(encoded(t) + b"   "), strict=True)]), return_counts=True)
         features.append((buckets, (counts / counts.sum()).astype(np.float32)))
         targets.append(number[g])
     rng = np.random.default_rng(7)
@@ -179,20 +188,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most per_language rows of each language, chosen by a hash of the id, in hash order: a sample, for the
-    driver, whose size is bounded by the number of languages. Only rows that may be learned from count."""
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS, most: int = SAMPLE_LANGUAGES) -> list[tuple[str, str]]:
+    """At most per_language different rows of each of the `most` languages with most rows, chosen by a hash of id and
+    text, in hash order: a bounded sample, for the driver, that is the same in each run. Only rows that may be learned
+    from count; rarer languages than these are not learned."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= chars) & ~held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    rows = rows.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
     # a little more than the quota passes the hash, the rest is cut off here
-    counts = dict(map(tuple, rows.groupBy("lang").count().collect()))
+    counts = dict(map(tuple, rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()))
     if not counts:
         return []
     below = [(lang, int(min(1.0, 1.2 * per_language / n) * (1 << 30))) for lang, n in counts.items()]
     below = docs.sparkSession.createDataFrame(below, "lang string, below long")
-    got = rows.join(F.broadcast(below), "lang").filter("h < below").select("h", "doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
+    some = rows.join(F.broadcast(below), "lang").filter("h < below").select("h", "doc_id", "lang", "text").distinct()
     left, out = dict.fromkeys(counts, per_language), []
-    for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text)):
+    for r in some.orderBy("h", "doc_id", "text", "lang").limit(2 * per_language * len(counts)).collect():
         if left[r.lang]:
             left[r.lang] -= 1
             out.append((r.lang, r.text))

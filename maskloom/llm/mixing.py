@@ -19,12 +19,21 @@ from maskloom.llm.shared import WORD, saved, word_count
 WEIGHTS = (1, 2, 3)
 #: A source's target, and so a document's use, is at most this many times its size.
 MAX_EPOCHS = 3
-#: Hexadecimal digits of the key that name a range: 16**3 ranges for each source.
-RANGE_DIGITS = 3
+#: A source has 16**3 ranges of keys at least, and so many that one has some RANGE_ROWS rows at most.
+RANGE_DIGITS, RANGE_ROWS = 3, 1 << 16
 
 
-def _random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Of id and text, so that rows without an id, or with one id, lie apart."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def range_digits_of(n_rows: int) -> int:
+    """Hexadecimal digits of the key that name a range, if all rows are of one source."""
+    digits = RANGE_DIGITS
+    while 16**digits * RANGE_ROWS < n_rows:
+        digits += 1
+    return digits
 
 
 def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -47,23 +56,24 @@ def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, ma
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, range_digits: int = RANGE_DIGITS, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, range_digits: int | None = None, carry: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, source, text): doc_id, size, source_size, target, taken.
 
     carry adds the whole input row as the struct `row`. Null texts have size 0, a null source is a
-    source of its own and the last one, a null doc_id is hashed as the empty string, rows with equal
-    doc_id lie side by side in the order of their size and text, an empty table gives an empty
-    result. Other columns of docs have no influence.
+    source of its own and the last one, null in doc_id and text is hashed as the empty string, rows
+    with equal doc_id and text lie side by side, an empty table gives an empty result. Other columns
+    of docs have no influence, nor has the number of ranges.
     """
+    digits = range_digits or range_digits_of(docs.count())
     rows = docs.select(
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("z")).alias("skey"),
         word_count(F.col("text")).alias("size"),
-        _random_key(F.col("doc_id"), seed).alias("key"),
+        _random_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
         F.xxhash64("text").alias("tie"),
         *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []),
-    ).withColumn("range", F.substring("key", 1, range_digits))
+    ).withColumn("range", F.substring("key", 1, digits))
     if not carry:
         rows = saved(rows, "mix-sizes")
     ranges = saved(rows.groupBy("skey", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size")), "mix-ranges")
@@ -112,7 +122,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [1, 2, 3][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight FROM s0),

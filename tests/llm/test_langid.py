@@ -1,5 +1,6 @@
 """Held-out accuracy, subwords against a plain loop, edges."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -22,11 +23,34 @@ def plain_subwords(text):
 
 
 def test_subwords():
-    texts = ["Été à Paris", "x", "--- a1b", "straße, ñandú!"]
-    hashed, valid = langid.subwords(texts)
-    at = [*langid.starts(texts), None]
-    for k, t in enumerate(texts):
-        assert sorted(np.concatenate([h[at[k] : at[k + 1]][v[at[k] : at[k + 1]]] for h, v in zip(hashed, valid, strict=True)]).tolist()) == plain_subwords(t), t
+    texts = ["Été à Paris", "x", "--- a1b", "straße, ñandú!", "", "long " * 9]
+    for size in (3, 7, 16, 40, 1000):
+        got = [[] for _ in texts]
+        for numbers, starts, joined in langid.slices(texts, size):
+            hashed, valid = langid.subwords(joined)
+            for k, at, end in zip(numbers, starts, [*starts[1:], None], strict=True):
+                got[k] += np.concatenate([h[at:end][v[at:end]] for h, v in zip(hashed, valid, strict=True)]).tolist()
+        assert [sorted(g) for g in got] == [plain_subwords(t) for t in texts], size
+
+
+def test_long_texts_need_no_more_memory():
+    model = langid.fit([("en", "the rain and the wind"), ("de", "der regen und der wind")] * 20)
+    text = "the wind and der regen " * 100_000
+    assert np.allclose(model.logits([text, "x y"]), model.logits([text, "x y"], 1 << 30), atol=1e-4)
+    tracemalloc.start()
+    model.logits([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+
+
+def test_sample_is_bounded_and_repeats(spark):
+    """Many rows of one id, many equal rows, more languages than are learned."""
+    rows = [(7, f"text {k}", "en") for k in range(300)] + [(8, "same", "de")] * 300 + [(k, f"t{k}", f"l{k}") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = langid.labelled_sample(docs, per_language=50, most=2)
+    assert one == langid.labelled_sample(docs.repartition(5), per_language=50, most=2)
+    assert {g for g, _ in one} <= {"en", "de"} and sum(g == "en" for g, _ in one) == 50 and one.count(("de", "same")) <= 1
 
 
 def test_fit_and_reject():

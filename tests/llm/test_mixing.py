@@ -13,6 +13,10 @@ from maskloom.llm import mixing, ngrams, queries
 SF = "/root/testdata/sf0.001"
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def plain(rows):
     """(doc_id, size, source_size, target, taken) of (doc_id, source, text), one row after the other."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -33,7 +37,7 @@ def plain(rows):
     for s in sources:
         epochs = int(target[s] // total[s]) if total[s] else 0
         budget = math.floor(target[s] - epochs * total[s])
-        key = lambda r: (hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r[2]))
+        key = lambda r: (md5(f"mix:{'' if r[0] is None else r[0]}:{md5(r[2] or '')}"), r[0] is not None, r[0] or 0, size(r[2]))
         for doc, _, text in sorted((r for r in rows if r[1] == s), key=key):
             last = max(0, min(size(text), budget))
             budget -= size(text)
@@ -81,3 +85,7 @@ def test_sql(spark, name, sql):
     want = con.sql(sql).df()[list(got.columns)]
     rows = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.to_numpy().tolist()), key=str)
     assert rows(got) == rows(want)
+
+
+def test_ranges_grow_with_the_rows():
+    assert [mixing.range_digits_of(n) for n in (0, 1 << 28, (1 << 28) + 1, 1 << 35)] == [3, 3, 4, 5]
