@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import offsets
-from maskloom.operators import guard, mappings, masking, matchers, rules, sessions
+from maskloom.operators import guard, mappings, masking, matchers, rules, sessions, typedwalk
 from maskloom.sources import dictionary as D
 from maskloom.sources import event_files
 from maskloom.sources.written import shared_dir
@@ -167,6 +167,16 @@ def q_event_files(spark, sf_dir):
     return spark.read.format("sse").option("splitBytes", 1 << 20).load(path).select("event", "id", "data")
 
 
+@_query(f"WITH {_NUMBERED} {_rebuilt('n.token')}")
+def q_typed_walk(spark, sf_dir):
+    """Conversations as typed requests, a list of messages with a list of blocks each, masked where they are."""
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", block.alias("content")).alias("m"))
+    requests = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    rows = typedwalk.mask_typed(requests, WORDS, "messages")
+    return rows.select("conv_id", F.inline("messages")).select("conv_id", "turn", F.get("content", F.lit(0))["text"].alias("said"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
