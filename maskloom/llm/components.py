@@ -33,3 +33,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             forget(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """What components() gives for the links (a, b) behind labels(node, component) and these links together: only the
+    links between components are followed, so that a link that is known already costs nothing more."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    roots = components(ends.filter("a <> b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    every = labels.select("node", "component").union(fresh.select("node", F.col("node").alias("component")))
+    return saved(every.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")

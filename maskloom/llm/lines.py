@@ -5,8 +5,9 @@ shorter line. Its signature are the set's smallest elements in one random order
 neighbours in the signature are a band: lines of similarity THRESHOLD share a band with a probability of 0.97 by
 simulation, more similar ones with a higher one, wherever in a line the differences lie. A
 band's smallest line is the leader of its other lines. Each line is verified with its nearest leader,
-links are joined by distributed union-find, and where a leader's lines are then still in several
-components, all pairs across components are candidates, whatever the number of lines: they are compared in
+links are joined by distributed union-find. Where a leader's lines are then still in several components, each
+line meets some of them, the pivots, and is verified with its nearest one; so most near copies are one component.
+Then all pairs across components that are left are candidates, whatever the number of lines: they are compared in
 tiles. Two filters without error come before a pair's texts are fetched: the sizes, and the distance of parity
 sketches, which is never larger than the sets' difference. Candidates are verified by exact Jaccard
 similarity of their whole sets, and of each component the first line, by document and place, stays.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.components import components
+from maskloom.llm.components import components, extended
 from maskloom.llm.shared import broadcast_if_few, forget, fresh_name, saved
 
 #: Characters of a shingle.
@@ -31,6 +32,8 @@ THRESHOLD = 75
 WORDS = 16
 #: Lines of a side of a tile, in which pairs across components are compared.
 TILE = 1000
+#: Pivots of a leader, and rounds in which each line is verified with its nearest candidate before all others.
+PIVOTS, NEAREST_ROUNDS = 8, 1
 #: White space at the ends of lines.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -73,8 +76,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row_key, pos, line_id, kept: each line of docs(doc_id, text) that is not blank. row_key tells rows
     with equal doc_id apart. Rows that are equal in both are one document, whose lines count once."""
     found = saved(with_bands(_lines(docs.select("doc_id", "text"))), "lines")
-    links = _all_links(found, threshold)
-    labels = components(links)
+    labels = _components(found, threshold)
     place = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"), F.col("pos").alias("pos"))
     classes = found.groupBy("line_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     classes = saved(classes.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").filter("n > 1 OR component IS NOT NULL").drop("n"), "line-classes")
@@ -84,8 +86,8 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.join(keepers, "line_id", "left").select("doc_id", "row_key", "pos", "line_id", F.coalesce(place == F.col("keeper"), F.lit(True)).alias("kept"))
 
 
-def _all_links(found: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between line_ids that connect what the links within bands connect."""
+def _components(found: DataFrame, threshold: int) -> DataFrame:
+    """(node, component) of the line_ids that the links within bands connect."""
     banded = found.select("line_id", F.explode("bands").alias("band")).filter("band IS NOT NULL")
     leaders = banded.groupBy("band").agg(F.min("line_id").alias("lead"), F.max("line_id").alias("last")).filter("lead <> last").select("band", "lead")
     leaders = saved(leaders, "line-bands")
@@ -95,19 +97,23 @@ def _all_links(found: DataFrame, threshold: int) -> DataFrame:
     one = lambda s: sketches.select(F.col("line_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH))
     pairs = stars.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).join(one("a"), "a").join(one("b"), "b").filter(_fits(threshold))
     compared = saved(_nearest(pairs.select("a", "b", _apart().alias("apart"))), "line-nearest")
-    links = saved(_links(texts, compared, threshold), "line-links")
-    labels = components(links)
-    across = saved(_across(stars, sketches, labels, threshold).join(compared, ["a", "b"], "left_anti"), "line-pairs")
-    forget(leaders, stars, sketches, compared)
-    if not across.isEmpty():
+    labels = components(saved(_links(texts, compared, threshold), "line-links"))
+    near = saved(_nearest(_to_pivots(_crowds(stars, sketches, labels), threshold)).join(compared, ["a", "b"], "left_anti"), "line-nearest")
+    if not near.isEmpty():
+        labels = extended(labels, saved(_links(texts, near, threshold), "line-links"))
+    left = saved(_across(_crowds(stars, sketches, labels), threshold).join(compared.union(near), ["a", "b"], "left_anti"), "line-pairs")
+    forget(leaders, stars, sketches)
+    for k in range(NEAREST_ROUNDS + 1):
+        if left.isEmpty():
+            break
         # the nearest line of each first: most of the others are then in one component
-        both = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-        links = saved(links.union(_links(texts, _nearest(both), threshold)), "line-links")
-        labels = components(links)
-        end = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))
-        left = across.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").filter("coalesce(component_a, a) <> coalesce(component_b, b)")
-        links = saved(links.union(_links(texts, left.select("a", "b"), threshold)), "line-links")
-    return links
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+        tried = saved(_nearest(both) if k < NEAREST_ROUNDS else left.select("a", "b"), "line-nearest")
+        labels = extended(labels, saved(_links(texts, tried, threshold), "line-links"))
+        end = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))  # noqa: B023, E731
+        open_ = left.join(tried, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+        left = saved(open_.filter("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b", "apart"), "line-pairs")
+    return labels
 
 
 def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,25 +152,46 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return nearest.select(F.least("to.a", "b").alias("a"), F.greatest("to.a", "b").alias("b")).distinct()
 
 
-def _across(stars: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b, apart) of lines of one leader, but in two components, that the sketches allow. The lines outside of
-    the leader's component are compared with all its lines, in tiles of about TILE by TILE lines."""
+def _crowds(stars: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """lead, home, tiles, line_id, component and sketch of the lines, the leader among them, of each leader whose lines
+    are in several components. home: the leader's component; tiles: in how many parts its lines are compared."""
     rows = saved(sketches.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-components")
     near = stars.join(rows.select("line_id", "component"), "line_id")
     home = rows.select(F.col("line_id").alias("lead"), F.col("component").alias("home"))
-    tiles = lambda n: F.ceil(n / TILE).cast("int")
     spans = near.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(home, "lead")
-    spans = saved(spans.filter("least <> home OR most <> home").select("lead", "home", tiles(F.col("n") + 1).alias("tiles")), "line-spans")
+    spans = saved(spans.filter("least <> home OR most <> home").select("lead", "home", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "line-spans")
     members = stars.join(spans, "lead").union(spans.select("lead", F.col("lead").alias("line_id"), "home", "tiles"))
-    members = saved(members.join(rows, "line_id"), "line-crowds")
+    return saved(members.join(rows, "line_id"), "line-crowds")
+
+
+def _tile() -> Column:
+    return F.pmod(F.xxhash64("line_id"), F.col("tiles")).cast("int")
+
+
+def _every_tile() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
 
-    def side(s: str) -> DataFrame:
-        tile, partner = F.pmod(F.xxhash64("line_id"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        at = [tile.alias("row"), partner.alias("column")] if s == "a" else [tile.alias("column"), partner.alias("row")]
-        return members.select("lead", *at, *(F.col(c).alias(d) for c, d in (("line_id", s), *((c, f"{c}_{s}") for c in (*_SKETCH, "component", "home")))))
 
+def _side(s: str, *more: str) -> list[Column]:
+    return [F.col(c).alias(d) for c, d in (("line_id", s), *((c, f"{c}_{s}") for c in (*_SKETCH, "component", *more)))]
+
+
+def _to_pivots(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b, apart) of lines in two components that the sketches allow, a being one of some lines of its leader:
+    the smallest of each of so many parts. The pairs grow with the number of lines."""
+    chosen = members.filter("line_id <> lead").groupBy("lead", F.pmod(F.xxhash64("line_id"), F.lit(PIVOTS)).alias("part")).agg(F.min("line_id").alias("line_id")).select("lead", "line_id")
+    ones = members.join(chosen, ["lead", "line_id"]).select("lead", _every_tile().alias("row"), *_side("a"))
+    met = ones.join(members.select("lead", _tile().alias("row"), *_side("b")), ["lead", "row"]).filter("component_a <> component_b").filter(_fits(threshold))
+    return met.select("a", "b", _apart().alias("apart"))
+
+
+def _across(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b, apart) of lines of one leader, but in two components, that the sketches allow. The lines outside of
+    the leader's component are compared with all its lines, in tiles of about TILE by TILE lines."""
+    ones = members.filter("component <> home").select("lead", _tile().alias("row"), _every_tile().alias("column"), *_side("a"))
+    others = members.select("lead", _tile().alias("column"), _every_tile().alias("row"), *_side("b", "home"))
     # of two lines outside of the leader's component each meets the other once
-    met = side("a").filter("component_a <> home_a").join(side("b"), ["lead", "row", "column"]).filter("component_a <> component_b AND (component_b = home_b OR a < b)").filter(_fits(threshold))
+    met = ones.join(others, ["lead", "row", "column"]).filter("component_a <> component_b AND (component_b = home_b OR a < b)").filter(_fits(threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart().alias("apart")).distinct()
 
 

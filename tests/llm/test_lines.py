@@ -169,3 +169,21 @@ def test_an_edit_in_a_run_without_white_space(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in lines.duplicate_lines(docs).filter("kept").collect()} == {0, 10}
     assert [r.n for r in docs.orderBy("doc_id").select(lines.F.size(lines.shingle_hashes(lines.F.col("text"))).alias("n")).collect()] == [len(shingles(t)) for _, t in rows]
+
+
+def test_near_copies_of_one_line_are_not_told_as_all_pairs(spark, monkeypatch):
+    """A crowd of edited copies that link with some of each other: the tables between steps grow with the lines."""
+    rnd, base = random.Random(21), [f"w{k}x{k * k}" for k in range(60)]
+    rows = [(k, " ".join(f"e{rnd.randrange(10**6)}" if rnd.random() < 0.045 else w for w in base)) for k in range(400)]
+    counts, first = {}, lines.saved
+
+    def saved(df, name):
+        out = first(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "saved", saved)
+    got = lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").count()
+    exact = sum(x == t for (_, t), x in zip(rows, brute(rows)[0], strict=True))
+    assert exact <= got <= exact + 0.05 * len(rows), (exact, got)
+    assert sum(counts["line-links"]) <= 3 * len(rows) and sum(counts["line-pairs"]) <= 15 * len(rows), counts
