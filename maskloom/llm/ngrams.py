@@ -11,8 +11,8 @@ Documents are first told by the class of their set. Of the copies in one block o
 is signed; all are joined to their component by the class. Signatures are dealt by their
 hash in packed blocks. A group of sets with one signature is told as a
 star: its smallest set, the leader, with each other one. Links of the stars are verified and joined to
-components. Where a leader's groups still lie in several components, their members are then compared
-in tiles, only across components, and once for each leader rather than once for each signature that
+components. Where a leader's groups still lie in several components, each member meets some of them, the
+pivots, and is verified with its nearest one; the members that are still apart are then compared in tiles, only across components, and once for each leader rather than once for each signature that
 they share. Two filters without error come before a pair's sets are fetched: the sizes, and the
 distance of small count sketches, which is never larger than the sets' difference.
 """
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.components import components
+from maskloom.llm.components import components, extended
 from maskloom.llm.shared import broadcast_if_few, release_memory, saved
 
 #: Words of a shingle.
 WORDS = 5
 #: Least and most counters of a sketch, members of a tile of a leader's open groups, rows of a tile that are compared at a time.
 SKETCH, MOST_SKETCH, TILE, STRIPE = 128, 8192, 1024, 32
+#: Pivots of a leader, and rounds in which each set is verified with its nearest candidate before all others.
+PIVOTS, NEAREST_ROUNDS = 2, 1
 #: Partners that one task verifies, signatures of a bucket of the shuffle.
 PARTNERS, BUCKET_SIGNATURES = 256, 250_000
 #: Characters and documents of a packed block.
@@ -196,6 +198,7 @@ def similar(a: int, b: int, shared: int) -> bool:
 
 _PACKED = "bucket int, signatures binary, signer binary"
 _STARS = "leader long, member long"
+_PAIRS = "a long, b long, apart long"
 _CLASSES = "doc_id long, cls long, size long, sketch binary"
 
 
@@ -283,11 +286,11 @@ def _fits_of(size_a: np.ndarray, sketch_a: list[bytes], size_b: np.ndarray, sket
 
 
 def _fits(batches):
-    """Pairs with sizes and sketches to the pairs that can be links."""
+    """Pairs with sizes and sketches to the pairs that can be links, and how far their sketches are apart."""
     for t in batches:
         if t.num_rows:
-            good, _ = _fits_of(t.column("size_a").to_numpy(), t.column("sketch_a").to_pylist(), t.column("size_b").to_numpy(), t.column("sketch_b").to_pylist())
-            yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b")}).filter(pa.array(good))
+            good, apart = _fits_of(t.column("size_a").to_numpy(), t.column("sketch_a").to_pylist(), t.column("size_b").to_numpy(), t.column("sketch_b").to_pylist())
+            yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b"), "apart": pa.array(apart, pa.int64())}).filter(pa.array(good))
 
 
 def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -406,6 +409,11 @@ def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     return saved(classes.join(joined, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "classes")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(cls, component) with the links (a, b) of two of these classes."""
+    return extended(labels.withColumnRenamed("cls", "node"), saved(links, "links")).withColumnRenamed("node", "cls")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs(doc_id, text).
 
@@ -422,19 +430,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = saved(docs.select("text").mapInArrow(_pack(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, _STARS).distinct(), "stars")
     one = lambda side: classes.select(F.col("cls").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     pairs = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).join(one("a"), "a").join(one("b"), "b")
-    pairs = saved(pairs.mapInArrow(_fits, "a long, b long"), "pairs")
+    pairs = saved(pairs.mapInArrow(_fits, _PAIRS).select("a", "b"), "pairs")
     links = saved(_links(_sets_of(docs, classes, pairs), pairs), "links")
     labels = _labels(classes, links)
-    across = saved(_open_pairs(stars, classes, labels), "pairs")
-    if not across.isEmpty():
+    near = saved(_nearest(_to_pivots(_crowds(stars, classes, labels))), "pairs")
+    if not near.isEmpty():
+        labels = _joined(labels, _links(_sets_of(docs, classes, near), near))
+    left = saved(_open_pairs(_crowds(stars, classes, labels)).join(near, ["a", "b"], "left_anti"), "pairs")
+    sets = None
+    for k in range(NEAREST_ROUNDS + 1):
+        if left.isEmpty():
+            break
         # the nearest partner of each first: most of the others are then in one component
-        sets = _sets_of(docs, classes, across)
-        links = saved(links.union(_links(sets, _nearest(across))), "links")
-        labels = _labels(classes, links)
-        end = lambda side: labels.select(F.col("cls").alias(side), F.col("component").alias(f"component_{side}"))
-        rest = saved(across.join(end("a"), "a").join(end("b"), "b").filter("component_a <> component_b").select("a", "b"), "pairs")
-        if not rest.isEmpty():
-            labels = _labels(classes, saved(links.union(_links(sets, rest)), "links"))
+        sets = sets or _sets_of(docs, classes, left)
+        tried = saved(_nearest(left) if k < NEAREST_ROUNDS else left.select("a", "b"), "pairs")
+        labels = _joined(labels, _links(sets, tried))
+        end = lambda side: labels.select(F.col("cls").alias(side), F.col("component").alias(f"component_{side}"))  # noqa: B023, E731
+        open_ = left.join(tried, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b")
+        left = saved(open_.filter("component_a <> component_b").select("a", "b", "apart"), "pairs")
     smallest = labels.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = labels.join(smallest, "component").select("cls", "component_id")
     linked = info.filter("size > 0").join(by_class, "cls").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
@@ -442,9 +455,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(empty)
 
 
-def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of leaders whose groups lie in several components: all pairs of their members across components that the
-    filters allow. Members are compared in tiles of about TILE sets, never as a whole."""
+def _crowds(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """leader, tiles, cls, component, size, sketch of the sets, the leader among them, of each leader whose groups lie in
+    several components; tiles: in how many parts they are compared, of about TILE sets each."""
     near = stars.join(labels.withColumnRenamed("cls", "member"), "member").select("leader", "component")
     spans = near.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
     home = labels.select(F.col("cls").alias("leader"), F.col("component").alias("home"))
@@ -453,12 +466,28 @@ def _open_pairs(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     members = stars.join(leaders, "leader").select("leader", "tiles", F.col("member").alias("cls"))
     members = members.union(leaders.select("leader", "tiles", F.col("leader").alias("cls")))
     described = saved(labels.join(classes.select("cls", "size", "sketch"), "cls"), "described")
-    members = members.join(described, "cls").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    return saved(members.join(described, "cls"), "crowds")
+
+
+def _to_pivots(crowds: DataFrame) -> DataFrame:
+    """Pairs (a, b, apart) of different components that the filters allow, a being one of some members of its leader: the
+    smallest of each of so many parts. The pairs grow with the number of members."""
+    chosen = crowds.filter("cls <> leader").groupBy("leader", F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("part")).agg(F.min("cls").alias("cls")).select("leader", "cls")
+    side = lambda s: [F.col(c).alias(d) for c, d in (("cls", s), *((c, f"{c}_{s}") for c in ("component", "size", "sketch")))]
+    ones = crowds.join(chosen, ["leader", "cls"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *side("a"))
+    others = crowds.select("leader", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int").alias("tile"), *side("b"))
+    met = ones.join(others, ["leader", "tile"]).filter("component_a <> component_b AND 100 * least(size_a, size_b) >= 75 * greatest(size_a, size_b)")
+    return met.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_fits, _PAIRS)
+
+
+def _open_pairs(crowds: DataFrame) -> DataFrame:
+    """All pairs of the members of a leader across components that the filters allow, compared in tiles, never as a whole."""
+    members = crowds.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     met = members.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "leader", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
     )
     keys = ["leader", "low", "high"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long, apart long").distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, _PAIRS).distinct()
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -114,3 +114,20 @@ def test_copies_are_not_shuffled(spark):
     got = ngrams.near_duplicates(docs).collect()
     want = sorted([(k, 0) for k in range(1000)] + [(2000, 0), (2001, 2001), (2002, 2002)]) + [(None, 0)]
     assert sorted(((r.doc_id, r.component_id) for r in got), key=lambda x: (x[0] is None, x)) == want
+
+
+def test_near_copies_of_one_text_are_not_told_as_all_pairs(spark, monkeypatch):
+    """A crowd of edited copies that link with some of each other: candidates across components grow with the texts."""
+    rnd, base = random.Random(21), [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(base, 4, rnd))) for k in range(400)]
+    counts, first = [], ngrams._open_pairs
+
+    def pairs(*args):
+        out = first(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngrams, "_open_pairs", pairs)
+    got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(counts) <= 6 * len(rows), counts
