@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.automaton import Spelling, TermFinder
+from maskloom.functions.parts import by_parts
 from maskloom.functions.regexlang import SPACE, translated
 from maskloom.functions.text import INVISIBLE, LOOK_ALIKE, TOKEN
 from maskloom.sources.dictionary import TERM_CHARS, Dictionary
@@ -95,6 +96,7 @@ def find_spans(df: DataFrame, text: str, dictionary: Dictionary, out: str = "spa
     find, names = Finder(dictionary), ("start", "end", "entity", "surface", "suffix")
 
     @F.arrow_udf(f"array<{SPAN}>")
+    @by_parts
     def spans(text: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(names, x, strict=True)) for x in find(t)] for t in text.to_pylist()], _SPANS_ARROW)
 
@@ -199,6 +201,7 @@ def mask_strings(df: DataFrame, strings: str, dictionary: Dictionary, token_form
     find = Finder(dictionary)
 
     @F.arrow_udf(_MASKED)
+    @by_parts
     def tokens(texts: pa.Array) -> pa.Array:
         out = []
         for row in texts:
@@ -226,6 +229,7 @@ def restore_strings(df: DataFrame, masked: str, entries: str, token_format: str
     pattern = token_pattern(token_format)
 
     @F.arrow_udf("struct<restored_text:array<string>,restored:bigint>")
+    @by_parts
     def terms(texts: pa.Array, entries: pa.Array) -> pa.Array:
         out = []
         for row, known in zip(texts.to_pylist(), entries.to_pylist(), strict=True):

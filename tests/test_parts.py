@@ -1,0 +1,21 @@
+"""Arrow functions never hold the Python objects of a whole batch."""
+
+import pyarrow as pa
+
+from maskloom.functions import parts
+
+
+def test_rows_in_parts():
+    seen = []
+
+    @parts.by_parts
+    def longer(a, b):
+        seen.append(len(a))
+        return pa.array([x and x * y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+    texts = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(1001)], pa.string())
+    got = longer(texts, pa.array([k % 3 for k in range(1001)]))
+    assert got.to_pylist() == [t and t * (k % 3) for k, t in enumerate(texts.to_pylist())]
+    assert max(seen) <= parts.ROWS and sum(seen) == 1001
+    assert longer(texts.slice(0, 0), pa.array([], pa.int64())).to_pylist() == []
+    assert [n for _, n in parts.ranges(0)] == [0]
