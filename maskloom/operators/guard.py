@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.automaton import Spelling, TermFinder
+from maskloom.functions.parts import by_parts
 from maskloom.functions.regexlang import term_pattern, translated
 from maskloom.functions.text import GUARD_INVISIBLE
 from maskloom.operators.masking import needed_character
@@ -60,6 +61,7 @@ def leaks(text: Column, dictionary: Dictionary) -> Column:
     rules = _Rules(dictionary)
 
     @F.arrow_udf("map<string,bigint>")
+    @by_parts
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([list(Counter(rules.tripped(t or "")).items()) for t in texts.to_pylist()], pa.map_(pa.string(), pa.int64()))
 
@@ -71,6 +73,7 @@ def leak(text: Column, dictionary: Dictionary) -> Column:
     rules = _Rules(dictionary)
 
     @F.arrow_udf("boolean")
+    @by_parts
     def any_tripped(texts: pa.Array) -> pa.Array:
         return pa.array([next(rules.tripped(t or ""), None) is not None for t in texts.to_pylist()], pa.bool_())
 
