@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.functions.parts import by_parts, ranges, release_memory
 from maskloom.operators import guard, masking
 from maskloom.sources.dictionary import Dictionary
 
@@ -101,6 +102,7 @@ def with_strings(body: str | None, dialect: str, strings: list[str] | None) -> s
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@by_parts
 def json_strings(body: pa.Array, dialect: pa.Array) -> pa.Array:
     return pa.array([strings_of(b, d) for b, d in zip(body.to_pylist(), dialect.to_pylist(), strict=True)], pa.list_(pa.string()))
 
@@ -110,11 +112,12 @@ def put_back(df: DataFrame, strings: str, out: str) -> DataFrame:
     schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(*at) for whole in batches for at in ranges(whole.num_rows)):
             columns = {n: b.column(n) for n in b.schema.names if n != out}
             rows = zip(*(b.column(n).to_pylist() for n in ("body", "dialect", strings)), strict=True)
             columns[out] = pa.array([with_strings(*r) for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
