@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.functions.automaton import Folded
+from maskloom.functions.parts import by_parts
 from maskloom.functions.regexlang import term_pattern
 from maskloom.sources.written import forget, saved
 
@@ -42,6 +43,7 @@ def _of_terms(terms: pa.Array) -> pa.Array:
 
 def _of_texts(sizes: tuple[int, ...]):
     @F.arrow_udf(T.ArrayType(T.StringType()))
+    @by_parts
     def grams(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(_grams(t or "", sizes)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
@@ -54,6 +56,7 @@ def _pattern(term: str, strict: bool) -> re.Pattern:
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
+@by_parts
 def _matching(texts: pa.Array, candidates: pa.Array) -> pa.Array:
     """The places of the candidates that match."""
     out = []
