@@ -146,12 +146,14 @@ def q_restore_bytes(spark, sf_dir):
     masked = F.replace("text", F.lit("e"), F.lit("<INTERNAL_1A>"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", masked.alias("text")).alias("t"))
     bodies = turns.groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "").alias("body"))
-    whole = F.encode("body", "UTF-8")
-    cut = bodies.select("stream_id", F.posexplode(F.sequence(F.lit(1), F.greatest(F.octet_length("body"), F.lit(1)), F.lit(5))).alias("seq", "at"), whole.alias("b"))
+    # what is made of a whole body is made below the explode, or each of its chunks would make it again
+    whole = bodies.select("stream_id", "body", F.encode("body", "UTF-8").alias("b"), F.length("body").alias("n"))
+    cut = whole.select("stream_id", F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("b"), F.lit(1)), F.lit(5))).alias("seq", "at"), "b")
     chunks = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), F.substring("b", F.col("at"), F.lit(5)).alias("chunk"), (F.col("at") + 5 > F.length("b")).alias("is_last"))
-    joined = lambda rows, name: rows.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias(name))
+    # a chunk whose text waits for a later one gives an empty text; the first one keeps its stream
+    joined = lambda rows, name: rows.filter("text <> '' OR seq = 0").groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias(name))
     mapping = {"<INTERNAL_1A>": "é€"}
-    pieces = bodies.select("stream_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "chunk"), F.length("body").alias("n"))
+    pieces = whole.select("stream_id", F.posexplode(F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("body", F.lit(r"(?s).{1,7}"), F.lit(0)))).alias("seq", "chunk"), "n")
     pieces = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", ((F.col("seq") + 1) * 7 >= F.col("n")).alias("is_last"))
     both = joined(restoring.restore_byte_streams(chunks, mapping), "text").join(joined(restoring.restore_buffered(pieces, mapping, 40), "buffered"), "stream_id")
     return both.select("stream_id", "text", (F.col("text") == F.col("buffered")).alias("same"))

@@ -20,20 +20,27 @@ from pyspark.sql import types as T
 from maskloom.functions.text import TOKEN
 
 # The beginning of a token at the end of a text, longest token without a mapping, held characters, waiting events, buffered characters.
-CUT = re.compile(r"<{1,2}(?:[A-Z][A-Z0-9_]*)?(?:_[0-9]+[A-Z]*>?)?$")
+CUT = re.compile(r"<{1,2}(?:[A-Z][A-Z0-9_]*)?(?:_[0-9]+[A-Z]*>?)?\Z")
 NO_MAPPING_CHARS, MAX_HELD, MAX_EVENTS, BUFFER = 20, 65_536, 1024, 8_388_608
 _KNOWN = re.compile(TOKEN)
 _DOUBLE = re.compile(rf"<({TOKEN})>")
 
 
 def restored(text: str, mapping: dict[str, str]) -> str:
+    if ">" not in text:  # ends no token
+        return text
     return _DOUBLE.sub(r"\1", _KNOWN.sub(lambda m: mapping.get(m[0], m[0]), text))
 
 
-def split_at_cut(text: str, mapping: dict[str, str]) -> tuple[str, str]:
-    """(what can go out, what may be the beginning of a token)."""
-    longest = max(map(len, mapping), default=NO_MAPPING_CHARS) + 2
-    tail = text[-longest:]
+def longest_token(mapping: dict[str, str]) -> int:
+    return max(map(len, mapping), default=NO_MAPPING_CHARS)
+
+
+def split_at_cut(text: str, mapping: dict[str, str], longest: int | None = None) -> tuple[str, str]:
+    """(what can go out, what may be the beginning of a token). longest: longest_token(mapping), for many calls."""
+    if "<" not in text:
+        return text, ""
+    tail = text[-(longest_token(mapping) if longest is None else longest) - 2 :]
     m = CUT.search(tail)
     if not m or (m[0].endswith(">") and not m[0].startswith("<<")):
         return text, ""
@@ -44,7 +51,7 @@ class Restorer:
     """One stream of text."""
 
     def __init__(self, mapping: dict[str, str], state: dict | None = None):
-        self.mapping, self.held = mapping, (state or {}).get("held", "")
+        self.mapping, self.longest, self.held = mapping, longest_token(mapping), (state or {}).get("held", "")
 
     def state(self) -> dict:
         return {"held": self.held}
@@ -53,7 +60,7 @@ class Restorer:
         return self._feed(chunk) + (self.end() if last else "")
 
     def _feed(self, chunk: str) -> str:
-        out, self.held = split_at_cut(self.held + chunk, self.mapping) if self.mapping else (chunk, "")
+        out, self.held = split_at_cut(self.held + chunk, self.mapping, self.longest) if self.mapping else (chunk, "")
         if len(self.held) > MAX_HELD:
             out, self.held = out + self.held, ""
         return restored(out, self.mapping) if self.mapping else out
@@ -172,6 +179,12 @@ def _run(one, rows: pd.DataFrame, key) -> tuple[list, bool]:
     return out, over
 
 
+def _values(column: pa.Array) -> list:
+    """to_pylist(), several times faster for plain values."""
+    plain = not column.null_count and not pa.types.is_nested(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def finished(chunks: DataFrame, make) -> DataFrame:
     """(stream_id, seq, text) of whole streams chunks(stream_id, seq, chunk, is_last). A stream is handled by one task, chunk
     by chunk, by what make() gives: its chunks come sorted and in batches, so memory holds a batch and what is held back,
@@ -184,7 +197,7 @@ def finished(chunks: DataFrame, make) -> DataFrame:
         one, now = None, None
         for b in batches:
             texts = []
-            for key, chunk, last in zip(*(b.column(n).to_pylist() for n in ("stream_id", "chunk", "is_last")), strict=True):
+            for key, chunk, last in zip(*(_values(b.column(n)) for n in ("stream_id", "chunk", "is_last")), strict=True):
                 if one is None or key != now:
                     one, now = make(), key
                 texts.append(one.feed(chunk, bool(last)))
@@ -214,21 +227,20 @@ class BufferedRestorer:
     longest token's length, so that what is held stays bounded."""
 
     def __init__(self, mapping: dict[str, str], state: dict | None = None, most: int = BUFFER):
-        self.mapping, self.most, self.held = mapping, most, (state or {}).get("held", "")
+        self.mapping, self.longest, self.most, self.held = mapping, longest_token(mapping), most, (state or {}).get("held", "")
 
     def state(self) -> dict:
         return {"held": self.held}
 
     def feed(self, chunk: str, last: bool = False) -> str:
-        longest = max(map(len, self.mapping), default=NO_MAPPING_CHARS)
         self.held += chunk
         if last or not self.mapping:
             out, self.held = self.held, ""
             return restored(out, self.mapping) if self.mapping else out
-        if len(self.held) <= max(self.most, 2 * longest):
+        if len(self.held) <= max(self.most, 2 * self.longest):
             return ""
-        at = len(self.held) - longest
-        cut, more = split_at_cut(self.held[:at], self.mapping)  # no token is cut in two
+        at = len(self.held) - self.longest
+        cut, more = split_at_cut(self.held[:at], self.mapping, self.longest)  # no token is cut in two
         out, self.held = cut, more + self.held[at:]
         return restored(out, self.mapping)
 
