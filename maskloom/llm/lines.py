@@ -15,7 +15,7 @@ similarity of their whole sets, and of each component the first line, by documen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.components import components, extended
@@ -111,8 +111,8 @@ def _components(found: DataFrame, threshold: int) -> DataFrame:
         tried = saved(_nearest(both) if k < NEAREST_ROUNDS else left.select("a", "b"), "line-nearest")
         labels = extended(labels, saved(_links(texts, tried, threshold), "line-links"))
         end = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))  # noqa: B023, E731
-        open_ = left.join(tried, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
-        left = saved(open_.filter("coalesce(component_a, a) <> coalesce(component_b, b)").select("a", "b", "apart"), "line-pairs")
+        open_ = left.join(end("a"), "a", "left").join(end("b"), "b", "left").filter("coalesce(component_a, a) <> coalesce(component_b, b)")
+        left = saved(open_.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti"), "line-pairs")
     return labels
 
 
@@ -153,14 +153,16 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def _crowds(stars: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """lead, home, tiles, line_id, component and sketch of the lines, the leader among them, of each leader whose lines
-    are in several components. home: the leader's component; tiles: in how many parts its lines are compared."""
+    """lead, home, tiles, line_id, leads, component and sketch of the lines, the leader among them, of each leader whose
+    lines are in several components. home: the leader's component; tiles: in how many parts its lines are compared;
+    leads: all these leaders of a line, BANDS and itself at most."""
     rows = saved(sketches.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")), "line-components")
     near = stars.join(rows.select("line_id", "component"), "line_id")
     home = rows.select(F.col("line_id").alias("lead"), F.col("component").alias("home"))
     spans = near.groupBy("lead").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(home, "lead")
     spans = saved(spans.filter("least <> home OR most <> home").select("lead", "home", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "line-spans")
     members = stars.join(spans, "lead").union(spans.select("lead", F.col("lead").alias("line_id"), "home", "tiles"))
+    members = members.withColumn("leads", F.collect_list("lead").over(Window.partitionBy("line_id")))
     return saved(members.join(rows, "line_id"), "line-crowds")
 
 
@@ -187,12 +189,14 @@ def _to_pivots(members: DataFrame, threshold: int) -> DataFrame:
 
 def _across(members: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b, apart) of lines of one leader, but in two components, that the sketches allow. The lines outside of
-    the leader's component are compared with all its lines, in tiles of about TILE by TILE lines."""
-    ones = members.filter("component <> home").select("lead", _tile().alias("row"), _every_tile().alias("column"), *_side("a"))
-    others = members.select("lead", _tile().alias("column"), _every_tile().alias("row"), *_side("b", "home"))
+    the leader's component are compared with all its lines, in tiles of about TILE by TILE lines. A pair of several
+    leaders is told once, by the smallest of them."""
+    ones = members.filter("component <> home").select("lead", _tile().alias("row"), _every_tile().alias("column"), *_side("a", "leads"))
+    others = members.select("lead", _tile().alias("column"), _every_tile().alias("row"), *_side("b", "home", "leads"))
     # of two lines outside of the leader's component each meets the other once
     met = ones.join(others, ["lead", "row", "column"]).filter("component_a <> component_b AND (component_b = home_b OR a < b)").filter(_fits(threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart().alias("apart")).distinct()
+    met = met.filter("array_min(array_intersect(leads_a, leads_b)) = lead")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart().alias("apart"))
 
 
 def _links(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:

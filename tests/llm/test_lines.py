@@ -187,3 +187,15 @@ def test_near_copies_of_one_line_are_not_told_as_all_pairs(spark, monkeypatch):
     exact = sum(x == t for (_, t), x in zip(rows, brute(rows)[0], strict=True))
     assert exact <= got <= exact + 0.05 * len(rows), (exact, got)
     assert sum(counts["line-links"]) <= 3 * len(rows) and sum(counts["line-pairs"]) <= 15 * len(rows), counts
+
+
+def test_a_pair_of_several_leaders_is_told_once(spark, monkeypatch):
+    """Without an aggregation that would hide repeats, each candidate is told once."""
+    rnd, base = random.Random(22), [f"w{k}x{k * k}" for k in range(60)]
+    texts = spark.createDataFrame([(k, " ".join([*base[:-1], f"e{rnd.randrange(10**6)}"])) for k in range(1, 31)], "line_id long, norm string")
+    monkeypatch.setattr(lines, "TILE", 7)
+    stars = spark.createDataFrame([(lead, k) for lead in (1, 2, 3) for k in range(lead + 1, 31)], "lead long, line_id long")
+    labels = spark.createDataFrame([(k, 1 if k < 5 else k) for k in range(1, 31)], "node long, component long")
+    got = lines._across(lines._crowds(stars, lines._sketches(texts), labels), 75)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a in range(1, 31) for b in range(max(a + 1, 5), 31)]
