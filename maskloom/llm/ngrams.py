@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.components import components, extended
@@ -323,7 +323,7 @@ def _near(size: np.ndarray, comp: np.ndarray, sketches: list[bytes], left: np.nd
 
 def _across(batches):
     """Sorted tiles of leaders, a pair of tiles after the other: pairs of different components that sizes and
-    sketches allow."""
+    sketches allow and that have no smaller leader in common."""
     carried: list[pa.RecordBatch] = []
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -337,8 +337,9 @@ def _across(batches):
             if len(left) and len(right):
                 found.append(_near(size, comp, sketches, left, right))
         i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        own = {k: set(t["leaders"][k].as_py()) for k in np.unique(np.concatenate([i, j])).tolist()}
+        once = np.array([min(own[x] & own[y]) == of for x, y, of in zip(i.tolist(), j.tolist(), leader[i].tolist(), strict=True)], bool)
         one, other = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-        _, once = np.unique(np.stack([one, other], axis=1), axis=0, return_index=True) if len(i) else (None, i)
         return pa.RecordBatch.from_pydict({"a": pa.array(one[once]), "b": pa.array(other[once]), "apart": pa.array(apart[once])})
 
     for batch in batches:
@@ -446,8 +447,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = saved(_nearest(left) if k < NEAREST_ROUNDS else left.select("a", "b"), "pairs")
         labels = _joined(labels, _links(sets, tried))
         end = lambda side: labels.select(F.col("cls").alias(side), F.col("component").alias(f"component_{side}"))  # noqa: B023, E731
-        open_ = left.join(tried, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b")
-        left = saved(open_.filter("component_a <> component_b").select("a", "b", "apart"), "pairs")
+        open_ = left.join(end("a"), "a").join(end("b"), "b").filter("component_a <> component_b")
+        left = saved(open_.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti"), "pairs")
     smallest = labels.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = labels.join(smallest, "component").select("cls", "component_id")
     linked = info.filter("size > 0").join(by_class, "cls").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
@@ -456,8 +457,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _crowds(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """leader, tiles, cls, component, size, sketch of the sets, the leader among them, of each leader whose groups lie in
-    several components; tiles: in how many parts they are compared, of about TILE sets each."""
+    """leader, tiles, cls, leaders, component, size, sketch of the sets, the leader among them, of each leader whose groups
+    lie in several components; tiles: in how many parts they are compared, of about TILE sets each; leaders: all these
+    leaders of a set, one for each of its signatures and itself at most."""
     near = stars.join(labels.withColumnRenamed("cls", "member"), "member").select("leader", "component")
     spans = near.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
     home = labels.select(F.col("cls").alias("leader"), F.col("component").alias("home"))
@@ -465,6 +467,7 @@ def _crowds(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFram
     leaders = saved(leaders.select("leader", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "leaders")
     members = stars.join(leaders, "leader").select("leader", "tiles", F.col("member").alias("cls"))
     members = members.union(leaders.select("leader", "tiles", F.col("leader").alias("cls")))
+    members = members.withColumn("leaders", F.collect_list("leader").over(Window.partitionBy("cls")))
     described = saved(labels.join(classes.select("cls", "size", "sketch"), "cls"), "described")
     return saved(members.join(described, "cls"), "crowds")
 
@@ -481,13 +484,14 @@ def _to_pivots(crowds: DataFrame) -> DataFrame:
 
 
 def _open_pairs(crowds: DataFrame) -> DataFrame:
-    """All pairs of the members of a leader across components that the filters allow, compared in tiles, never as a whole."""
+    """All pairs of the members of a leader across components that the filters allow, compared in tiles, never as a whole.
+    A pair of several leaders is told once, by the smallest of them."""
     members = crowds.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     met = members.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "leader", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "component", "size", "sketch"
+        "leader", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"), "tile", "cls", "leaders", "component", "size", "sketch"
     )
     keys = ["leader", "low", "high"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, _PAIRS).distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, _PAIRS)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

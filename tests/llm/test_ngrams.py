@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from maskloom.llm import ngrams
 
@@ -131,3 +132,22 @@ def test_near_copies_of_one_text_are_not_told_as_all_pairs(spark, monkeypatch):
     got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert sum(counts) <= 6 * len(rows), counts
+
+
+def test_a_pair_of_several_leaders_is_told_once(spark, monkeypatch):
+    """Two near copies share most signatures, so many leaders: without an aggregation each candidate is told once."""
+    rnd, base = random.Random(22), [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(base, 4, rnd))) for k in range(300)]
+    counts, first = [], ngrams._open_pairs
+
+    def pairs(crowds):
+        out = first(crowds)
+        told = crowds.join(crowds.select("leader", F.col("cls").alias("other")), "leader").filter("cls < other").select("cls", "other")
+        counts.append((out.count(), out.distinct().count(), told.count() > 3 * told.distinct().count(), "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(ngrams, "_open_pairs", pairs)
+    monkeypatch.setattr(ngrams, "TILE", 40)
+    got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert counts and all(n == different > 0 and many and not grouped for n, different, many, grouped in counts), counts
