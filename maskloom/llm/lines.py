@@ -1,7 +1,8 @@
 """Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line's set are its character shingles: SHINGLE characters from each character on, or the whole of a
-shorter line. Its signature are the set's smallest elements in one random order over all shingles. Two
+shorter line. All of them are hashed, each in a row, and dealt into bins; a line's signature are the smallest of its
+bins' minima, so one random order over all shingles decides. Two
 neighbours in the signature are a band: lines of similarity THRESHOLD share a band with a probability of 0.97 by
 simulation, more similar ones with a higher one, wherever in a line the differences lie. A
 band's smallest line is the leader of its other lines. Each line is verified with its nearest leader,
@@ -24,8 +25,10 @@ from maskloom.llm.shared import broadcast_if_few, forget, fresh_name, saved
 #: Characters of a shingle.
 SHINGLE = 12
 #: Bands of two neighbouring minima, and the minima that they need.
-BANDS = 5
+BANDS = 6
 MINIMA = BANDS + 1
+#: Bins of a signature, a power of two, and shingles of a line that are put into bins at first, by the smallest hashes.
+BINS, KEPT = 16, 24
 #: Links have a Jaccard similarity of so many hundredths at least.
 THRESHOLD = 75
 #: Numbers of 64 bits in a sketch, a power of two.
@@ -53,29 +56,64 @@ def shingle_hashes(norm: Column) -> Column:
     return F.array_distinct(F.transform(_shingles(norm), lambda s: F.xxhash64(s)))
 
 
+def _hashed(lines: DataFrame, kept: int | None = None) -> DataFrame:
+    """line_id, bound and h, the hash of a shingle: a row for each shingle of lines(line_id, norm), repeats too. With kept
+    only hashes up to a bound, which about so many of a line's shingles keep; bound is null where none is needed. A line's
+    first row stays, with null for a hash beyond the bound, so that each line has one."""
+    # four bytes a character: a shingle is found without walking through the line
+    rows = lines.select("line_id", F.encode("norm", "UTF-32").alias("code"))
+    rows = rows.withColumn("n", F.greatest(F.octet_length("code") / 4 - (SHINGLE - 1), F.lit(1)).cast("int"))
+    bound = F.expr(f"IF(n > {kept}, cast({-(2**63)}d + {2**64}d * {kept} / n AS long), NULL)") if kept else F.lit(None).cast("long")
+    rows = rows.select("line_id", "code", bound.alias("bound"), F.explode(F.sequence(F.lit(1), 4 * F.col("n") - 3, F.lit(4))).alias("at"))
+    rows = rows.select("line_id", "bound", "at", F.xxhash64(F.substring("code", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
+    rows = rows.filter("bound IS NULL OR h <= bound OR at = 1")
+    return rows.select("line_id", "bound", F.expr("IF(bound IS NULL OR h <= bound, h, NULL)").alias("h"))
+
+
+def _minima(hashed: DataFrame) -> DataFrame:
+    """line_id, bound and minima: the smallest hash of each bin that has one, in order."""
+    bins = [F.min(F.expr(f"IF(h & {BINS - 1} = {k}, h, NULL)")).alias(f"m{k}") for k in range(BINS)]
+    rows = hashed.groupBy("line_id").agg(F.max("bound").alias("bound"), *bins)
+    return rows.select("line_id", "bound", F.sort_array(F.array_compact(F.array(*(f"m{k}" for k in range(BINS))))).alias("minima"))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """line_id, bands of lines(line_id, norm), a row for each line_id: each two neighbours of the MINIMA smallest minima,
+    null where there are fewer; a set of one shingle has one band."""
+    at = lambda k: F.get("minima", F.lit(k))
+    pair = lambda k: F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1)))
+    bands = F.array(F.xxhash64(at(0), F.coalesce(at(1), F.lit(0))), *(pair(k) for k in range(1, BANDS))).alias("bands")
+    # a bin without a hash up to the bound has a larger minimum, so MINIMA bins with one tell the signature
+    few = F.col("bound").isNotNull() & (F.size("minima") < MINIMA)
+    found = saved(_minima(_hashed(lines, KEPT)).select("line_id", few.alias("few"), bands), "line-bands")
+    rest = found.filter("few").select("line_id")
+    found = found.filter("NOT few").select("line_id", "bands")
+    if rest.isEmpty():
+        return found
+    # lines that repeat themselves very much
+    whole = _minima(_hashed(lines.join(broadcast_if_few(rest), "line_id", "left_semi")))
+    return found.union(saved(whole.select("line_id", bands), "line-bands"))
+
+
 def with_bands(df: DataFrame, norm: str = "norm") -> DataFrame:
-    """df with bands: of the column norm's MINIMA smallest shingles, by one random order over all of them, each two
-    neighbours, null where there are fewer; a set of one shingle has one band."""
-    df = df.withColumn("bands", F.sort_array(F.transform(_shingles(F.col(norm)), lambda s: F.xxhash64(s))))
-    # of the first ones repeats go; only a line that repeats itself very much needs all
-    some = F.array_distinct(F.slice("bands", 1, 3 * MINIMA))
-    df = df.withColumn("bands", F.when((F.size("bands") <= 3 * MINIMA) | (F.size(some) >= MINIMA), some).otherwise(F.array_distinct("bands")))
-    at = lambda k: F.get("bands", F.lit(k))
-    later = (F.when(at(k + 1).isNotNull(), F.xxhash64(at(k), at(k + 1))) for k in range(1, BANDS))
-    return df.withColumn("bands", F.array(F.xxhash64(at(0), F.coalesce(at(1), F.lit(0))), *later))
+    """df with the bands of the column norm, replaced if there."""
+    key, line = fresh_name(df, "line_id"), F.col(norm)
+    found = signatures(df.select(F.xxhash64(line).alias("line_id"), line.alias("norm"))).withColumnRenamed("line_id", key)
+    return df.drop("bands").withColumn(key, F.xxhash64(line)).join(found, key, "left").drop(key)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, pos, norm, line_id of each line that is not blank."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    rows = rows.select("doc_id", "row_key", "pos", normal(F.col("line")).alias("norm"))
-    return rows.filter("norm <> ''").withColumn("line_id", F.xxhash64("norm"))
+    # what is filtered is computed once more, so without lower()
+    rows = rows.filter(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "row_key", "pos", normal(F.col("line")).alias("norm"))
+    return rows.withColumn("line_id", F.xxhash64("norm"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, row_key, pos, line_id, kept: each line of docs(doc_id, text) that is not blank. row_key tells rows
     with equal doc_id apart. Rows that are equal in both are one document, whose lines count once."""
-    found = saved(with_bands(_lines(docs.select("doc_id", "text"))), "lines")
+    found = saved(_lines(docs.select("doc_id", "text")), "lines")
     labels = _components(found, threshold)
     place = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"), F.col("pos").alias("pos"))
     classes = found.groupBy("line_id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -88,7 +126,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def _components(found: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of the line_ids that the links within bands connect."""
-    banded = found.select("line_id", F.explode("bands").alias("band")).filter("band IS NOT NULL")
+    banded = signatures(found).select("line_id", F.explode("bands").alias("band")).filter("band IS NOT NULL")
     leaders = banded.groupBy("band").agg(F.min("line_id").alias("lead"), F.max("line_id").alias("last")).filter("lead <> last").select("band", "lead")
     leaders = saved(leaders, "line-bands")
     stars = saved(banded.join(broadcast_if_few(leaders), "band").filter("lead <> line_id").select("lead", "line_id").distinct(), "line-stars")

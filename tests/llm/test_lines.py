@@ -199,3 +199,33 @@ def test_a_pair_of_several_leaders_is_told_once(spark, monkeypatch):
     got = lines._across(lines._crowds(stars, lines._sketches(texts), labels), 75)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a in range(1, 31) for b in range(max(a + 1, 5), 31)]
+
+
+def test_signatures_tell_all_shingles_without_an_array_of_them(spark):
+    """Hashes up to a bound give the signature of all hashes, also for lines that repeat themselves and for characters
+    beyond 16 bits; no line's shingles are put into an array."""
+    rnd = random.Random(31)
+    texts = ["".join(rnd.choice("abcdefgh é日😀") for _ in range(n)) for n in (1, 5, 11, 12, 13, 24, 36, 90, 400, 3000) for _ in range(5)]
+    texts += ["ab" * 2000, "abc " * 50 + "one more end", "-" * 5000, "0123456789" * 300 + "x"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line_id long, norm string")
+    every = {r.line_id: r.minima for r in lines._minima(lines._hashed(table)).collect()}
+    hashes = {}
+    for r in lines._hashed(table).collect():
+        hashes.setdefault(r.line_id, set()).add(r.h)
+    for k, text in enumerate(texts):
+        assert len(hashes[k]) == len(shingles(text)), text
+        least = {}
+        for h in hashes[k]:
+            least[h % lines.BINS] = min(h, least.get(h % lines.BINS, h))
+        assert every[k] == sorted(least.values())
+    few = {r.line_id for r in lines._minima(lines._hashed(table, lines.KEPT)).filter(f"bound IS NOT NULL AND size(minima) < {lines.MINIMA}").collect()}
+    assert {len(texts) - 4, len(texts) - 2} <= few
+    got = {r.line_id: r.bands for r in lines.signatures(table).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    ends = spark.createDataFrame([(k, x, y) for k, m in every.items() for x, y in zip(m[: lines.BANDS], m[1 : lines.MINIMA] or [0])], "k long, x long, y long")
+    want = {}
+    for r in ends.select("k", lines.F.xxhash64("x", "y").alias("band")).collect():
+        want.setdefault(r.k, set()).add(r.band)
+    assert {k: {b for b in bands if b is not None} for k, bands in got.items()} == want
+    plan = lines.with_bands(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambda" not in plan
